@@ -62,36 +62,32 @@ def _packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce(F.datediff("d", "prev_d"), F.lit(0)).cast("double")).alias("ipt"),
         F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("dir"),
         size.alias("size"),
-        F.col("s_suppkey").alias("part_key"),
-        "part_total",
+        "rn", "part_total",
     )
 
 
 def _cells_from(packets_t: DataFrame) -> DataFrame:
-    """Unpivot packets to cells and add zero padding for each part's last,
-    short flow.  No shuffle: padding comes from the per-part totals."""
-    real = packets_t.select(
-        "flow_id", "app",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("grp"), F.col("ipt").alias("v")),
-            F.struct(F.lit(1).alias("grp"), F.col("dir").alias("v")),
-            F.struct(F.lit(2).alias("grp"), F.col("size").alias("v")),
-        )).alias("c"), "slot",
-    ).select("flow_id", "app", F.col("c.grp").alias("grp"), "slot",
-             F.coalesce(F.col("c.v"), F.lit(0.0)).alias("v"))
-    totals = packets_t.groupBy("part_key", "app").agg(F.max("part_total").alias("n"))
-    pad = (totals.where(F.col("n") % N_SLOTS != 0)
-           .select((F.col("part_key") * FLOW_KEY_BASE + F.floor(F.col("n") / N_SLOTS)).cast("bigint").alias("flow_id"),
-                   "app",
-                   F.explode(F.sequence((F.col("n") % N_SLOTS).cast("int"), F.lit(N_SLOTS - 1))).alias("slot"))
-           .select("flow_id", "app", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("grp"), "slot",
-                   F.lit(0.0).alias("v")))
-    return real.unionByName(pad)
+    """Unpivot packets to cells in one narrow pass.  The last packet of each
+    part (rank = part_total - 1) also emits the zero padding of its short flow,
+    so no second pass over the packets and no flow x slot join is needed."""
+    def cell(g, s, v):
+        return F.struct(F.lit(g).alias("grp"), s.alias("slot"), v.alias("v"))
+
+    slot = F.col("slot")
+    own = F.array(cell(0, slot, F.col("ipt")), cell(1, slot, F.col("dir")), cell(2, slot, F.col("size")))
+    zero = F.lit(0.0)
+    pad = F.flatten(F.transform(F.sequence(slot + 1, F.lit(N_SLOTS - 1)),
+                                lambda s: F.array(cell(0, s, zero), cell(1, s, zero), cell(2, s, zero))))
+    is_last_short = (F.col("rn") == F.col("part_total") - 1) & (slot < N_SLOTS - 1)
+    all_cells = F.when(is_last_short, F.concat(own, pad)).otherwise(own)
+    return (packets_t.select("flow_id", "app", F.explode(all_cells).alias("c"))
+            .select("flow_id", "app", F.col("c.grp").alias("grp"), F.col("c.slot").cast("int").alias("slot"),
+                    F.coalesce(F.col("c.v"), F.lit(0.0)).alias("v")))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """packets(flow_id, app, slot, ipt, dir, size)."""
-    return _packets_with_totals(spark, sf_dir).drop("part_key", "part_total")
+    return _packets_with_totals(spark, sf_dir).drop("rn", "part_total")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +140,12 @@ def _events_packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce(F.col("mi") - F.col("prev_mi"), F.lit(0)).cast("double")).alias("ipt"),
         F.when(F.col("event_type").isin("view", "error"), F.lit(-1.0)).otherwise(F.lit(1.0)).alias("dir"),
         F.floor(F.col("value") * 10).cast("double").alias("size"),
-        F.col("user_id").alias("part_key"), "part_total",
+        "rn", "part_total",
     )
 
 
 def packets_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_packets_with_totals(spark, sf_dir).drop("part_key", "part_total")
+    return _events_packets_with_totals(spark, sf_dir).drop("rn", "part_total")
 
 
 def cells_events(spark: SparkSession, sf_dir: str) -> DataFrame:
