@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import profile as P
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from ..sources import adapters as A
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
-
-    Used for small intermediate tables (value counts, profiles) that several
-    branches of a plan read: without it each branch would re-scan and
-    re-shuffle the base tables.  Reliable checkpoint: survives executor loss.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cell_counts(spark, sf: str, source: str = "cells") -> DataFrame:
     """The (app, grp, slot, v, cnt) table of an adapter, materialized."""
     cells = getattr(A, source)(spark, sf)
