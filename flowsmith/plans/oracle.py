@@ -27,6 +27,12 @@ def run_oracle(con, sql: str):
 def _norm(x):
     if x is None:
         return None
+    try:
+        import pandas as pd
+        if x is pd.NA or x is pd.NaT:
+            return None
+    except ImportError:
+        pass
     if isinstance(x, float):
         if math.isnan(x):
             return None
