@@ -68,3 +68,66 @@ def weighted_moments(freq: DataFrame, group_cols: list[str], v_col: str, cnt_col
 def r6(c) -> Column:
     """Round to 6 places for reporting (both engines agree after rounding)."""
     return F.round(c if isinstance(c, Column) else F.col(c), 6)
+
+
+def ranked_counts(df: DataFrame, v_col: str, buckets: int = 256, accuracy: int = 10000):
+    """Distinct values of ``v_col`` with their count and global running count.
+
+    The running count needs a global order; instead of one window over all
+    values, values are cut into ranges at approximate quantiles (a bounded
+    summary of ``buckets`` numbers), each range gets its offset from a table of
+    ``buckets`` rows, and the running count runs per range.  Returns
+    (freq DataFrame with v, cnt, cum; total count n).
+    """
+    freq = df.where(F.col(v_col).isNotNull()).groupBy(v_col).agg(F.count(F.lit(1)).alias("cnt"))
+    probs = [i / buckets for i in range(1, buckets)]
+    splits = freq.agg(F.percentile_approx(v_col, probs, accuracy).alias("s")).first()["s"] or []
+    cuts = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
+    f = freq.withColumn("_b", F.size(F.filter(cuts, lambda s: s < F.col(v_col))))
+    bt = f.groupBy("_b").agg(F.sum("cnt").alias("_bc"))
+    bt = bt.withColumn("_off", F.sum("_bc").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+                       - F.col("_bc"))
+    rows = bt.collect()  # at most ``buckets`` rows
+    n = int(sum(r["_bc"] for r in rows))
+    offsets = F.create_map(*[x for r in rows for x in (F.lit(int(r["_b"])), F.lit(int(r["_off"])))]) \
+        if rows else F.create_map()
+    run = Window.partitionBy("_b").orderBy(v_col).rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("cum", F.element_at(offsets, F.col("_b")) + F.sum("cnt").over(run)).drop("_b")
+    return f, n
+
+
+def global_percentiles(df: DataFrame, v_col: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation percentiles of one column over the whole
+    frame without a single-partition sort (see ``ranked_counts``)."""
+    f, n = ranked_counts(df, v_col)
+    aggs = []
+    for name, p in probs.items():
+        pos = float(p) * (n - 1)
+        lo = int(pos // 1)
+        t = pos - lo
+        a = F.min(F.when(F.col("cum") > lo, F.col(v_col)))
+        b = F.coalesce(F.min(F.when(F.col("cum") > lo + 1, F.col(v_col))), a)
+        aggs.append((a + F.lit(t) * (b - a)).alias(name))
+    return f.agg(F.lit(n).cast("bigint").alias("n"), *aggs)
+
+
+def top_k(df: DataFrame, score_col: str, id_col: str, k: int) -> DataFrame:
+    """The k rows with the largest score (ties by smaller id), exactly, without
+    ordering all rows in one task: find the k-th largest score t from ranked
+    distinct values, keep score > t, then rank only the rows tied at t by id
+    in two phases (id ranges, then within range)."""
+    if k <= 0:
+        return df.limit(0)
+    f, n = ranked_counts(df, score_col)
+    if k >= n:
+        return df.where(F.col(score_col).isNotNull())
+    r = n - k  # ascending 0-based rank of the k-th largest
+    row = f.agg(F.min(F.when(F.col("cum") > r, F.col(score_col))).alias("t")).first()
+    t = row["t"]
+    above = df.where(F.col(score_col) > F.lit(t))
+    m = f.where(F.col(score_col) > F.lit(t)).agg(F.sum("cnt")).first()[0] or 0
+    need = k - int(m)
+    tied = df.where(F.col(score_col) == F.lit(t))
+    from .rank import global_rank
+    ranked = global_rank(tied, (F.col(id_col) / 65536).cast("bigint"), [id_col])
+    return above.unionByName(ranked.where(F.col("rank") <= need).drop("rank"))

@@ -95,10 +95,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_from(_packets_with_totals(spark, sf_dir))
 
 
-def cells_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cells with rule violations and NULLs planted at fixed positions."""
-    c = cells(spark, sf_dir)
-    k = F.col("flow_id") + F.col("slot")
+def perturb(c: DataFrame, id_col: str = "flow_id") -> DataFrame:
+    """Plant rule violations and NULLs at fixed positions (id + slot)."""
+    k = F.col(id_col) + F.col("slot")
     g, v = F.col("grp"), F.col("v")
     dirty = (F.when(k % 101 == 0, F.lit(None).cast("double"))
              .when((g == 0) & (k % 97 == 0), -v - 1)
@@ -110,7 +109,12 @@ def cells_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when((g == 2) & (k % 73 == 0), F.lit(12.5))
              .when((g == 2) & (k % 79 == 0), F.lit(30000.0))
              .otherwise(v))
-    return c.select("flow_id", "app", "grp", "slot", dirty.alias("v"))
+    return c.select(id_col, "app", "grp", "slot", dirty.alias("v"))
+
+
+def cells_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells with rule violations and NULLs planted at fixed positions."""
+    return perturb(cells(spark, sf_dir))
 
 
 def cells_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
