@@ -2,10 +2,11 @@
 
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sorts a whole key in one
 task; a key holding a third of the rows makes that task the job.  The helpers
-here rank in two phases: rows are first split into buckets that are contiguous
-in the sort order (a day, a hash range, a quantile range of the score), a small
-table of bucket counts gives each bucket its running offset, and the final
-``row_number`` runs per bucket.  Results equal the one-window form.
+here rank in two phases where needed: rows of a hot key are split into
+buckets that are contiguous in the sort order (a day, a hash range, a quantile
+range of the score), a small table of bucket counts gives each bucket its
+running offset, and the final ``row_number`` runs per bucket.  Results equal
+the one-window form.
 """
 
 from __future__ import annotations
@@ -13,28 +14,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 2_000_000        # a key above this many rows is ranked in buckets
+HOT_BROADCAST_ROWS = 100_000
 
-def ranked_within(df: DataFrame, part_cols: list[str], bucket_col: str,
-                  order_cols: list, carry_col: str | None = None,
-                  rank_col: str = "rn") -> DataFrame:
-    """0-based rank of each row inside ``part_cols`` ordered by
-    (``bucket_col``, ``order_cols``), where ``bucket_col`` is monotone in that
-    order.  Adds ``rank_col``, ``part_total`` (rows in the part) and, when
-    ``carry_col`` is given, ``prev_<carry_col>``: that column on the previous
-    row of the part (NULL on the first row).
+
+def _hot_keys(df: DataFrame, part_cols: list[str], hot_rows: int):
+    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
+    counts = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*part_cols, F.lit(True).alias("_hot"))
+    n_hot = hot.count()
+    return hot, n_hot
+
+
+def ranked_within(df: DataFrame, part_cols: list[str], order_cols: list, fine_bucket: Column,
+                  carry_col: str | None = None, rank_col: str = "rn",
+                  hot_rows: int | None = None) -> DataFrame:
+    """0-based rank of each row inside ``part_cols`` ordered by ``order_cols``.
+
+    Adds ``rank_col``, ``part_total`` (rows of the part) and, when
+    ``carry_col`` is given, ``prev_<carry_col>`` (that column on the previous
+    row of the part, NULL on the first).  ``fine_bucket`` must be monotone in
+    the order, and ``carry_col`` non-decreasing in it (a date, a minute).
+
+    Keys with at most ``hot_rows`` rows are ranked by one window each; hot
+    keys are ranked per ``fine_bucket`` plus a running offset of bucket counts.
     """
-    key = part_cols + [bucket_col]
+    hot, n_hot = _hot_keys(df, part_cols, hot_rows if hot_rows is not None else HOT_ROWS)
+    if n_hot == 0:
+        w = Window.partitionBy(*part_cols).orderBy(*order_cols)
+        out = (df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("bigint"))
+                 .withColumn("part_total", F.count(F.lit(1)).over(Window.partitionBy(*part_cols))))
+        if carry_col:
+            out = out.withColumn(f"prev_{carry_col}", F.lag(carry_col).over(w))
+        return out
+
+    hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST_ROWS else hot
+    b = df.join(hot, part_cols, "left").withColumn(
+        "_bk", F.when(F.col("_hot"), fine_bucket.cast("bigint")).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    key = part_cols + ["_bk"]
     w_in = Window.partitionBy(*key).orderBy(*order_cols)
-    ranked = df.withColumn("_rb", F.row_number().over(w_in) - 1)
+    ranked = b.withColumn("_rb", F.row_number().over(w_in) - 1)
     if carry_col:
         ranked = ranked.withColumn("_prev_in", F.lag(carry_col).over(w_in))
-
-    sort_key = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order_cols])
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if carry_col:
-        aggs.append(F.max_by(F.col(carry_col), sort_key).alias("_last"))
-    buckets = df.groupBy(*key).agg(*aggs)
-    w_b = Window.partitionBy(*part_cols).orderBy(bucket_col)
+        aggs.append(F.max(carry_col).alias("_last"))
+    buckets = b.groupBy(*key).agg(*aggs)
+    w_b = Window.partitionBy(*part_cols).orderBy("_bk")
     buckets = (buckets
                .withColumn("_off", F.sum("_cnt").over(w_b.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cnt"))
                .withColumn("part_total", F.sum("_cnt").over(Window.partitionBy(*part_cols))))
@@ -48,29 +74,23 @@ def ranked_within(df: DataFrame, part_cols: list[str], bucket_col: str,
         out = out.withColumn(f"prev_{carry_col}",
                              F.when(F.col("_rb") == 0, F.col("_prev_last")).otherwise(F.col("_prev_in")))
         out = out.drop("_prev_in", "_prev_last")
-    return out.drop("_rb", "_off")
+    return out.drop("_rb", "_off", "_bk")
 
 
-def global_rank(df: DataFrame, bucket: Column, order_cols: list,
-                part_cols: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, bucket: Column, order_cols: list, part_cols: list[str] | None = None,
+                rank_col: str = "rank") -> DataFrame:
     """1-based rank over the whole frame (or per ``part_cols``) ordered by
     (``bucket``, ``order_cols``) where ``bucket`` is an integer column monotone
-    in the order (e.g. floor(u * B) for a hash-uniform u)."""
-    tmp = df.withColumn("_gb", bucket)
-    if part_cols:
-        out = ranked_within(tmp, part_cols, "_gb", order_cols, rank_col="_r0")
-    else:
-        out = _ranked_global(tmp, order_cols)
-    return out.withColumn(rank_col, F.col("_r0") + 1).drop("_r0", "_gb", "part_total")
-
-
-def _ranked_global(df: DataFrame, order_cols: list) -> DataFrame:
-    """Two-phase rank without a partition key (the bucket table is tiny)."""
-    w_in = Window.partitionBy("_gb").orderBy(*order_cols)
-    ranked = df.withColumn("_rb", F.row_number().over(w_in) - 1)
-    counts = df.groupBy("_gb").agg(F.count(F.lit(1)).alias("_cnt"))
-    # the bucket table has one row per bucket: a single ordered window over it is cheap
-    w_b = Window.orderBy("_gb").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_off", F.sum("_cnt").over(w_b) - F.col("_cnt"))
-    out = ranked.join(F.broadcast(counts.select("_gb", "_off")), "_gb")
-    return out.withColumn("_r0", (F.col("_off") + F.col("_rb")).cast("bigint")).drop("_rb", "_off")
+    in the order (e.g. floor(u * B) for a hash-uniform u, or id // chunk).
+    Every bucket is ranked by its own window; offsets come from a table of
+    bucket counts (one row per bucket and part)."""
+    part_cols = part_cols or []
+    tmp = df.withColumn("_gb", bucket.cast("bigint"))
+    key = part_cols + ["_gb"]
+    ranked = tmp.withColumn("_rb", F.row_number().over(Window.partitionBy(*key).orderBy(*order_cols)))
+    counts = tmp.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"))
+    w_b = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()).orderBy("_gb") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_off", F.sum("_cnt").over(w_b) - F.col("_cnt")).drop("_cnt")
+    out = ranked.join(counts, key)
+    return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint")).drop("_rb", "_off", "_gb")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import N_SLOTS
+from ..functions.joins import broadcast_if_small
 from ..functions.rank import ranked_within
 from .tables import read_table
 
@@ -42,12 +43,12 @@ def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey",
                     "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_returnflag")
-    labels = supplier_labels(spark, sf_dir)
+    labels = broadcast_if_small(supplier_labels(spark, sf_dir))
     p = (li.join(labels, li.l_suppkey == labels.s_suppkey)
          .withColumn("d", F.to_date("l_shipdate")))
-    ranked = ranked_within(p, ["s_suppkey"], "d",
+    ranked = ranked_within(p, ["s_suppkey"],
                            ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-                           carry_col="d")
+                           fine_bucket=F.unix_date("d"), carry_col="d")
     slot = (F.col("rn") % N_SLOTS).cast("int")
     size = (F.when(F.col("l_discount") == 0, F.lit(0.0))
             .when(F.col("l_quantity") <= 2, F.lit(15.0))
@@ -130,12 +131,12 @@ def cells_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events_packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    cust = broadcast_if_small(read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"))
     p = (ev.join(cust, ev.user_id == cust.c_custkey, "left")
          .withColumn("app", F.coalesce("c_mktsegment", F.lit("Unknown")))
          .withColumn("mi", (F.dayofmonth("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts")).cast("int"))
          .withColumn("d", F.to_date("ts")))
-    ranked = ranked_within(p, ["user_id"], "d", ["ts", "event_id"], carry_col="mi")
+    ranked = ranked_within(p, ["user_id"], ["ts", "event_id"], fine_bucket=F.unix_date("d"), carry_col="mi")
     slot = (F.col("rn") % N_SLOTS).cast("int")
     return ranked.select(
         (F.col("user_id") * FLOW_KEY_BASE + F.floor(F.col("rn") / N_SLOTS)).cast("bigint").alias("flow_id"),
@@ -174,7 +175,7 @@ def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
     ev = (ev.withColumn("epoch", F.dayofmonth("ts"))
           .withColumn("_minute", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000)))
-    ranked = ranked_within(ev, ["event_type", "epoch"], "_minute", ["ts", "event_id"])
+    ranked = ranked_within(ev, ["event_type", "epoch"], ["ts", "event_id"], fine_bucket=F.col("_minute"))
     return ranked.select(F.col("event_type").alias("run_id"), "epoch",
                          (F.col("rn") + 1).cast("bigint").alias("batch"), F.col("value").alias("loss"))
 
