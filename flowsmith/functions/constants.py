@@ -101,3 +101,14 @@ OVERFIT_RATIO = 1.2
 GOOD_RATIO = 1.1
 TRAIN_HIST_BINS = 20
 VAL_HIST_BINS = 15
+
+# --- splits and batches -----------------------------------------------------
+TRAIN_RATIO = 0.8
+VAL_RATIO = 0.1
+TEST_RATIO = 0.1
+SPLIT_SEED = 42
+RATIO_TOLERANCE = 1e-6
+BATCH_SIZE = 8
+EARLY_STOPPING_PATIENCE = 5
+AUGMENT_CHANCE = 0.3         # share of rows that get Gaussian noise
+AUGMENT_SCALE = 0.05         # noise std = 0.05 |v|
