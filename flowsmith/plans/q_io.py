@@ -1 +1,118 @@
-"""(filled in below)"""
+"""Source / sink queries (S1-S3, S6, S7): flows and histories written to the
+shared checkpoint folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..operators import dedup as D
+from ..operators import profile as P
+from ..operators import synth as S
+from ..session import materialize, scratch_path
+from ..sources import adapters as A
+from ..sources import flowfiles as FF
+from .catalog import register
+from .common import cell_counts
+from .q_synth import synth_cells_df, synth_ctes, wide_sql
+from .q_profile import thresholds_sql
+
+DROPPED = ["PPI_0_29", "PPI_2_29"]
+
+
+def _wide_cols(exclude=(), app_expr="app", label="APP", const=None):
+    const = const or {}
+    cols = []
+    for g in range(3):
+        for s in range(30):
+            name = f"PPI_{g}_{s}"
+            if name in exclude:
+                continue
+            cols.append(f"{const[name]} as {name}" if name in const else
+                        f"max(case when grp = {g} and slot = {s} then v end) as {name}")
+    return ", ".join(cols) + f", {app_expr} as {label}"
+
+
+def _written_wide(spark, sf, drop=(), drop_label=False):
+    wide = S.to_wide(A.cells(spark, sf), "flow_id").withColumnRenamed("app", K.LABEL_COL)
+    keep = [c for c in K.FEATURES if c not in drop] + ([] if drop_label else [K.LABEL_COL])
+    path = scratch_path(spark, "flows-csv")
+    wide.select(*keep).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+@register("flow_scan", A.with_views(f"select {_wide_cols()} from cells group by flow_id, app", "cells"))
+def flow_scan(spark, sf):
+    """Flows written as wide CSV and read back with the fixed schema."""
+    path = scratch_path(spark, "flows-csv")
+    FF.write_flows(S.to_wide(A.cells(spark, sf), "flow_id"), path, "csv")
+    return FF.read_flows(spark, path, "csv")
+
+
+@register("schema_audit", A.with_views(f"""
+select count(*) as total_rows, cast(88 as bigint) as feature_columns, '{",".join(DROPPED)}' as missing_features,
+       true as has_label, count(distinct app) as distinct_labels
+from cells where grp = 0 and slot = 0""", "cells"))
+def schema_audit(spark, sf):
+    """A CSV without two feature columns is audited from its header."""
+    path = _written_wide(spark, sf, drop=DROPPED)
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return FF.schema_audit(spark, df)
+
+
+@register("schema_completion", A.with_views(
+    f"select {_wide_cols(const={d: '0.0e0' for d in DROPPED}, app_expr=repr('Unknown'))} "
+    "from cells group by flow_id, app", "cells"))
+def schema_completion(spark, sf):
+    """S3: the CSV lacks two features and the label; completion adds 0.0 and 'Unknown'."""
+    path = _written_wide(spark, sf, drop=DROPPED, drop_label=True)
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return FF.complete_schema(df)
+
+
+@register("metric_history_unnest", A.with_views("""
+select run_id, cast(row_number() over (partition by run_id order by epoch) as integer) as epoch,
+       train_loss, val_loss, cast(null as double) as lr, secs
+from run_metrics""", "run_metrics"))
+def metric_history_unnest(spark, sf):
+    """Histories written as one JSON object per run and read back."""
+    path = scratch_path(spark, "history-json")
+    FF.write_history(A.run_metrics(spark, sf), path)
+    return FF.read_history(spark, path).withColumn("epoch", F.col("epoch").cast("int"))
+
+
+@register("generation_report", A.with_views("""
+select s.grp, (select count(*) from syn where grp = 0 and slot = 0) as n_generated,
+       (select count(*) from cells where grp = 0 and slot = 0) as n_original,
+       t.upper_threshold, t.noise_std, t.binary_tolerance, t.symmetry_break_chance,
+       d.num_duplicates, round(d.num_duplicates * 100.0e0 / (select count(*) from syn where grp = 0 and slot = 0), 6)
+         as duplicate_percentage,
+       s.min, s.max, s.unique_values, s.non_zero, s.total, s.non_zero_pct
+from (select grp, min(v) as min, max(v) as max, count(distinct v) as unique_values, count_if(v <> 0) as non_zero,
+             count(*) as total, round(count_if(v <> 0) * 100.0e0 / count(*), 6) as non_zero_pct
+      from syn group by grp) s
+join tg t on t.grp = s.grp,
+(select count(*) as num_duplicates from gk where exists (select 1 from ok where ok.app = gk.app and ok.k = gk.k)) d""",
+    "cells", extra={**synth_ctes(), "tg": thresholds_sql("cells", False),
+                    "ok": "select flow_id, app, list(round_even(v, 6) order by grp, slot) as k from cells group by flow_id, app",
+                    "gk": "select sample_id, app, list(round_even(v, 6) order by grp, slot) as k from syn group by sample_id, app"}))
+def generation_report(spark, sf):
+    """Per group of a generation run: sizes, global limits, duplicates
+    against the source, and the value summary of the generated flows."""
+    counts = cell_counts(spark, sf)
+    syn = materialize(synth_cells_df(spark, sf))
+    cells = A.cells(spark, sf)
+    dup = D.duplicate_stats(syn, cells, gen_id="sample_id")
+    summary = P.group_summary(syn)
+    thr = P.thresholds(counts=counts, by_app=False)
+    n_orig = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).agg(F.sum("cnt").alias("n_original"))
+    one_row = (dup.withColumn("_k", F.lit(1))
+               .join(n_orig.withColumn("_k", F.lit(1)), "_k")
+               .select(F.col("total_generated").alias("n_generated"), F.col("n_original").cast("bigint"),
+                       "num_duplicates", "duplicate_percentage"))
+    # the 1-row run table joined to the 3-row group tables on a constant key
+    return (summary.join(thr, "grp").withColumn("_k", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k")
+            .select("grp", "n_generated", "n_original", "upper_threshold", "noise_std", "binary_tolerance",
+                    "symmetry_break_chance", "num_duplicates", "duplicate_percentage", "min", "max",
+                    "unique_values", "non_zero", "total", "non_zero_pct"))
