@@ -131,3 +131,16 @@ def top_k(df: DataFrame, score_col: str, id_col: str, k: int) -> DataFrame:
     from .rank import global_rank
     ranked = global_rank(tied, (F.col(id_col) / 65536).cast("bigint"), [id_col])
     return above.unionByName(ranked.where(F.col("rank") <= need).drop("rank"))
+
+
+def exact_avg(c, window=None) -> Column:
+    """Mean with the sum accumulated as decimal(38, 10): the result does not
+    depend on the order in which partial sums are combined (so it is the same
+    on any partitioning and in any engine).  Exact for values with at most 10
+    decimal places."""
+    col = c if isinstance(c, Column) else F.col(c)
+    s = F.sum(col.cast("decimal(38,10)"))
+    n = F.count(col)
+    if window is not None:
+        s, n = s.over(window), n.over(window)
+    return s.cast("double") / n

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import hms
-from ..functions.stats import r6
+from ..functions.stats import exact_avg, r6
 
 
 def long_series(metrics: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def moving_average(metrics: DataFrame) -> DataFrame:
              .otherwise(F.lit(1)))
     s = s.withColumn("_w", width).withColumn("_i", F.row_number().over(order))
     for k in range(1, K.TRAIN_SMOOTH_MAX + 1):
-        s = s.withColumn(f"_a{k}", F.avg("loss").over(order.rowsBetween(-(k - 1), 0)))
+        s = s.withColumn(f"_a{k}", exact_avg("loss", order.rowsBetween(-(k - 1), 0)))
     pick = F.col("_a1")
     for k in range(2, K.TRAIN_SMOOTH_MAX + 1):
         pick = F.when(F.col("_w") == k, F.col(f"_a{k}")).otherwise(pick)
@@ -108,8 +108,8 @@ def overfit(metrics: DataFrame) -> DataFrame:
     s = s.withColumn("_r", F.row_number().over(w)).withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy("run_id", "series")))
     agg = s.groupBy("run_id").agg(
-        F.avg(F.when((F.col("series") == "train") & (F.col("_r") <= 3), F.col("loss"))).alias("recent_train"),
-        F.avg(F.when((F.col("series") == "val") & (F.col("_r") <= 3), F.col("loss"))).alias("recent_val"),
+        exact_avg(F.when((F.col("series") == "train") & (F.col("_r") <= 3), F.col("loss"))).alias("recent_train"),
+        exact_avg(F.when((F.col("series") == "val") & (F.col("_r") <= 3), F.col("loss"))).alias("recent_val"),
         F.max(F.when(F.col("series") == "train", F.col("_n"))).alias("n_train"),
         F.max(F.when(F.col("series") == "val", F.col("_n"))).alias("n_val"))
     enough = (F.col("n_train") > 3) & (F.col("n_val") > 3)
@@ -147,7 +147,7 @@ def histogram(metrics: DataFrame) -> DataFrame:
 def epoch_loss(batches: DataFrame) -> DataFrame:
     """Mean batch loss per (run, epoch)."""
     return batches.groupBy("run_id", "epoch").agg(F.count(F.lit(1)).alias("n_batches"),
-                                                  r6(F.avg("loss")).alias("epoch_loss"))
+                                                  r6(exact_avg("loss")).alias("epoch_loss"))
 
 
 def running_loss(batches: DataFrame) -> DataFrame:
@@ -155,8 +155,7 @@ def running_loss(batches: DataFrame) -> DataFrame:
     is accumulated as decimal(38, 10), so it does not depend on the order in
     which partial sums are combined."""
     w = Window.partitionBy("run_id", "epoch").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col("loss").cast("decimal(38,10)")).over(w).cast("double")
-    return batches.select("run_id", "epoch", "batch", r6(total / F.count(F.lit(1)).over(w)).alias("running_loss"))
+    return batches.select("run_id", "epoch", "batch", r6(exact_avg("loss", w)).alias("running_loss"))
 
 
 def run_summary(metrics: DataFrame) -> DataFrame:

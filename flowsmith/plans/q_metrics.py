@@ -15,8 +15,13 @@ def _rm(spark, sf):
     return A.run_metrics(spark, sf)
 
 
+def xavg(e: str, over: str = "") -> str:
+    """Mean with an exact decimal sum (order-independent), as ``stats.exact_avg``."""
+    return f"(cast(sum(cast({e} as decimal(38, 10))) {over} as double) / count({e}) {over})"
+
+
 def _avg_frame(k: int) -> str:
-    return f"avg(loss) over (partition by run_id, series order by epoch rows between {k - 1} preceding and current row)"
+    return xavg("loss", f"over (partition by run_id, series order by epoch rows between {k - 1} preceding and current row)")
 
 
 @register("loss_moving_avg", A.with_views(f"""
@@ -79,12 +84,12 @@ def loss_trend(spark, sf):
     return M.trend(_rm(spark, sf))
 
 
-@register("overfit_flag", A.with_views("""
+@register("overfit_flag", A.with_views(f"""
 select run_id, round(rt, 6) as recent_train, round(rv, 6) as recent_val,
        case when not (nt > 3 and nv > 3) then 'insufficient' when rv > rt * 1.2e0 then 'overfit'
             when rv < rt * 1.1e0 then 'good' else 'neutral' end as flag
-from (select run_id, avg(case when series = 'train' and r <= 3 then loss end) as rt,
-             avg(case when series = 'val' and r <= 3 then loss end) as rv,
+from (select run_id, {xavg("case when series = 'train' and r <= 3 then loss end")} as rt,
+             {xavg("case when series = 'val' and r <= 3 then loss end")} as rv,
              max(case when series = 'train' then n end) as nt, max(case when series = 'val' then n end) as nv
       from (select *, row_number() over (partition by run_id, series order by epoch desc) as r,
                    count(*) over (partition by run_id, series) as n from ls) t
@@ -110,8 +115,8 @@ def loss_histogram(spark, sf):
     return M.histogram(_rm(spark, sf))
 
 
-@register("epoch_loss", A.with_views("""
-select run_id, epoch, count(*) as n_batches, round(avg(loss), 6) as epoch_loss
+@register("epoch_loss", A.with_views(f"""
+select run_id, epoch, count(*) as n_batches, round({xavg("loss")}, 6) as epoch_loss
 from batch_losses group by run_id, epoch""", "batch_losses"))
 def epoch_loss(spark, sf):
     return M.epoch_loss(A.batch_losses(spark, sf))

@@ -203,3 +203,12 @@ def synthesize_flows(spark, sf):
 def synthesize_events(spark, sf):
     """G6 on the second data shape."""
     return synth_cells_df(spark, sf, source="cells_events")
+
+
+@register("preferred_pattern_counts", A.with_views(
+    "select app, grp, count(*) as n_patterns from (" + pref_sql("vd") + ") t group by app, grp", "cells",
+    extra={"vd": value_dist_sql("cells", True)}))
+def preferred_pattern_counts(spark, sf):
+    """Number of preferred values per (label, group)."""
+    pp = S.preferred_patterns(P.value_dist(counts=cell_counts(spark, sf)))
+    return pp.groupBy("app", "grp").agg(F.count(F.lit(1)).alias("n_patterns"))

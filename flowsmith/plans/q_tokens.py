@@ -212,3 +212,16 @@ def sample_token_model(spark, sf):
     plan = S.apportion(P.label_counts(cells), K.N_SAMPLES, True)
     skeleton = S.sample_skeleton(spark, plan, K.N_SAMPLES)
     return T.sample_token_model(spark, model, voc, skeleton)
+
+
+@register("vocab_coverage", A.with_views("""
+select voc.token_id, voc.token, coalesce(c.cnt, 0) as cnt
+from voc left join (select token_id, count(*) as cnt from tok group by token_id) c on c.token_id = voc.token_id""",
+                                         "cells", extra=corpus_ctes()))
+def vocab_coverage(spark, sf):
+    """K1: the 264-token flow vocabulary with how often each token occurs in
+    the encoded corpus (0 = never used)."""
+    voc, _, toks = _corpus(spark, sf)
+    counts = toks.groupBy("token_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return (voc.join(counts, "token_id", "left")
+            .select("token_id", "token", F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("cnt")))

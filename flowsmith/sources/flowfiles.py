@@ -118,3 +118,16 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return z.select("run_id", (F.col("pos") + 1).alias("epoch"),
                     F.col("z.train_losses").alias("train_loss"), F.col("z.val_losses").alias("val_loss"),
                     F.col("z.learning_rates").alias("lr"), F.col("z.epoch_times").alias("secs"))
+
+
+# --- S5 ----------------------------------------------------------------------
+
+def write_profile(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> dict[str, str]:
+    """Write the profile tables (group profile, thresholds, value
+    distributions, label proportions ...) one folder per table."""
+    out = {}
+    for name, df in tables.items():
+        p = f"{path.rstrip('/')}/{name}"
+        (df.write.mode("overwrite").json(p) if fmt == "json" else df.write.mode("overwrite").parquet(p))
+        out[name] = p
+    return out
