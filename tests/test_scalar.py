@@ -36,7 +36,7 @@ def test_dequantize(spark, tok, v):
     assert df.select(dequantize(F.col("t")).alias("r")).first()["r"] == v
 
 
-@pytest.mark.parametrize("v,want", [(0.8, 0.0), (0.81, 1.0), (-0.81, -1.0), (-0.8, 0.0), (0.0, 0.0)])
+@pytest.mark.parametrize("v,want", [(0.8, 1.0), (0.79, 0.0), (-0.8, -1.0), (-0.79, 0.0), (0.0, 0.0)])
 def test_clean_direction(spark, v, want):
     assert _one(spark, clean_direction, v) == want
 
