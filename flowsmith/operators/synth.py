@@ -226,10 +226,20 @@ def synthesize_cells(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLE
 
 def to_wide(cells: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """Cells -> one row per flow with columns PPI_g_s (90 values).
-    One group per flow holds at most 90 cells, so the collect is bounded;
-    a missing cell stays NULL."""
+    One group per flow holds at most 90 cells, so the collect is bounded.  A
+    complete flow is read by position from its sorted cell list; a flow with
+    absent cells falls back to a lookup, leaving the absent ones NULL."""
+    k = F.col("grp") * K.N_SLOTS + F.col("slot")
     agg = cells.groupBy(id_col, "app").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("grp") * K.N_SLOTS + F.col("slot"), F.col("v")))).alias("_m"))
-    cols = [F.element_at(F.col("_m"), g * K.N_SLOTS + s).alias(K.feature_name(g, s))
+        F.sort_array(F.collect_list(F.struct(k.alias("k"), F.col("v").alias("v")))).alias("_c"))
+    n = K.N_GROUPS * K.N_SLOTS
+    complete = F.size("_c") == n
+
+    def value(i):
+        by_pos = F.col("_c")[i]["v"]
+        by_key = F.filter("_c", lambda e: e["k"] == i)[0]["v"]
+        return F.when(complete, by_pos).otherwise(by_key)
+
+    cols = [value(g * K.N_SLOTS + s).alias(K.feature_name(g, s))
             for g in range(K.N_GROUPS) for s in range(K.N_SLOTS)]
     return agg.select(id_col, "app", *cols)
