@@ -94,3 +94,25 @@ def global_rank(df: DataFrame, bucket: Column, order_cols: list, part_cols: list
     counts = counts.withColumn("_off", F.sum("_cnt").over(w_b) - F.col("_cnt")).drop("_cnt")
     out = ranked.join(counts, key)
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint")).drop("_rb", "_off", "_gb")
+
+
+def running_mean(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,
+                 bucket_size: int = 100_000) -> DataFrame:
+    """Running mean of ``value_col`` inside ``part_cols`` ordered by the
+    integer ``order_col``, computed in two phases so that a part with billions
+    of rows is never one window: rows are cut into ranges of ``bucket_size``
+    consecutive order values, range sums (exact decimals) and counts give each
+    range its offset, and the running sum runs per range.  Returns ``df`` with
+    the column ``running_mean`` added."""
+    dec = F.col(value_col).cast("decimal(38,10)")
+    b = df.withColumn("_rb", (F.col(order_col) / bucket_size).cast("bigint")).withColumn("_x", dec)
+    key = part_cols + ["_rb"]
+    sums = b.groupBy(*key).agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
+    w_b = Window.partitionBy(*part_cols).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (sums.withColumn("_s0", F.coalesce(F.sum("_s").over(w_b), F.lit(0).cast("decimal(38,10)")))
+                .withColumn("_c0", F.coalesce(F.sum("_c").over(w_b), F.lit(0))).drop("_s", "_c"))
+    w_in = Window.partitionBy(*key).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = (b.withColumn("_sr", F.sum("_x").over(w_in)).withColumn("_cr", F.count("_x").over(w_in))
+            .join(sums, key))
+    mean = (F.col("_s0") + F.col("_sr")).cast("double") / (F.col("_c0") + F.col("_cr"))
+    return out.withColumn("running_mean", mean).drop("_rb", "_x", "_s0", "_c0", "_sr", "_cr")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalar import hms
+from ..functions.rank import running_mean
 from ..functions.stats import exact_avg, r6
 
 
@@ -150,12 +151,12 @@ def epoch_loss(batches: DataFrame) -> DataFrame:
                                                   r6(exact_avg("loss")).alias("epoch_loss"))
 
 
-def running_loss(batches: DataFrame) -> DataFrame:
-    """Running mean of the batch loss inside each epoch.  The running sum
-    is accumulated as decimal(38, 10), so it does not depend on the order in
-    which partial sums are combined."""
-    w = Window.partitionBy("run_id", "epoch").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return batches.select("run_id", "epoch", "batch", r6(exact_avg("loss", w)).alias("running_loss"))
+def running_loss(batches: DataFrame, bucket_size: int = 100_000) -> DataFrame:
+    """Running mean of the batch loss inside each epoch.  Sums are exact
+    decimals, so the result does not depend on how partial sums combine; an
+    epoch with many batches is processed in ranges of ``bucket_size``."""
+    out = running_mean(batches, ["run_id", "epoch"], "batch", "loss", bucket_size)
+    return out.select("run_id", "epoch", "batch", r6("running_mean").alias("running_loss"))
 
 
 def run_summary(metrics: DataFrame) -> DataFrame:

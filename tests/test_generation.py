@@ -69,3 +69,15 @@ def test_synthesized_flows_are_clean(spark):
     assert syn.where("grp = 1 and v not in (-1.0, 0.0, 1.0)").count() == 0
     assert syn.where("grp = 2 and (v < 0 or (v > 0 and v < 20) or v <> rint(v))").count() == 0
     assert syn.where("grp = 0 and v < 0").count() == 0
+
+
+def test_to_wide_leaves_absent_cells_null(spark):
+    cells = A.cells(spark, SF_SMALL)
+    some = cells.select("flow_id").distinct().limit(3)
+    partial = cells.join(some, "flow_id", "left_semi").where("not (grp = 1 and slot = 7)")
+    wide = S.to_wide(partial, "flow_id").collect()
+    full = {r["flow_id"]: r for r in S.to_wide(cells.join(some, "flow_id", "left_semi"), "flow_id").collect()}
+    for r in wide:
+        assert r["PPI_1_7"] is None
+        assert r["PPI_2_29"] == full[r["flow_id"]]["PPI_2_29"]
+        assert r["PPI_0_0"] == full[r["flow_id"]]["PPI_0_0"]

@@ -31,3 +31,12 @@ def test_global_rank(spark):
     df = spark.range(0, 5000).withColumn("k", (F.col("id") * 7919) % 5003)
     got = RK.global_rank(df, F.floor(F.col("k") / 500), ["k", "id"]).toPandas().sort_values("k")
     assert list(got["rank"]) == list(range(1, 5001))
+
+
+def test_running_mean_two_phase_equals_window(spark):
+    from flowsmith.operators import metrics as M
+    from flowsmith.sources import adapters as A
+    b = A.batch_losses(spark, SF_SMALL)
+    one = M.running_loss(b, bucket_size=10 ** 9).orderBy("run_id", "epoch", "batch").toPandas()
+    many = M.running_loss(b, bucket_size=3).orderBy("run_id", "epoch", "batch").toPandas()
+    assert one.equals(many)
