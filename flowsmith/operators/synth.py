@@ -237,7 +237,7 @@ def to_wide(cells: DataFrame, id_col: str = "sample_id") -> DataFrame:
 
     def value(i):
         by_pos = F.col("_c")[i]["v"]
-        by_key = F.filter("_c", lambda e: e["k"] == i)[0]["v"]
+        by_key = F.get(F.filter("_c", lambda e: e["k"] == i), 0)["v"]
         return F.when(complete, by_pos).otherwise(by_key)
 
     cols = [value(g * K.N_SLOTS + s).alias(K.feature_name(g, s))
