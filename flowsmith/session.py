@@ -68,11 +68,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it
+    back: the lineage is cut and later branches read the written files.
 
-    For small intermediate tables (value counts, weights, guide tables) read
-    by several branches of a plan: without it each branch would re-scan and
-    re-shuffle the base tables.  Reliable checkpoint: survives executor loss.
+    For intermediate tables read by several branches of a plan (value counts,
+    weights, guide tables, scores): without it each branch would re-scan and
+    re-shuffle the base tables.  The files live on the cluster's shared
+    storage (``spark.checkpoint.dir``), so a lost executor does not lose them.
+    An explicit write computes the plan once (an eager ``checkpoint()`` of an
+    unpersisted plan computes it twice) and gives the planner real sizes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
