@@ -42,16 +42,17 @@ def novel_rows(generated: DataFrame, original: DataFrame,
 
 def duplicate_stats(generated: DataFrame, original: DataFrame,
                     gen_id: str = "sample_id", orig_id: str = "flow_id") -> DataFrame:
-    """One row: num_duplicates, duplicate_percentage, total_generated, total_original."""
+    """One row: num_duplicates, duplicate_percentage, total_generated,
+    total_original.  Both sides are tagged and counted in one aggregate."""
     g = flow_keys(generated, gen_id)
     src = flow_keys(original, orig_id)
     marked = g.join(src.select("h", "app", "key").distinct().withColumn("_dup", F.lit(1)),
                     ["h", "app", "key"], "left")
-    stats = marked.agg(F.count(F.lit(1)).alias("total_generated"),
-                       F.count("_dup").alias("num_duplicates"))
-    total_original = src.agg(F.count(F.lit(1)).alias("total_original"))
-    # two one-row aggregates: combined by a join on a constant key
-    return (stats.withColumn("_k", F.lit(1)).join(total_original.withColumn("_k", F.lit(1)), "_k")
-            .select(F.col("num_duplicates").cast("bigint"),
-                    F.round(F.col("num_duplicates") * 100.0 / F.col("total_generated"), 6).alias("duplicate_percentage"),
-                    F.col("total_generated").cast("bigint"), F.col("total_original").cast("bigint")))
+    tagged = (marked.select(F.lit(1).alias("_gen"), F.col("_dup"))
+              .unionByName(src.select(F.lit(0).alias("_gen"), F.lit(None).cast("int").alias("_dup"))))
+    stats = tagged.agg(F.sum("_gen").alias("total_generated"), F.count("_dup").alias("num_duplicates"),
+                       F.sum(1 - F.col("_gen")).alias("total_original"))
+    return stats.select(F.col("num_duplicates").cast("bigint"),
+                        F.round(F.col("num_duplicates") * 100.0 / F.col("total_generated"), 6)
+                        .alias("duplicate_percentage"),
+                        F.col("total_generated").cast("bigint"), F.col("total_original").cast("bigint"))

@@ -19,12 +19,11 @@ def _n(cond):
     return F.count_if(cond).cast("bigint")
 
 
-def quality_aggregates(cells: DataFrame) -> DataFrame:
-    """All counters of V1-V3 in one pass (the id column is the first column)."""
+def _counters(cells_cols_id: str):
     g, v = F.col("grp"), F.col("v")
     t, d, s = g == 0, g == 1, g == 2
-    return cells.agg(
-        F.countDistinct(cells.columns[0]).cast("bigint").alias("total_samples"),
+    return [
+        F.countDistinct(cells_cols_id).cast("bigint").alias("total_samples"),
         _n(t).alias("t_total"), _n(t & (v < 0)).alias("t_neg"), _n(t & (v == 0)).alias("t_zero"),
         _n(t & (v >= 0.0001) & (v <= 1000.0)).alias("t_real"), _n(t & (v > 10000.0)).alias("t_out"),
         _n(d).alias("d_total"), _n(d & (v == -1.0)).alias("d_m1"), _n(d & (v == 1.0)).alias("d_p1"),
@@ -33,7 +32,17 @@ def quality_aggregates(cells: DataFrame) -> DataFrame:
         _n(s).alias("s_total"), _n(s & (v < 0)).alias("s_neg"), _n(s & (v == 0)).alias("s_zero"),
         _n(s & (v >= 20) & (v <= 9000)).alias("s_real"), _n(s & (v > 0) & (v < 20)).alias("s_tiny"),
         _n(s & (v > 9000)).alias("s_huge"), _n(s & (v == F.rint(v))).alias("s_int"),
-    )
+    ]
+
+
+def quality_aggregates(cells: DataFrame) -> DataFrame:
+    """All counters of V1-V3 in one pass (the id column is the first column)."""
+    return cells.agg(*_counters(cells.columns[0]))
+
+
+def quality_aggregates_by(cells: DataFrame, key: str) -> DataFrame:
+    """The same counters per value of ``key`` (id column ``_id``)."""
+    return cells.groupBy(key).agg(*_counters("_id"))
 
 
 def _timing_score():
@@ -77,22 +86,30 @@ def quality_size(cells: DataFrame) -> DataFrame:
                     _size_score().alias("quality_score"))
 
 
-def quality_overall(cells: DataFrame) -> DataFrame:
-    """V4: the three scores and their mean (one pass)."""
-    a = quality_aggregates(cells)
+def _score_rows(a: DataFrame) -> DataFrame:
     ts, ds, ss = _timing_score(), _direction_score(), _size_score()
-    return a.select("total_samples", r6(ts).alias("timing_score"), r6(ds).alias("direction_score"),
+    keep = [c for c in a.columns if c == "_t"]
+    return a.select(*keep, "total_samples", r6(ts).alias("timing_score"), r6(ds).alias("direction_score"),
                     r6(ss).alias("size_score"), r6((ts + ds + ss) / 3.0).alias("overall_score"))
 
 
+def quality_overall(cells: DataFrame) -> DataFrame:
+    """V4: the three scores and their mean (one pass)."""
+    return _score_rows(quality_aggregates(cells))
+
+
 def quality_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """V5: overall scores of two tables and their difference."""
-    b = quality_overall(before).select(*[F.col(c).alias(f"before_{c}") for c in
-                                         ("timing_score", "direction_score", "size_score", "overall_score")])
-    a = quality_overall(after).select(*[F.col(c).alias(f"after_{c}") for c in
-                                        ("timing_score", "direction_score", "size_score", "overall_score")])
-    out = b.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return out.withColumn("improvement", r6(F.col("after_overall_score") - F.col("before_overall_score")))
+    """V5: overall scores of two tables and their difference (both tables
+    are tagged, scored by one grouped aggregate, and folded into one row)."""
+    cols = ["grp", "v"]
+    idb, ida = before.columns[0], after.columns[0]
+    both = (before.select(F.lit("before").alias("_t"), F.col(idb).alias("_id"), *cols)
+            .unionByName(after.select(F.lit("after").alias("_t"), F.col(ida).alias("_id"), *cols)))
+    per = _score_rows(quality_aggregates_by(both, "_t"))
+    names = ("timing_score", "direction_score", "size_score", "overall_score")
+    folded = per.agg(*[F.max(F.when(F.col("_t") == t, F.col(c))).alias(f"{t}_{c}")
+                       for t in ("before", "after") for c in names])
+    return folded.withColumn("improvement", r6(F.col("after_overall_score") - F.col("before_overall_score")))
 
 
 def distribution_fidelity(original_counts: DataFrame, generated_counts: DataFrame) -> DataFrame:

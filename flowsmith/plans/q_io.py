@@ -105,14 +105,12 @@ def generation_report(spark, sf):
     dup = D.duplicate_stats(syn, cells, gen_id="sample_id")
     summary = P.group_summary(syn)
     thr = P.thresholds(counts=counts, by_app=False)
-    n_orig = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).agg(F.sum("cnt").alias("n_original"))
-    one_row = (dup.withColumn("_k", F.lit(1))
-               .join(n_orig.withColumn("_k", F.lit(1)), "_k")
-               .select(F.col("total_generated").alias("n_generated"), F.col("n_original").cast("bigint"),
-                       "num_duplicates", "duplicate_percentage"))
-    # the 1-row run table joined to the 3-row group tables on a constant key
-    return (summary.join(thr, "grp").withColumn("_k", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k")
-            .select("grp", "n_generated", "n_original", "upper_threshold", "noise_std", "binary_tolerance",
-                    "symmetry_break_chance", "num_duplicates", "duplicate_percentage", "min", "max",
-                    "unique_values", "non_zero", "total", "non_zero_pct"))
+    n_orig = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).agg(F.sum("cnt")).first()[0]
+    d = dup.first()  # a one-row summary: its four numbers become literals
+    return (summary.join(thr, "grp")
+            .select("grp", F.lit(d["total_generated"]).cast("bigint").alias("n_generated"),
+                    F.lit(n_orig).cast("bigint").alias("n_original"), "upper_threshold", "noise_std",
+                    "binary_tolerance", "symmetry_break_chance",
+                    F.lit(d["num_duplicates"]).cast("bigint").alias("num_duplicates"),
+                    F.lit(d["duplicate_percentage"]).cast("double").alias("duplicate_percentage"),
+                    "min", "max", "unique_values", "non_zero", "total", "non_zero_pct"))

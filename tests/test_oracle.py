@@ -48,3 +48,13 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert "sample_id" in df.columns and "PPI_2_29" in df.columns
+
+
+PLAN_CHECK = sorted(set(QUICK) | {"duplicate_stats", "quality_delta", "generation_report", "label_profile"})
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if FULL or n in PLAN_CHECK])
+def test_no_cartesian_or_nested_loop_join(spark, name):
+    from flowsmith.plans.explain import physical_plan, summarize
+    s = summarize(physical_plan(QUERIES[name][0](spark, SF)))
+    assert s["bad"] == [], f"{name}: {s['bad']}"
