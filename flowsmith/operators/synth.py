@@ -198,14 +198,16 @@ def clean_size(v: Column) -> Column:
     return F.when((r > 0) & (r < K.MIN_PACKET), F.lit(K.MIN_PACKET)).otherwise(r)
 
 
-def clean_cells(cells: DataFrame, seed: int = K.DEFAULT_SEED, id_col: str = "sample_id") -> DataFrame:
+def clean_cells(cells: DataFrame, seed: int = K.DEFAULT_SEED, id_col: str = "sample_id",
+                out_col: str = "v") -> DataFrame:
+    """F4-F6 on every cell; the result replaces ``v`` or goes to ``out_col``."""
     g, v = F.col("grp"), F.col("v")
     keys = (F.col(id_col), g, F.col("slot"))
     cleaned = (F.when(v.isNull(), v)
                .when(g == 0, clean_timing(v, uniform(seed, *keys, "gate"), uniform(seed, *keys, "jit")))
                .when(g == 1, clean_direction(v))
                .otherwise(clean_size(v)))
-    return cells.withColumn("v", cleaned)
+    return cells.withColumn(out_col, cleaned)
 
 
 def synthesize_cells(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLES,

@@ -126,23 +126,23 @@ def pack(tokens: DataFrame, max_len: int = K.MAX_SEQ_LEN, id_col: str = "flow_id
 
 def decode(tokens: DataFrame, voc: DataFrame, labels: DataFrame, id_col: str = "flow_id") -> DataFrame:
     """K4: token sequences -> cells.  A feature token followed by a value token
-    gives one cell; the label is the token after APP_START.  Pairing uses
-    ``lag`` over one sequence (at most a few hundred rows per window)."""
+    gives one cell; the label is the token after APP_START.  Pairing and the
+    label lookup are windows over one sequence (at most a few hundred rows)."""
     v = F.broadcast(voc.select("token_id", "token", "kind", "grp", "slot"))
-    lv = labels.select(F.col("token_id").alias("label_id"), F.col("app").alias("label_app"))
     w = Window.partitionBy(id_col).orderBy("pos")
     t = (tokens.join(v, "token_id", "left")
          .withColumn("prev_kind", F.lag("kind").over(w))
          .withColumn("prev_grp", F.lag("grp").over(w))
          .withColumn("prev_slot", F.lag("slot").over(w))
          .withColumn("prev_token", F.lag("token").over(w)))
-    app = (t.where(F.col("prev_token") == "<APP_START>")
-           .join(F.broadcast(lv), F.col("token_id") == F.col("label_id"), "left")
-           .select(id_col, F.col("label_app").alias("app")))
+    t = t.withColumn("label_id", F.max(F.when(F.col("prev_token") == "<APP_START>", F.col("token_id")))
+                     .over(Window.partitionBy(id_col)))
+    lv = labels.select(F.col("token_id").alias("label_id"), "app")
+    lv = F.broadcast(lv) if lv.count() <= LABEL_BROADCAST_ROWS else lv
     cellrows = (t.where((F.col("prev_kind") == "feature") & F.col("kind").isin("value", "special_value", "unknown"))
-                .select(id_col, F.col("prev_grp").alias("grp"), F.col("prev_slot").alias("slot"),
+                .select(id_col, "label_id", F.col("prev_grp").alias("grp"), F.col("prev_slot").alias("slot"),
                         dequantize(F.col("token")).alias("v")))
-    return cellrows.join(app, id_col, "left").select(id_col, "app", "grp", "slot", "v")
+    return cellrows.join(lv, "label_id", "left").select(id_col, "app", "grp", "slot", "v")
 
 
 def token_frequency(tokens: DataFrame, voc: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,9 +31,8 @@ def flow_unpivot(spark, sf):
 def _clean_query(g: int):
     def run(spark, sf):
         c = A.cells_dirty(spark, sf).where(F.col("grp") == g)
-        cleaned = S.clean_cells(c, K.DEFAULT_SEED, id_col="flow_id")
-        return c.select("flow_id", "app", "slot", F.col("v")).join(
-            cleaned.select("flow_id", "slot", F.col("v").alias("v_clean")), ["flow_id", "slot"])
+        return S.clean_cells(c, K.DEFAULT_SEED, id_col="flow_id", out_col="v_clean").select(
+            "flow_id", "app", "slot", "v", "v_clean")
     return run
 
 

@@ -256,7 +256,7 @@ def thresholds_resolved(spark, sf):
     """Limits for the labels of both shapes; labels without a profile of
     their own (the event segments) fall back to the global limits."""
     counts = cell_counts(spark, sf)
-    labels = P.label_counts(A.cells(spark, sf)).select("app").unionByName(
+    labels = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).select("app").unionByName(
         P.label_counts(A.cells_events(spark, sf)).select("app"))
     return R.resolve_thresholds(labels, P.thresholds(counts=counts, by_app=True),
                                 P.thresholds(counts=counts, by_app=False))

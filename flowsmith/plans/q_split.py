@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import sql_uniform
 from ..operators import split as T
+from ..session import materialize
 from ..sources import adapters as A
 from .catalog import register
 
@@ -14,7 +15,8 @@ U = sql_uniform(42, "flow_id")
 
 
 def _flows(spark, sf):
-    return A.cells(spark, sf).where((F.col("grp") == 0) & (F.col("slot") == 0)).select("flow_id", "app")
+    """One row per flow, written once (the split counts it and ranks it)."""
+    return materialize(A.cells(spark, sf).where((F.col("grp") == 0) & (F.col("slot") == 0)).select("flow_id", "app"))
 
 
 @register("split_exact", A.with_views(f"""

@@ -10,6 +10,7 @@ from ..functions.scalar import dequantize, quantize, value_band
 from ..operators import profile as P
 from ..operators import synth as S
 from ..operators import tokens as T
+from ..session import materialize
 from ..sources import adapters as A
 from .catalog import register
 from .q_synth import apportion_ctes
@@ -73,7 +74,7 @@ def _voc(spark):
 
 def _corpus(spark, sf):
     voc = _voc(spark)
-    cells = A.cells(spark, sf)
+    cells = materialize(A.cells(spark, sf))  # read by the label table and the encoder
     labels = T.label_vocab(cells, T.BASE_VOCAB + 264)
     return voc, labels, T.encode(cells, voc, labels)
 

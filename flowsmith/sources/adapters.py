@@ -119,10 +119,14 @@ def cells_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated-looking copy of every flow for duplicate checks: flows with
-    id % 10 = 1 differ by 1e-7 (equal after rounding to 6 places), id % 10 = 2
-    differ by 1.0 in their first gap (near misses), the rest are exact copies."""
-    c = cells(spark, sf_dir)
+    """A generated-looking copy of every flow for duplicate checks."""
+    return candidate_of(cells(spark, sf_dir))
+
+
+def candidate_of(c: DataFrame) -> DataFrame:
+    """Flows with id % 10 = 1 differ by 1e-7 (equal after rounding to 6
+    places), id % 10 = 2 differ by 1.0 in their first gap (near misses), the
+    rest are exact copies."""
     m = F.col("flow_id") % 10
     v = (F.when(m == 1, F.col("v") + 0.0000001)
          .when((m == 2) & (F.col("slot") == 0), F.col("v") + 1.0)
