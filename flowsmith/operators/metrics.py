@@ -45,7 +45,8 @@ def moving_average(metrics: DataFrame) -> DataFrame:
     for k in range(2, K.TRAIN_SMOOTH_MAX + 1):
         pick = F.when(F.col("_w") == k, F.col(f"_a{k}")).otherwise(pick)
     return (s.where(F.col("_i") >= F.col("_w"))
-            .select("run_id", "series", "epoch", F.col("_w").alias("window"), r6(pick).alias("smoothed")))
+            .select("run_id", "series", "epoch", F.col("_w").cast("bigint").alias("window"),
+                    r6(pick).alias("smoothed")))
 
 
 def improvement(metrics: DataFrame) -> DataFrame:
@@ -140,7 +141,8 @@ def histogram(metrics: DataFrame) -> DataFrame:
     grid = st.select(*key, "_n", "_lo", "_wd", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin"))
     out = grid.join(counts, key + ["bin"], "left")
     cnt = F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint")
-    return out.select(*key, "bin", r6(F.col("_lo") + F.col("bin") * F.col("_wd")).alias("bin_lo"),
+    return out.select(*key, F.col("bin").cast("bigint").alias("bin"),
+                      r6(F.col("_lo") + F.col("bin") * F.col("_wd")).alias("bin_lo"),
                       r6(F.col("_lo") + (F.col("bin") + 1) * F.col("_wd")).alias("bin_hi"), cnt.alias("cnt"),
                       r6(cnt / (F.col("_n") * F.col("_wd"))).alias("density"))
 

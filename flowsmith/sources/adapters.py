@@ -165,7 +165,7 @@ def cells_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_metrics(run_id, epoch, train_loss, val_loss, secs)."""
     ev = read_table(spark, sf_dir, "events", "event_type", "ts", "user_id", "value")
-    day = F.dayofmonth("ts")
+    day = F.dayofmonth("ts").cast("bigint")
     return (ev.groupBy(F.col("event_type").alias("run_id"), day.alias("epoch"))
             .agg(F.round(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 6).alias("train_loss"),
                  F.round(F.avg(F.when(F.col("user_id") % 2 == 1, F.col("value"))), 6).alias("_val"),
@@ -178,7 +178,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """batch_losses(run_id, epoch, batch, loss): one row per event."""
     ev = read_table(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
-    ev = (ev.withColumn("epoch", F.dayofmonth("ts"))
+    ev = (ev.withColumn("epoch", F.dayofmonth("ts").cast("bigint"))
           .withColumn("_minute", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000)))
     ranked = ranked_within(ev, ["event_type", "epoch"], ["ts", "event_id"], fine_bucket=F.col("_minute"))
     return ranked.select(F.col("event_type").alias("run_id"), "epoch",
@@ -296,6 +296,22 @@ def with_views(sql: str, *views: str, extra: dict[str, str] | None = None) -> st
     ctes = [f"{name} as ({SQL_VIEWS[name].strip()})" for name in order]
     for name, text in (extra or {}).items():
         ctes.append(f"{name} as ({text.strip()})")
-    if not ctes:
-        return sql
-    return "with " + ",\n".join(ctes) + "\n" + sql
+    text = sql if not ctes else "with " + ",\n".join(ctes) + "\n" + sql
+    return _bigint_counts(text)
+
+
+def _bigint_counts(text: str) -> str:
+    """DuckDB types count_if as HUGEINT; Spark counts are BIGINT.  Wrap every
+    count_if(...) of an oracle text in a cast so both sides have one type."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = text.find(key, i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            k += 1
+        out.append(text[i:j] + "cast(" + text[j:k] + " as bigint)")
+        i = k
