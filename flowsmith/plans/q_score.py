@@ -13,6 +13,7 @@ from ..functions.stats import top_k
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import repair as R
+from ..operators import synth as S
 from ..operators import tokens as T
 from ..session import materialize
 from ..sources import adapters as A
@@ -39,17 +40,27 @@ class Run:
             self._cache[name] = build()
         return self._cache[name]
 
+    @property
+    def cells(self):
+        """The source cells, written once: read by the counts and the model."""
+        return self._get("cells", lambda: materialize(A.cells(self.spark, self.sf)))
+
+    @property
+    def counts(self):
+        return self._get("counts", lambda: materialize(P.value_counts(self.cells)))
+
     @property
     def voc(self):
         return self._get("voc", lambda: materialize(T.vocab(self.spark)))
 
     @property
     def dirty(self):
-        return self._get("dirty", lambda: materialize(A.perturb(synth_cells_df(self.spark, self.sf), "sample_id")))
+        return self._get("dirty", lambda: materialize(A.perturb(
+            S.synthesize_cells(self.spark, self.counts, K.N_SAMPLES, K.DEFAULT_SEED), "sample_id")))
 
     @property
     def model(self):
-        return self._get("model", lambda: R.fit_bigram(A.cells(self.spark, self.sf), self.voc))
+        return self._get("model", lambda: R.fit_bigram(self.cells, self.voc))
 
     @property
     def scores(self):
@@ -66,8 +77,8 @@ class Run:
     @property
     def repaired(self):
         def build():
-            counts = cell_counts(self.spark, self.sf)
-            limits = R.resolve_thresholds(P.label_counts(A.cells(self.spark, self.sf)),
+            counts = self.counts
+            limits = R.resolve_thresholds(P.label_counts(self.cells),
                                           P.thresholds(counts=counts, by_app=True),
                                           P.thresholds(counts=counts, by_app=False))
             cand_cells = self.dirty.join(self.cands.select("sample_id"), "sample_id", "left_semi")
