@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +13,25 @@ from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from ..sources.tables import read_table
 
 __all__ = ["ensure_checkpoint_dir", "materialize", "scratch_path", "read_table", "packed", "unpacked",
-           "whole_text", "table"]
+           "whole_text", "table", "ship_package"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors once per application, as --py-files would."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        root = Path(__file__).resolve().parents[2]
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/flowsmith", "zip", root, "flowsmith")
+        spark.sparkContext.addPyFile(made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark's reader only (the path may be any URI)."""
+    ship_package(spark)
     return read_table(spark, sf_dir, name)
 
 

@@ -76,6 +76,12 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.longest = vocabulary, vocabulary.longest
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.endings: dict = {}              # trie of the reversed pieces; None marks a piece
+        for piece in vocabulary.ids:
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[None] = piece
         encoder = self
 
         class Table(dict):
@@ -110,9 +116,29 @@ class Encoder:
         if got is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            got = self.pairs[a, b] = self._stay_apart(a, b)
         return got
 
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """Whether merging a + b as one text never joins anything across the border."""
+        get, parts, border = self.v.scores.get, [*a, *b], len(a)
+        scores = [get(parts[i] + parts[i + 1], FREE) for i in range(len(parts) - 1)]
+        while scores:
+            best = max(scores)
+            if best == FREE:
+                break
+            at = scores.index(best)
+            if at == border - 1:
+                return False
+            border -= at < border - 1
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], FREE)
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], FREE)
+        return parts == [a, b]
+
     def ids_of(self, parts: list[str]) -> tuple[int, ...]:
         ids, raw = self.v.ids, self.v.byte_ids
         out: list[int] = []
@@ -133,16 +159,27 @@ class Encoder:
 
     def scan(self, text: str) -> list[str]:
         """The pieces of a text that starts and ends at places no piece spans.  Each prefix has one last piece; backtrace from the end."""
-        ids, fits, longest, n = self.v.ids, self.fits, self.longest, len(text)
-        if text in ids and self.merge(text) == [text]:
-            return [text]
+        n, pairs, fits, endings = len(text), self.pairs, self.fits, self.endings
         last = [""] * (n + 1)
         for e in range(1, n + 1):
-            for s in range(max(0, e - longest), e):
-                p = text[s:e]
-                if (p in ids or e - s == 1) and (s == 0 or fits(last[s], p)):
+            node = endings
+            for s in range(e - 1, -1, -1):
+                node = node.get(text[s])
+                if node is None:
+                    break
+                p = node.get(None)
+                if p is not None:
+                    if s:
+                        before = last[s]
+                        fit = pairs.get((before, p))
+                        if fit is None:
+                            fit = fits(before, p)
+                        if not fit:
+                            continue
                     last[e] = p
                     break
+            if not last[e]:
+                last[e] = text[e - 1]            # outside of the vocabulary: a piece of its own
         out, e = [], n
         while e:
             out.append(last[e])
