@@ -58,15 +58,14 @@ def op4(spark, sf):
 OP5_SQL = """
 with s as (select source, count(*) as n, sqrt(count(*)::double) as weight from documents group by source),
 r as (select source, weight / (select sum(weight) from s) * (select sum(n) from s)::double / n as rate from s),
-p as (select source, rate, list_sum(list_transform(range(0, cast(ceil(rate + 12.0 * sqrt(rate) + 30.0) as bigint) + 1), k -> 0.0)) as z from r),
-steps as (select source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by source order by k) as cdf
-          from (select source, rate, unnest(range(0, cast(ceil(rate + 12.0 * sqrt(rate) + 30.0) as bigint) + 1)) as k from p)),
+k as (select source, rate, unnest(range(0, cast(ceil(rate + 12.0 * sqrt(rate) + 30.0) as bigint) + 1)) as k from r),
+steps as (select source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by source order by k) as cdf from k),
 u as (select *, ('0x' || substr(md5('mix-1|' || coalesce(cast(doc_id as varchar), 'null') || '|1'), 1, 12))::bigint / 281474976710656.0e0 as u
       from documents),
-c as (select u.doc_id, u.text, u.lang, u.source, u.n_chars, (select count(*) from steps t where t.source is not distinct from u.source and t.cdf <= u.u) as copies from u)
-select doc_id, text, lang, source, n_chars, cast(unnest(range(1, copies + 1)) as integer) as copy,
-       md5('mix-1-place|' || coalesce(cast(doc_id as varchar), 'null') || '|' || cast(unnest(range(1, copies + 1)) as varchar)) as place
-from c where copies > 0
+c as (select *, (select count(*) from steps t where t.source is not distinct from u.source and t.cdf <= u.u) as copies from u),
+e as (select *, cast(unnest(range(1, copies + 1)) as integer) as copy from c)
+select doc_id, text, lang, source, n_chars, copy,
+       md5('mix-1-place|' || coalesce(cast(doc_id as varchar), 'null') || '|' || cast(copy as varchar)) as place from e
 """
 
 

@@ -37,9 +37,11 @@ def test_ordinal_separates_grades(spark):
     odd = ratings.filter("doc_id % 2 = 1")
     model = ordinal.train(docs, odd)
     assert list(model.thresholds) == sorted(model.thresholds)
-    got = ordinal.grade_documents(docs, model).join(ratings.filter("doc_id % 2 = 0"), "doc_id").toPandas()
-    clean, rest = got[got["grade"].iloc[:, 1] == 2] if got.columns.tolist().count("grade") > 1 else None, None
-    assert (clean["tail_2"] >= 0.5).mean() > 0.95
+    rest = ratings.filter("doc_id % 2 = 0").withColumnRenamed("grade", "rated")
+    got = ordinal.grade_documents(docs, model).join(rest, "doc_id").toPandas()
+    accept = got["tail_2"] >= 0.5
+    assert accept[got["rated"] == 2].mean() > 0.95
+    assert accept[got["rated"] == 0].mean() < 0.1 and accept[got["rated"] == 1].mean() < 0.7
 
 
 def test_ordinal_gradient():
@@ -184,10 +186,9 @@ def test_chat_odd_rows(spark, monkeypatch):
     rows = [(rnd.choice([1, 2, 3, None]), rnd.choice([None, 0, 1, 5000, 9000]), rnd.choice(["user", "assistant", None, "[/INST]"]),
              rnd.choice([None, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))]), 1) for _ in range(300)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part int")
-    formatted = check_chats(df.unionAll(df.limit(20)) if False else df)
+    formatted = check_chats(df)
     assert formatted.filter("part > 0").count() > 0          # a conversation over several runs of turns
     for r in formatted.collect():
-        assert "".join(chat.parse(r["formatted"])[i][1] for i in range(0)) == ""
         assert r["n_turns"] == len(chat.parse(r["formatted"]))
     assert chat.chat_digests(chat.format_chats(df.filter("false"))).count() == 0
 
