@@ -284,7 +284,8 @@ def brute_bm25(rows, queries, k):
 
 @pytest.mark.parametrize("sizes", [(32_768, 64, 8), (40, 8, 3)])
 def test_bm25_matches_brute_force(spark, odd_docs, monkeypatch, sizes):
-    monkeypatch.setattr(bm25, "FULL", 3)
+    monkeypatch.setattr(bm25, "SHARD_DOCS", sizes[0])
+    monkeypatch.setattr(bm25, "BLOCK", sizes[1])
     for docs in (documents(spark), odd_docs):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
         queries = docs.filter("doc_id % 20 = 0")
@@ -296,31 +297,36 @@ def test_bm25_matches_brute_force(spark, odd_docs, monkeypatch, sizes):
 
 
 def test_bm25_pruning_keeps_results():
-    """Small shards and blocks: the k best of a shard equal those of full scoring."""
+    """The documents that a shard returns hold the k best of full scoring, whatever is skipped."""
     rnd = np.random.default_rng(3)
     parts = []
     for _ in range(3):
         bags = [np.unique(rnd.zipf(1.3, 40) % 500, return_counts=True) for _ in range(100)]
         term = np.concatenate([b[0] for b in bags]).astype(np.int64)
-        doc, tf = np.repeat(np.arange(100), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags])
+        doc, tf = np.repeat(np.arange(100, dtype=np.int32), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags])
         order = np.argsort(term, kind="stable")
         terms, df = np.unique(term, return_counts=True)
         parts.append({"ids": list(range(100)), "lengths": np.full(100, 40), "terms": terms, "df": df, "docs": doc[order], "tf": tf[order]})
-    common = np.arange(6)
-    shard = bm25.Shard(parts, 40.0, common)
+    shard = bm25.Shard(parts, 40.0, np.arange(6))
+    full, rare, common = [], [], []
     for _ in range(50):
         words = np.unique(rnd.zipf(1.3, 30) % 500)
-        rare, com = words[words >= 6], words[words < 6]
-        w, cw = rnd.random(len(rare)), rnd.random(len(com))
-        full = cw @ shard.dense[com]
-        for t, x in zip(rare, w):
+        weight = rnd.random(len(words)) * 5
+        score = np.zeros(300)
+        for t, x in zip(words, weight):
             at = shard.places(np.array([t]))[0]
             if at >= 0:
                 s, e = shard.first[at], shard.last[at]
-                np.add.at(full, shard.doc[s:e], x * shard.impact[s:e])
-        score, doc = shard.best(shard.places(rare), w, com, cw, 5, 0.0)
-        best = np.sort(full)[::-1][:5]
-        assert np.allclose(np.sort(score)[::-1][:5], best[best > 0], atol=1e-6)
+                score[shard.doc[s:e]] += x * shard.impact[s:e]
+        full.append(score)
+        rare.append((shard.places(words[words >= 6]), weight[words >= 6]))
+        common.append((words[words < 6], weight[words < 6]))
+    for raised in (0.0, 0.9):
+        floors = np.array([np.sort(f)[-5] * raised for f in full])
+        for f, (score, doc) in zip(full, shard.best(rare, common, 5, floors)):
+            best = np.sort(f)[::-1][:5]
+            assert np.allclose(f[doc], score, atol=1e-8)
+            assert np.allclose(np.sort(score)[::-1][:5], best[best > 0], atol=1e-8)
 
 
 def test_bm25_empty(no_docs, odd_docs):
