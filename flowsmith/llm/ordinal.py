@@ -40,7 +40,7 @@ L2 = 1e-3
 STEPS = 160
 SCREEN = 4.5                # a slot gets a weight if two grades differ in it by so many standard errors
 RATE = 0.08
-CACHE = 400_000
+CACHE = 100_000
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
@@ -168,10 +168,13 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: i
     d = docs.select(F.col(id_col).cast("bigint").alias("d_id"), whole_text(text_col).alias("text"))
     rated = d.join(F.broadcast(chosen), F.col("d_id") == F.col("r_id")).select("grade", "d_id", "text")
     rows = rated.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_slot_rows, "grade int, slots array<int>")
-    got = rows.limit(2 * sample).toPandas()            # repeated ids can give more rows than ratings
-    order = sorted(range(len(got)), key=lambda i: (got["grade"][i], len(got["slots"][i]), tuple(got["slots"][i][:8])))
-    slots = [np.asarray(got["slots"][i], np.int32) for i in order]
-    grades = np.array([got["grade"][i] for i in order], np.int64)
+    got = rows.limit(2 * sample).toArrow().combine_chunks()        # repeated ids can give more rows than ratings
+    lists, grades = got.column("slots").combine_chunks(), got.column("grade").to_numpy()
+    flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    slots = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
+    # an order of the rows that does not depend on the order they came in: sums are then the same each time
+    order = sorted(range(len(slots)), key=lambda i: (grades[i], len(slots[i]), slots[i].tobytes()))
+    slots, grades = [slots[i] for i in order], grades[order].astype(np.int64)
     telling = screen(slots, grades, n_grades)
     return fit([s[telling[s]] for s in slots], grades, n_grades)
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,8 @@ from .common import materialize, whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 SPACE = "▁"
-CACHE = 250_000
-PAIRS = 1_000_000
+CACHE = 150_000
+PAIRS = 500_000
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FREE = -np.inf
 
@@ -75,18 +74,19 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.longest = vocabulary, vocabulary.longest
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}     # by first id * size + second id
+        self.names = {i: p for p, i in vocabulary.ids.items()}
         self.endings: dict = {}              # trie of the reversed pieces; None marks a piece
         for piece in vocabulary.ids:
             node = self.endings
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[None] = piece
+            node[None] = vocabulary.ids[piece]
         encoder = self
 
         class Table(dict):
             def __missing__(self, word):
-                ids = encoder.ids_of(encoder.scan(word))
+                ids = encoder.ids_of(encoder.scan(word)).tobytes()
                 if len(word) <= 64:
                     if len(self) >= CACHE:
                         self.clear()
@@ -112,11 +112,17 @@ class Encoder:
 
     def fits(self, a: str, b: str) -> bool:
         """Weight 0 (True) or -inf (False) of the step from piece a to piece b."""
-        got = self.pairs.get((a, b))
+        i, j = self.v.ids.get(a), self.v.ids.get(b)
+        # a character outside of the vocabulary merges with nothing
+        return True if i is None or j is None else self.fits_ids(i, j)
+
+    def fits_ids(self, i: int, j: int) -> bool:
+        key = i * self.v.size + j
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self._stay_apart(a, b)
+            got = self.pairs[key] = self._stay_apart(self.names[i], self.names[j])
         return got
 
     def _stay_apart(self, a: str, b: str) -> bool:
@@ -139,7 +145,7 @@ class Encoder:
                 scores[at - 1] = get(parts[at - 1] + parts[at], FREE)
         return parts == [a, b]
 
-    def ids_of(self, parts: list[str]) -> tuple[int, ...]:
+    def ids_of(self, parts: list[str]) -> np.ndarray:
         ids, raw = self.v.ids, self.v.byte_ids
         out: list[int] = []
         for p in parts:
@@ -148,7 +154,7 @@ class Encoder:
                 out += [raw[b] for b in p.encode("utf-8", "replace")]
             else:
                 out.append(i)
-        return tuple(out)
+        return np.array(out, np.int32)
 
     def ends(self, text: str, s: int, stop: int) -> list[int]:
         """Ends of the pieces that start at s (a single character always counts)."""
@@ -159,8 +165,8 @@ class Encoder:
 
     def scan(self, text: str) -> list[str]:
         """The pieces of a text that starts and ends at places no piece spans.  Each prefix has one last piece; backtrace from the end."""
-        n, pairs, fits, endings = len(text), self.pairs, self.fits, self.endings
-        last = [""] * (n + 1)
+        n, pairs, fits, size, endings = len(text), self.pairs, self.fits_ids, self.v.size, self.endings
+        last, width = [-1] * (n + 1), [1] * (n + 1)       # -1: a character outside of the vocabulary
         for e in range(1, n + 1):
             node = endings
             for s in range(e - 1, -1, -1):
@@ -169,26 +175,24 @@ class Encoder:
                     break
                 p = node.get(None)
                 if p is not None:
-                    if s:
-                        before = last[s]
-                        fit = pairs.get((before, p))
+                    before = last[s]
+                    if s and before >= 0:
+                        fit = pairs.get(before * size + p)
                         if fit is None:
                             fit = fits(before, p)
                         if not fit:
                             continue
-                    last[e] = p
+                    last[e], width[e] = p, e - s
                     break
-            if not last[e]:
-                last[e] = text[e - 1]            # outside of the vocabulary: a piece of its own
         out, e = [], n
         while e:
-            out.append(last[e])
-            e -= len(last[e])
+            out.append(text[e - width[e]:e])
+            e -= width[e]
         return out[::-1]
 
-    def encode(self, text: str) -> Iterator[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a marked text (see ``marked``) that starts and ends at places no piece spans."""
-        return chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text)))
+        return np.frombuffer(b"".join(map(self.words.__getitem__, WORDS.findall(text))), np.int32)
 
     # -- one chunk of a giant document -----------------------------------------------------
 
@@ -266,16 +270,16 @@ class Encoder:
                 break
         return out[::-1]
 
-    def backtrace(self, text: str, a: int, b: int, first: tuple[int, int], goal: tuple[int, int]) -> list[int]:
+    def backtrace(self, text: str, a: int, b: int, first: tuple[int, int], goal: tuple[int, int]) -> np.ndarray:
         """Ids of the pieces that start in the chunk [a, b), between its border states."""
         cut = self.meetings(text, a, b)
         if not cut:
-            return list(self.ids_of(self.walk(text, first, a, goal, b)))
+            return self.ids_of(self.walk(text, first, a, goal, b))
         head = self.forward(text, [first], a, cut[0])
         s = head[cut[0]][0][0]
-        ids = list(self.ids_of(self.walk(text, first, a, (s, cut[0]), cut[0]))) if (s, cut[0]) != first else []
-        ids += self.encode(text[cut[0]:cut[1]])
-        return ids + list(self.ids_of(self.walk(text, (cut[1], cut[1]), cut[1], goal, b)))
+        begin = self.walk(text, first, a, (s, cut[0]), cut[0]) if (s, cut[0]) != first else []
+        end = self.walk(text, (cut[1], cut[1]), cut[1], goal, b)
+        return np.concatenate((self.ids_of(begin), self.encode(text[cut[0]:cut[1]]), self.ids_of(end)))
 
 
 def marked(text: str) -> str:
@@ -316,10 +320,9 @@ def _encoder(shared, key: str) -> Encoder:
     return _KEPT[key]
 
 
-def _id_lists(rows: list, offsets_type=np.int32) -> pa.Array:
-    flat = [np.fromiter(r, np.int32) for r in rows]
-    offsets = np.concatenate(([0], np.cumsum([len(f) for f in flat]))).astype(offsets_type)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+def _id_lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32()))
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text",

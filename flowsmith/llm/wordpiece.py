@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 from .pieces import MODEL, SPACE, load
 
-CACHE = 300_000
+CACHE = 150_000
 
 
 class Automaton:

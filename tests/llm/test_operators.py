@@ -229,7 +229,7 @@ def test_pieces_of_chunks_without_spaces():
         cut = [(max(0, a - enc.longest), a, min(a + c, len(marked))) for a in range(0, len(marked), c)]
         args = [(marked[lo:b + enc.longest], a - lo, b - lo) for lo, a, b in cut]
         states = pieces.border_states([enc.transfer(*x)[2] for x in args])
-        ids = [i for (t, a, b), (s, e) in zip(args, states) for i in enc.backtrace(t, a, b, enc.states(t, a)[s], enc.states(t, b)[e])]
+        ids = [int(i) for (t, a, b), (s, e) in zip(args, states) for i in enc.backtrace(t, a, b, enc.states(t, a)[s], enc.states(t, b)[e])]
         assert ids == sp.encode(text)
 
 
