@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from ..sources.tables import read_table
 
 __all__ = ["ensure_checkpoint_dir", "materialize", "scratch_path", "read_table", "packed", "unpacked",
-           "whole_text", "table", "ship_package"]
+           "whole_text", "table", "ship_package", "marked_hits"]
 
 
 _SHIPPED: set[str] = set()
@@ -51,3 +51,17 @@ def whole_text(col: str | Column) -> Column:
     """The text itself, NULL counting as empty."""
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+HIT_SLOTS = 1 << 20
+
+
+def marked_hits(rows: DataFrame, cols: list[str], keys: DataFrame) -> DataFrame:
+    """``rows`` with the column ``_hit``: False only if the row's ``cols`` equal no row of ``keys`` (columns of the same names).
+
+    The keys are folded to at most ``HIT_SLOTS`` hash slots, which is the bound of what is broadcast, so rows without a hit need no
+    join and their texts no shuffle; rows with one go on to the exact join.  With far more keys than slots every row has a hit."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(HIT_SLOTS))
+    slots = keys.select(slot.alias("_slot")).distinct().withColumn("_seen", F.lit(True))
+    return (rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left")
+            .withColumn("_hit", F.col("_seen").isNotNull()).drop("_slot", "_seen"))

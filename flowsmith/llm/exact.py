@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, unpacked, whole_text
+from .common import marked_hits, materialize, packed, unpacked, whole_text
 
 CAPACITY = 65_536
 SPACES = r"[\x20\x09-\x0D]+"
@@ -112,9 +112,10 @@ def build_index(ent: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, tu
 def compare_bytes(docs: DataFrame, index: DataFrame, directory: tuple, text_col: str = "text") -> DataFrame:
     """The owner tasks: chain the different texts of each key that occurs more than once.
     Returns (key, sha, chain); stops if a digest stood for two texts."""
-    again = index.groupBy("key").agg(F.sum("size").alias("rows")).filter("rows > 1").select("key")
+    again = materialize(index.groupBy("key").agg(F.sum("size").alias("rows")).filter("rows > 1").select("key"))
     texts = docs.select(normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    texts = with_bucket(texts.join(again, "key", "left_semi"), directory)
+    some = marked_hits(texts, ["key"], again).filter("_hit").drop("_hit")
+    texts = with_bucket(some.join(again, "key", "left_semi"), directory)
     same = texts.groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("rows"))
     chained = same.select("key", F.sha2("norm", 256).alias("sha"), "rows")
     return chained.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
@@ -160,12 +161,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = ((F.col("r.key") == F.col("d.key")) & (F.col("r.sha") == F.col("d.sha"))
             & (F.col("r.n") == F.col("d.n")) & F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")))
     gone = materialize(marked)
-    kept = rows.alias("r").join(gone.filter("not best").alias("d"), same, "left_anti")
     tied = gone.filter("best and copies > 1")
+    rows = marked_hits(rows, ["key"], gone.filter("not best or copies > 1"))
+    alone = unpacked(rows.filter("not _hit"))
+    kept = rows.filter("_hit").alias("r").join(gone.filter("not best").alias("d"), same, "left_anti")
     if tied.isEmpty():
-        return unpacked(kept)
+        return alone.unionByName(unpacked(kept))
     # rows equal in id, length and normalised text: one of each stays
     one = kept.alias("r").join(tied.alias("d"), same, "left_semi").dropDuplicates(["key", "sha"])
     rest = kept.alias("r").join(tied.alias("d"), same, "left_anti")
-    return unpacked(rest).unionByName(unpacked(one))
+    return alone.unionByName(unpacked(rest)).unionByName(unpacked(one))
 

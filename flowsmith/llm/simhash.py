@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, unpacked, whole_text
+from .common import marked_hits, materialize, packed, unpacked, whole_text
 from .components import components
 
 WIDTH = 3
@@ -236,16 +236,21 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group have that id (or none of them has one), one of these stays."""
     fps, named = _grouped(docs, id_col, text_col, width)
     named = materialize(named)
-    heads = materialize(fps.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                        .groupBy(F.col("doc_id").alias("head")).agg(F.count(F.lit(1)).alias("rows")))
+    is_head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # by id: how many of its rows name their group, how many do not
+    ids = materialize(fps.join(named, "fp").groupBy("doc_id").agg(
+        F.count_if(is_head).alias("heads"), F.count_if(~is_head).alias("others"))
+        .filter("doc_id is null or heads <> 1 or others > 0"))
     rows = packed(docs, _id=F.col(id_col).cast("bigint"), _text=whole_text(text_col))
-    same = F.col("_id").eqNullSafe(F.col("head"))
-    clear = F.col("head").isNotNull() & (F.col("rows") == 1)
-    kept = rows.drop("_text").join(heads.filter(clear), same, "left_semi")
-    tied = heads.filter(~clear)
+    # every row that is not looked up below is the one head of its group
+    rows = marked_hits(rows, ["_id"], ids.select(F.col("doc_id").alias("_id")))
+    alone = unpacked(rows.filter("not _hit"))
+    rows, same = rows.filter("_hit").drop("_hit"), F.col("_id").eqNullSafe(F.col("head"))
+    kept = alone.unionByName(unpacked(rows.drop("_text").join(ids.select(F.col("doc_id").alias("head")), same, "left_anti")))
+    tied = ids.filter("heads > 0").select(F.col("doc_id").alias("head"))
     if tied.isEmpty():
-        return unpacked(kept)
+        return kept
     digest = F.pandas_udf(lambda t: t.map(lambda x: _signed(fingerprint(x, width))), "bigint")
     some = rows.join(tied, same, "left_semi").withColumn("fp", digest("_text")).join(named, "fp")
     one = some.filter(F.col("_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return unpacked(kept).unionByName(unpacked(one))
+    return kept.unionByName(unpacked(one))
