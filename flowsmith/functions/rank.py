@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000        # a key above this many rows is ranked in buckets
 HOT_BROADCAST_ROWS = 100_000
+NULL_BUCKET = -(1 << 62)    # NULL order values come first
+
+
+def _join_null_safe(rows: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
+    """Adds the offsets of each row's key; a NULL key finds the NULL key's offsets."""
+    named = offsets.select(*[F.col(c).alias(f"_k_{c}") if c in key else F.col(c) for c in offsets.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+    return rows.join(named, same).drop(*[f"_k_{c}" for c in key])
 
 
 def _hot_keys(df: DataFrame, part_cols: list[str], hot_rows: int):
@@ -49,8 +57,12 @@ def ranked_within(df: DataFrame, part_cols: list[str], order_cols: list, fine_bu
         return out
 
     hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST_ROWS else hot
-    b = df.join(hot, part_cols, "left").withColumn(
-        "_bk", F.when(F.col("_hot"), fine_bucket.cast("bigint")).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    hot = hot.select(*[F.col(c).alias(f"_h_{c}") for c in part_cols], "_hot")
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in part_cols]
+    # NULL order values sort first, so their bucket is the lowest
+    fine = F.coalesce(fine_bucket.cast("bigint"), F.lit(NULL_BUCKET))
+    b = df.join(hot, same, "left").withColumn(
+        "_bk", F.when(F.col("_hot"), fine).otherwise(F.lit(0).cast("bigint"))).drop("_hot", *[f"_h_{c}" for c in part_cols])
     key = part_cols + ["_bk"]
     w_in = Window.partitionBy(*key).orderBy(*order_cols)
     ranked = b.withColumn("_rb", F.row_number().over(w_in) - 1)
@@ -68,7 +80,7 @@ def ranked_within(df: DataFrame, part_cols: list[str], order_cols: list, fine_bu
     if carry_col:
         buckets = buckets.withColumn("_prev_last", F.lag("_last").over(w_b))
         sel.append("_prev_last")
-    out = ranked.join(buckets.select(*sel), on=key, how="inner")
+    out = _join_null_safe(ranked, buckets.select(*sel), key)
     out = out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint"))
     if carry_col:
         out = out.withColumn(f"prev_{carry_col}",
@@ -85,14 +97,14 @@ def global_rank(df: DataFrame, bucket: Column, order_cols: list, part_cols: list
     Every bucket is ranked by its own window; offsets come from a table of
     bucket counts (one row per bucket and part)."""
     part_cols = part_cols or []
-    tmp = df.withColumn("_gb", bucket.cast("bigint"))
+    tmp = df.withColumn("_gb", F.coalesce(bucket.cast("bigint"), F.lit(NULL_BUCKET)))
     key = part_cols + ["_gb"]
     ranked = tmp.withColumn("_rb", F.row_number().over(Window.partitionBy(*key).orderBy(*order_cols)))
     counts = tmp.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"))
     w_b = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()).orderBy("_gb") \
         .rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_off", F.sum("_cnt").over(w_b) - F.col("_cnt")).drop("_cnt")
-    out = ranked.join(counts, key)
+    out = _join_null_safe(ranked, counts, key)
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint")).drop("_rb", "_off", "_gb")
 
 
@@ -105,7 +117,7 @@ def running_mean(df: DataFrame, part_cols: list[str], order_col: str, value_col:
     range its offset, and the running sum runs per range.  Returns ``df`` with
     the column ``running_mean`` added."""
     dec = F.col(value_col).cast("decimal(38,10)")
-    b = df.withColumn("_rb", (F.col(order_col) / bucket_size).cast("bigint")).withColumn("_x", dec)
+    b = df.withColumn("_rb", F.coalesce((F.col(order_col) / bucket_size).cast("bigint"), F.lit(NULL_BUCKET))).withColumn("_x", dec)
     key = part_cols + ["_rb"]
     sums = b.groupBy(*key).agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
     w_b = Window.partitionBy(*part_cols).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +125,7 @@ def running_mean(df: DataFrame, part_cols: list[str], order_col: str, value_col:
                 .withColumn("_c0", F.coalesce(F.sum("_c").over(w_b), F.lit(0))).drop("_s", "_c"))
     w_in = Window.partitionBy(*key).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = (b.withColumn("_sr", F.sum("_x").over(w_in)).withColumn("_cr", F.count("_x").over(w_in))
-            .join(sums, key))
+            )
+    out = _join_null_safe(out, sums, key)
     mean = (F.col("_s0") + F.col("_sr")).cast("double") / (F.col("_c0") + F.col("_cr"))
     return out.withColumn("running_mean", mean).drop("_rb", "_x", "_s0", "_c0", "_sr", "_cr")

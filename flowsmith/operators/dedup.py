@@ -26,18 +26,24 @@ def _source_keys(original_cells: DataFrame, id_col: str) -> DataFrame:
     return flow_keys(original_cells, id_col).select("h", "app", "key").distinct()
 
 
+def _same_flow(source: DataFrame):
+    """(source with renamed keys, null-safe condition): flows without a label can be equal too."""
+    named = source.select(*[F.col(c).alias(f"_s_{c}") for c in ("h", "app", "key")])
+    return named, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in ("h", "app", "key")]
+
+
 def duplicate_rows(generated: DataFrame, original: DataFrame,
                    gen_id: str = "sample_id", orig_id: str = "flow_id") -> DataFrame:
     """Generated flows equal to some source flow -> (id, app)."""
     g = flow_keys(generated, gen_id)
-    return g.join(_source_keys(original, orig_id), ["h", "app", "key"], "left_semi").select(gen_id, "app")
+    return g.join(*_same_flow(_source_keys(original, orig_id)), "left_semi").select(gen_id, "app")
 
 
 def novel_rows(generated: DataFrame, original: DataFrame,
                gen_id: str = "sample_id", orig_id: str = "flow_id") -> DataFrame:
     """Generated flows equal to no source flow -> (id, app)."""
     g = flow_keys(generated, gen_id)
-    return g.join(_source_keys(original, orig_id), ["h", "app", "key"], "left_anti").select(gen_id, "app")
+    return g.join(*_same_flow(_source_keys(original, orig_id)), "left_anti").select(gen_id, "app")
 
 
 def duplicate_stats(generated: DataFrame, original: DataFrame,
@@ -46,8 +52,8 @@ def duplicate_stats(generated: DataFrame, original: DataFrame,
     total_original.  Both sides are tagged and counted in one aggregate."""
     g = flow_keys(generated, gen_id)
     src = flow_keys(original, orig_id)
-    marked = g.join(src.select("h", "app", "key").distinct().withColumn("_dup", F.lit(1)),
-                    ["h", "app", "key"], "left")
+    named, same = _same_flow(src.select("h", "app", "key").distinct())
+    marked = g.join(named.withColumn("_dup", F.lit(1)), same, "left")
     tagged = (marked.select(F.lit(1).alias("_gen"), F.col("_dup"))
               .unionByName(src.select(F.lit(0).alias("_gen"), F.lit(None).cast("int").alias("_dup"))))
     stats = tagged.agg(F.sum("_gen").alias("total_generated"), F.count("_dup").alias("num_duplicates"),

@@ -74,7 +74,7 @@ def policy(scores: DataFrame) -> DataFrame:
     failures = scores.where(F.col("ppl") == K.PERPLEXITY_FAILURE).count()
     return pol.select(F.col("n").alias("n_samples"),
                       *[F.round(c, 6).alias(c) for c in ("median", "p75", "p90", "p95", "threshold")],
-                      "max_rate", "budget", F.lit(above).cast("bigint").alias("n_above"),
+                      F.col("threshold").alias("raw_threshold"), "max_rate", "budget", F.lit(above).cast("bigint").alias("n_above"),
                       F.least(F.lit(above), F.col("budget")).cast("bigint").alias("n_selected"),
                       F.lit(failures).cast("bigint").alias("encoding_failures"))
 
@@ -82,7 +82,7 @@ def policy(scores: DataFrame) -> DataFrame:
 def candidates(scores: DataFrame, pol_row, id_col: str = "sample_id") -> DataFrame:
     """M5: scores above the threshold; beyond the budget the worst ``budget``
     (score desc, then id).  A budget of 0 selects none."""
-    above = scores.where(F.col("ppl") > F.lit(pol_row["threshold"]))
+    above = scores.where(F.col("ppl") > F.lit(pol_row["raw_threshold"]))
     if pol_row["n_above"] <= pol_row["budget"]:
         return above
     return top_k(above, "ppl", id_col, int(pol_row["budget"]))

@@ -19,7 +19,7 @@ ROWS_PER_BUCKET = 200_000
 
 def _check(train: float, val: float, test: float) -> None:
     if abs(train + val + test - 1.0) >= K.RATIO_TOLERANCE:
-        raise ValueError("Ratios must sum to 1.0")
+        raise ValueError(f"shares of {train}, {val} and {test} do not add up to one")
 
 
 def shuffled(flows: DataFrame, id_col: str = "flow_id", seed: int = K.SPLIT_SEED,
@@ -49,7 +49,8 @@ def split_stratified(flows: DataFrame, train: float = K.TRAIN_RATIO, val: float
     _check(train, val, test)
     r = shuffled(flows, id_col, seed, part_cols=["app"])
     sizes = flows.groupBy("app").agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(sizes, "app")  # one row per label
+    sizes = sizes.withColumnRenamed("app", "_app")            # one row per label, NULL included
+    r = r.join(sizes, F.col("app").eqNullSafe(F.col("_app"))).drop("_app")
     n_train = F.floor(F.col("_n") * train)
     n_val = F.floor(F.col("_n") * val)
     split = (F.when(F.col("rank") <= n_train, "train")

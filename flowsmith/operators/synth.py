@@ -122,7 +122,8 @@ def apportion(label_counts: DataFrame, n: int, original: bool = True) -> DataFra
           .withColumn("labels", F.count(F.lit(1)).over(everything))
           .withColumn("total", F.sum("cnt").over(everything)))
     if original:
-        share = F.floor(F.lit(n).cast("decimal(38,0)") * F.col("cnt") / F.col("total")).cast("bigint")
+        # whole-number division: a decimal quotient would round at its last place before the floor
+        share = F.expr(f"cast(cast({int(n)} as decimal(19,0)) * cast(cnt as decimal(19,0)) div cast(total as decimal(19,0)) as bigint)")
         lc = lc.withColumn("_share", share)
         others = F.sum(F.when(F.col("rn") < F.col("labels"), F.col("_share")).otherwise(0)).over(everything)
         k = F.when(F.col("rn") == F.col("labels"), F.lit(n) - others).otherwise(F.col("_share"))

@@ -195,7 +195,7 @@ select n as n_samples, round(median, 6) as median, round(p75, 6) as p75, round(p
        least((select count(*) from ab), budget) as n_selected, failures as encoding_failures
 from pol""", "cells", extra=score_ctes()))
 def perplexity_policy(spark, sf):
-    return Run(spark, sf).policy
+    return Run(spark, sf).policy.drop("raw_threshold")
 
 
 @register("repair_candidates", A.with_views("select * from cand", "cells", extra=score_ctes()))

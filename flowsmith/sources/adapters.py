@@ -25,7 +25,8 @@ from ..functions.joins import broadcast_if_small
 from ..functions.rank import ranked_within
 from .tables import read_table
 
-FLOW_KEY_BASE = 100000
+# A flow id is key * 2^31 + flow number: the numbers of two keys meet only beyond 64 billion packets of one key.
+FLOW_KEY_BASE = 1 << 31
 
 
 def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def candidate_of(c: DataFrame) -> DataFrame:
     v = (F.when(m == 1, F.col("v") + 0.0000001)
          .when((m == 2) & (F.col("slot") == 0), F.col("v") + 1.0)
          .otherwise(F.col("v")))
-    return c.select((F.col("flow_id") + 900000000).alias("flow_id"), "app", "grp", "slot", v.alias("v"))
+    return c.select((-F.col("flow_id") - 1).alias("flow_id"), "app", "grp", "slot", v.alias("v"))
 
 
 def _events_packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +208,7 @@ select flow_id, app, slot,
        case when l_returnflag = 'R' then -1.0e0 else 1.0e0 end as dir,
        cast(case when l_discount = 0 then 0 when l_quantity <= 2 then 15 when l_quantity >= 49 then 9500
                  when l_quantity >= 46 then 1800 else floor(l_quantity / 5) * 150 + 25 end as double) as size
-from (select cast(s_suppkey * 100000 + floor(rn / 30) as bigint) as flow_id, app, cast(rn % 30 as int) as slot,
+from (select cast(s_suppkey * 2147483648 + floor(rn / 30) as bigint) as flow_id, app, cast(rn % 30 as int) as slot,
              cast(l_shipdate as date) as d, l_quantity, l_discount, l_returnflag
       from (select s.s_suppkey, r.r_name as app, l.l_shipdate, l.l_quantity, l.l_discount, l.l_returnflag,
                    row_number() over (partition by l.l_suppkey
@@ -238,7 +239,7 @@ select flow_id, app, grp, slot,
 from cells
 """,
     "cells_candidate": """
-select flow_id + 900000000 as flow_id, app, grp, slot,
+select -flow_id - 1 as flow_id, app, grp, slot,
   case when flow_id % 10 = 1 then v + 0.0000001e0
        when flow_id % 10 = 2 and slot = 0 then v + 1.0e0 else v end as v
 from cells
@@ -248,7 +249,7 @@ select flow_id, app, slot,
        cast(coalesce(mi - lag(mi) over (partition by flow_id order by slot), 0) as double) as ipt,
        case when event_type in ('view', 'error') then -1.0e0 else 1.0e0 end as dir,
        cast(floor(value * 10) as double) as size
-from (select cast(user_id * 100000 + floor(rn / 30) as bigint) as flow_id, app, cast(rn % 30 as int) as slot,
+from (select cast(user_id * 2147483648 + floor(rn / 30) as bigint) as flow_id, app, cast(rn % 30 as int) as slot,
              mi, event_type, value
       from (select e.user_id, day(e.ts) * 1440 + hour(e.ts) * 60 + minute(e.ts) as mi, e.event_type, e.value,
                    coalesce(c.c_mktsegment, 'Unknown') as app,
@@ -293,9 +294,10 @@ def with_views(sql: str, *views: str, extra: dict[str, str] | None = None) -> st
         for dep in VIEW_DEPS[v] + [v]:
             if dep not in order:
                 order.append(dep)
-    ctes = [f"{name} as ({SQL_VIEWS[name].strip()})" for name in order]
+    # materialized: views that several others read are computed once
+    ctes = [f"{name} as materialized ({SQL_VIEWS[name].strip()})" for name in order]
     for name, text in (extra or {}).items():
-        ctes.append(f"{name} as ({text.strip()})")
+        ctes.append(f"{name} as materialized ({text.strip()})")
     text = sql if not ctes else "with " + ",\n".join(ctes) + "\n" + sql
     return _bigint_counts(text)
 

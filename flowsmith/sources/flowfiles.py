@@ -28,9 +28,14 @@ HISTORY = T.StructType([
 # --- S1 / S4 ---------------------------------------------------------------
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Wide flows with the fixed schema (no inference); empty cells are NULL."""
+    """Wide flows in the fixed column order (no inference).  Columns are found by the header's names, whatever their order;
+    empty cells and absent columns are NULL."""
     if fmt == "csv":
-        return spark.read.schema(FLOW_WIDE).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        # columns pruned by position would depend on the header of each file
+        raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+        have = set(raw.columns)
+        return raw.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+                            for f in FLOW_WIDE])
     return spark.read.schema(FLOW_WIDE).parquet(path)
 
 
@@ -53,11 +58,6 @@ def write_flows(wide: DataFrame, path: str, fmt: str = "csv", partition_by_label
 
 # --- S2 / S3 ---------------------------------------------------------------
 
-def header_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file from its header (reads the first line only)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-
-
 def schema_audit(spark: SparkSession, df: DataFrame) -> DataFrame:
     """One row - rows, feature columns present, missing feature names (in
     feature order), whether a label column exists and how many labels."""
@@ -73,11 +73,11 @@ def schema_audit(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def complete_schema(df: DataFrame) -> DataFrame:
-    """S3: absent features become 0.0, an absent label becomes 'Unknown';
+    """S3: absent features become 0.0, an absent or NULL label becomes 'Unknown';
     present columns are cast to double."""
     cols = set(df.columns)
     feats = [F.col(c).cast("double").alias(c) if c in cols else F.lit(0.0).alias(c) for c in K.FEATURES]
-    label = F.col(K.LABEL_COL) if K.LABEL_COL in cols else F.lit(K.UNKNOWN_LABEL)
+    label = F.coalesce(F.col(K.LABEL_COL), F.lit(K.UNKNOWN_LABEL)) if K.LABEL_COL in cols else F.lit(K.UNKNOWN_LABEL)
     keep = [c for c in df.columns if c not in K.FEATURES and c != K.LABEL_COL]
     return df.select(*keep, *feats, label.alias(K.LABEL_COL))
 
