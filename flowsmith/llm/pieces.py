@@ -26,6 +26,7 @@ comes back as a space.  Repeated rows each give a row; a NULL id is kept; empty
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,10 +86,16 @@ class Encoder:
         encoder = self
 
         class Table(dict):
+            """Two generations: when the younger is full it becomes the older, so words in use stay."""
+            older: dict = {}
+
             def __missing__(self, word):
-                ids = encoder.ids_of(encoder.scan(word)).tobytes()
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = encoder.word_ids(word)
                 if len(word) <= 64:
-                    if len(self) >= CACHE:
+                    if len(self) >= CACHE // 2:
+                        self.older = dict(self)
                         self.clear()
                     self[word] = ids
                 return ids
@@ -163,10 +170,11 @@ class Encoder:
 
     # -- from a known start ----------------------------------------------------------------
 
-    def scan(self, text: str) -> list[str]:
-        """The pieces of a text that starts and ends at places no piece spans.  Each prefix has one last piece; backtrace from the end."""
+    def scan(self, text: str) -> list[tuple[int, int]]:
+        """(id, end) of the pieces of a text that starts and ends at places no piece spans, last one first; id -1: a character
+        outside of the vocabulary.  Each prefix has one last piece that fits; backtrace from the end."""
         n, pairs, fits, size, endings = len(text), self.pairs, self.fits_ids, self.v.size, self.endings
-        last, width = [-1] * (n + 1), [1] * (n + 1)       # -1: a character outside of the vocabulary
+        last, width = [-1] * (n + 1), [1] * (n + 1)
         for e in range(1, n + 1):
             node = endings
             for s in range(e - 1, -1, -1):
@@ -186,9 +194,19 @@ class Encoder:
                     break
         out, e = [], n
         while e:
-            out.append(text[e - width[e]:e])
+            out.append((last[e], e))
             e -= width[e]
-        return out[::-1]
+        return out
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word as the bytes of 32-bit numbers."""
+        out = array("i")
+        for i, e in reversed(self.scan(word)):
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend([self.v.byte_ids[b] for b in word[e - 1].encode("utf-8", "replace")])
+        return out.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a marked text (see ``marked``) that starts and ends at places no piece spans."""
