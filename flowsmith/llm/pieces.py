@@ -175,23 +175,27 @@ class Encoder:
         outside of the vocabulary.  Each prefix has one last piece that fits; backtrace from the end."""
         n, pairs, fits, size, endings = len(text), self.pairs, self.fits_ids, self.v.size, self.endings
         last, width = [-1] * (n + 1), [1] * (n + 1)
+        pair = pairs.get
         for e in range(1, n + 1):
-            node = endings
+            node, found = endings, []
             for s in range(e - 1, -1, -1):
                 node = node.get(text[s])
                 if node is None:
                     break
-                p = node.get(None)
-                if p is not None:
-                    before = last[s]
-                    if s and before >= 0:
-                        fit = pairs.get(before * size + p)
-                        if fit is None:
-                            fit = fits(before, p)
-                        if not fit:
-                            continue
-                    last[e], width[e] = p, e - s
-                    break
+                if None in node:
+                    found.append(s)
+                    found.append(node[None])
+            while found:                           # the longest is right most often
+                p, s = found.pop(), found.pop()
+                before = last[s] if s else -1
+                if before >= 0:
+                    fit = pair(before * size + p)
+                    if fit is None:
+                        fit = fits(before, p)
+                    if not fit:
+                        continue
+                last[e], width[e] = p, e - s
+                break
         out, e = [], n
         while e:
             out.append((last[e], e))
