@@ -6,10 +6,11 @@ base tokenizer (``EOS_ID`` = end of text, also the pad id); the flow tokens
 ``BASE_VOCAB`` on, dense in first-occurrence order (300 listed, 264 distinct);
 each label of the corpus is one further token.
 
-Encoding is positional and narrow: cell (g, s) owns positions
-2 + 3 (30 g + s) .. + 2 (feature, value, SEP); one cell per flow also emits
-the start and end tokens.  No shuffle; the vocabulary (264 rows, fixed) and
-the label table (one row per label) are broadcast.
+A flow's tokens stand without gaps: start tokens, three tokens (feature,
+value, SEP) for each cell that the flow has, in (group, slot) order, then the
+label section if it has a label, and the end token.  Encoding gathers the at
+most 90 cells of a flow in one shuffle; the vocabulary (264 rows, fixed) is
+broadcast, the label table (one row per label) up to a checked size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from ..functions.scalar import bin_label, dequantize, quantize
 BASE_VOCAB = 50257
 EOS_ID = 50256
 N_CELLS = K.N_GROUPS * K.N_SLOTS
-SEQ_BODY = 2 + 3 * N_CELLS           # SAMPLE_START, PPI_START, 90 x (feature, value, SEP)
-SEQ_LEN = SEQ_BODY + 5               # PPI_END, APP_START, label, APP_END, SAMPLE_END
+SAMPLE_END_ID = BASE_VOCAB + K.STRUCTURAL_TOKENS.index("<SAMPLE_END>")   # the structural tokens are listed first
 LABEL_BROADCAST_ROWS = 100_000
 
 
@@ -60,8 +60,8 @@ def vocab(spark: SparkSession) -> DataFrame:
 
 
 def label_vocab(labels: DataFrame, first_id: int) -> DataFrame:
-    """(app, token_id) for the distinct labels, ids in label order."""
-    d = labels.select("app").distinct()
+    """(app, token_id) for the distinct labels, ids in label order; no label is none."""
+    d = labels.select("app").where(F.col("app").isNotNull()).distinct()
     return d.select("app", (F.dense_rank().over(Window.orderBy("app")) - 1 + first_id).cast("int").alias("token_id"))
 
 
@@ -71,8 +71,10 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 def encode(cells: DataFrame, voc: DataFrame, labels: DataFrame | None = None,
            id_col: str = "flow_id") -> DataFrame:
-    """K2: (id, pos, token_id) long form of the token sequences; a corpus of
-    n flows has 277 n rows.  ``labels`` is the label vocabulary (app, token_id)."""
+    """K2: (id, pos, token_id) long form of the token sequences, 277 rows for a
+    complete flow.  A cell that a flow lacks has no tokens (a NULL value has: it
+    quantizes like any other), a NULL label no label section; a label missing from
+    ``labels`` (app, token_id), the label vocabulary, has a NULL token id."""
     v = F.broadcast(voc.select("token", "token_id"))  # fixed 264 rows
     first_label = BASE_VOCAB + 264
     lv = labels if labels is not None else label_vocab(cells, first_label)
@@ -84,42 +86,37 @@ def encode(cells: DataFrame, voc: DataFrame, labels: DataFrame | None = None,
     c = (c.join(v, c["_tok"] == v["token"], "left")
          .withColumn("value_id", F.coalesce(F.col("token_id"), F.lit(ids[K.UNK_TOKEN])))
          .drop("token", "token_id"))
-    c = c.join(lv, "app", "left")
     k = F.col("grp") * K.N_SLOTS + F.col("slot")
-    feature_id = F.lit(ids["<PPI_0_0>"]) + k  # the 90 feature tokens are listed consecutively
-    base = 2 + 3 * k
-    own = F.array(F.struct(base.alias("pos"), feature_id.alias("tok")),
-                  F.struct((base + 1).alias("pos"), F.col("value_id").alias("tok")),
-                  F.struct((base + 2).alias("pos"), F.lit(ids["<SEP>"]).alias("tok")))
-    frame = F.array(
-        F.struct(F.lit(0).alias("pos"), F.lit(ids["<SAMPLE_START>"]).alias("tok")),
-        F.struct(F.lit(1).alias("pos"), F.lit(ids["<PPI_START>"]).alias("tok")),
-        F.struct(F.lit(SEQ_BODY).alias("pos"), F.lit(ids["<PPI_END>"]).alias("tok")),
-        F.struct(F.lit(SEQ_BODY + 1).alias("pos"), F.lit(ids["<APP_START>"]).alias("tok")),
-        F.struct(F.lit(SEQ_BODY + 2).alias("pos"), F.col("label_id").alias("tok")),
-        F.struct(F.lit(SEQ_BODY + 3).alias("pos"), F.lit(ids["<APP_END>"]).alias("tok")),
-        F.struct(F.lit(SEQ_BODY + 4).alias("pos"), F.lit(ids["<SAMPLE_END>"]).alias("tok")))
-    first_cell = (F.col("grp") == 0) & (F.col("slot") == 0)
-    toks = F.when(first_cell, F.concat(frame, own)).otherwise(own)
-    return (c.select(id_col, F.explode(toks).alias("t"))
-            .select(id_col, F.col("t.pos").cast("int").alias("pos"), F.col("t.tok").cast("int").alias("token_id")))
-
-
-def pack(tokens: DataFrame, max_len: int = K.MAX_SEQ_LEN, id_col: str = "flow_id",
-         seq_len: int = SEQ_LEN) -> DataFrame:
+    # at most 90 cells of one flow
+    flows = (c.groupBy(id_col).agg(F.max("app").alias("app"), F.array_sort(F.collect_list(F.struct(k.alias("k"), "value_id"))).alias("_c"))
+             .join(lv, "app", "left"))
+
+    def fixed(*names: str):
+        return F.array(*[F.lit(ids[n]) for n in names])
+
+    first = ids["<PPI_0_0>"]  # the 90 feature tokens are listed consecutively
+    body = F.flatten(F.transform("_c", lambda x: F.array((x["k"] + first).cast("int"), x["value_id"], F.lit(ids["<SEP>"]))))
+    label = F.concat(fixed("<APP_START>"), F.array("label_id"), fixed("<APP_END>"))
+    toks = F.concat(fixed("<SAMPLE_START>", "<PPI_START>"), body, fixed("<PPI_END>"),
+                    F.when(F.col("app").isNotNull(), label).otherwise(F.array().cast("array<int>")), fixed("<SAMPLE_END>"))
+    return flows.select(id_col, F.posexplode(toks).alias("pos", "token_id"))
+
+
+def pack(tokens: DataFrame, max_len: int = K.MAX_SEQ_LEN, id_col: str = "flow_id") -> DataFrame:
     """K3: fixed-length model input.  Sequences are cut to max_len - 1, EOS is
-    appended, the rest is padded with EOS; mask 1 on real tokens; labels = ids
-    with -100 on padding.  Long form (id, pos, input_id, attention_mask, label)."""
-    keep = min(seq_len, max_len - 1)
-    body = tokens.where(F.col("pos") < keep).select(
+    appended, the rest is padded with EOS from each sequence's own length on;
+    mask 1 on real tokens; labels = ids with -100 on padding.  Long form
+    (id, pos, input_id, attention_mask, label), max_len rows per sequence."""
+    body = tokens.where(F.col("pos") < max_len - 1).select(
         id_col, "pos", F.col("token_id").alias("input_id"), F.lit(1).alias("attention_mask"),
         F.col("token_id").alias("label"))
-    # the first token of each sequence emits the EOS and the padding positions
-    tail = (tokens.where(F.col("pos") == 0)
-            .select(id_col, F.explode(F.sequence(F.lit(keep), F.lit(max_len - 1))).alias("pos"))
+    # the last token of each sequence emits the EOS and the padding positions
+    tail = (tokens.where(F.col("token_id") == SAMPLE_END_ID)
+            .select(id_col, F.least(F.col("pos") + 1, F.lit(max_len - 1)).alias("_keep"))
+            .select(id_col, "_keep", F.explode(F.sequence(F.col("_keep"), F.lit(max_len - 1))).alias("pos"))
             .select(id_col, "pos", F.lit(EOS_ID).alias("input_id"),
-                    F.when(F.col("pos") == keep, 1).otherwise(0).alias("attention_mask"),
-                    F.when(F.col("pos") == keep, F.lit(EOS_ID)).otherwise(F.lit(K.IGNORE_INDEX)).alias("label")))
+                    F.when(F.col("pos") == F.col("_keep"), 1).otherwise(0).alias("attention_mask"),
+                    F.when(F.col("pos") == F.col("_keep"), F.lit(EOS_ID)).otherwise(F.lit(K.IGNORE_INDEX)).alias("label")))
     return body.unionByName(tail).select(id_col, F.col("pos").cast("int"), F.col("input_id").cast("int"),
                                          F.col("attention_mask").cast("int"), F.col("label").cast("int"))
 
@@ -149,7 +146,8 @@ def token_frequency(tokens: DataFrame, voc: DataFrame, labels: DataFrame) -> Dat
     """K5: (token_id, token, cnt): counts per token; labels by name."""
     counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("cnt"))
     names = voc.select("token_id", "token").unionByName(labels.select("token_id", F.col("app").alias("token")))
-    return counts.join(F.broadcast(names), "token_id", "left").select("token_id", "token", "cnt")
+    # as many rows as tokens: Spark chooses the join from its size
+    return counts.join(names, "token_id", "left").select("token_id", "token", "cnt")
 
 
 def sequence_lengths(tokens: DataFrame, max_len: int = K.MAX_SEQ_LEN, id_col: str = "flow_id") -> DataFrame:

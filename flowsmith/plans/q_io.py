@@ -1,4 +1,4 @@
-"""Source / sink queries (S1-S3, S6, S7): flows and histories written to the
+"""Source / sink queries (S1-S3, S5-S7): flows and histories written to the
 shared checkpoint folder and read back."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from ..operators import synth as S
 from ..session import materialize, scratch_path
 from ..sources import adapters as A
 from ..sources import flowfiles as FF
-from .catalog import register
+from .catalog import QUERIES, register
 from .common import cell_counts
 from .q_synth import synth_cells_df, synth_ctes, wide_sql
 from .q_profile import thresholds_sql
@@ -72,15 +72,23 @@ def schema_completion(spark, sf):
 
 @register("metric_history_unnest", A.with_views("""
 select run_id, cast(row_number() over (partition by run_id order by epoch) as integer) as epoch,
-       train_loss, val_loss, cast(null as double) as lr, secs
+       train_loss, val_loss, 5.0e-5 / epoch as lr, secs
 from run_metrics""", "run_metrics"))
 def metric_history_unnest(spark, sf):
-    """Histories written as one JSON object per run and read back."""
+    """Histories written as one JSON object per run and read back; the rate falls as 1 / epoch."""
     path = scratch_path(spark, "history-json")
-    FF.write_history(A.run_metrics(spark, sf), path)
+    FF.write_history(A.run_metrics(spark, sf).withColumn("lr", F.lit(5.0e-5) / F.col("epoch")), path)
     return FF.read_history(spark, path).withColumn("epoch", F.col("epoch").cast("int"))
 
 
+@register("profile_files", QUERIES["group_profile_by_app"][1])
+def profile_files(spark, sf):
+    """The (label, group) profile written as JSON and read back."""
+    profile = QUERIES["group_profile_by_app"][0](spark, sf)
+    paths = FF.write_profile({"group_profile": profile}, scratch_path(spark, "profile"))
+    return spark.read.schema(profile.schema).json(paths["group_profile"])
+
+
 @register("generation_report", A.with_views("""
 select s.grp, (select count(*) from syn where grp = 0 and slot = 0) as n_generated,
        (select count(*) from cells where grp = 0 and slot = 0) as n_original,

@@ -98,14 +98,16 @@ def wide_to_cells(wide: DataFrame, id_col: str = "flow_id") -> DataFrame:
 
 def write_history(metrics: DataFrame, path: str) -> None:
     """S7 write: one JSON object per run with its series as arrays in epoch
-    order (a run's arrays are bounded by its number of epochs)."""
-    e = F.struct("epoch", "train_loss", "val_loss", "secs")
+    order (a run's arrays are bounded by its number of epochs).  ``lr`` may be
+    absent; its series is then of NULLs."""
+    lr = (F.col("lr") if "lr" in metrics.columns else F.lit(None)).cast("double").alias("lr")
+    e = F.struct("epoch", "train_loss", "val_loss", lr, "secs")
     per_run = metrics.groupBy("run_id").agg(F.array_sort(F.collect_list(e)).alias("_e"))
     out = per_run.select(
         "run_id",
         F.transform("_e", lambda x: x["train_loss"]).alias("train_losses"),
         F.transform("_e", lambda x: x["val_loss"]).alias("val_losses"),
-        F.transform("_e", lambda x: F.lit(None).cast("double")).alias("learning_rates"),
+        F.transform("_e", lambda x: x["lr"]).alias("learning_rates"),
         F.transform("_e", lambda x: x["secs"]).alias("epoch_times"))
     out.write.mode("overwrite").json(path)
 
