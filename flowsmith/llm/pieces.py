@@ -77,12 +77,16 @@ class Encoder:
         self.v, self.longest = vocabulary, vocabulary.longest
         self.pairs: dict[int, bool] = {}     # by first id * size + second id
         self.names = {i: p for p, i in vocabulary.ids.items()}
-        self.endings: dict = {}              # trie of the reversed pieces; None marks a piece
-        for piece in vocabulary.ids:
-            node = self.endings
-            for c in reversed(piece):
+        self.starts: dict = {}               # trie of the pieces; None marks a piece
+        self.shorter: dict = {}              # longest piece that a piece starts with; -1: its first character is none; None: it is one
+        self.widths = {i: len(p) for p, i in vocabulary.ids.items()}
+        for piece, i in vocabulary.ids.items():
+            node = self.starts
+            for c in piece:
                 node = node.setdefault(c, {})
-            node[None] = vocabulary.ids[piece]
+            node[None] = i
+            self.shorter[i] = next((vocabulary.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in vocabulary.ids),
+                                   -1 if len(piece) > 1 else None)
         encoder = self
 
         class Table(dict):
@@ -171,41 +175,56 @@ class Encoder:
     # -- from a known start ----------------------------------------------------------------
 
     def scan(self, text: str) -> list[tuple[int, int]]:
-        """(id, end) of the pieces of a text that starts and ends at places no piece spans, last one first; id -1: a character
-        outside of the vocabulary.  Each prefix has one last piece that fits; backtrace from the end."""
-        n, pairs, fits, size, endings = len(text), self.pairs, self.fits_ids, self.v.size, self.endings
-        last, width = [-1] * (n + 1), [1] * (n + 1)
-        pair = pairs.get
-        for e in range(1, n + 1):
-            node, found = endings, []
-            for s in range(e - 1, -1, -1):
-                node = node.get(text[s])
-                if node is None:
-                    break
-                if None in node:
-                    found.append(s)
-                    found.append(node[None])
-            while found:                           # the longest is right most often
-                p, s = found.pop(), found.pop()
-                before = last[s] if s else -1
-                if before >= 0:
+        """(id, end) of the pieces of a text that starts and ends at places no piece spans, first one first; id -1: a character
+        outside of the vocabulary.  Each prefix has one path whose steps all weigh 0, so a place that leads no further is dead for
+        good: the path goes on with the longest piece that fits, and steps back where none does."""
+        n, starts, shorter, widths = len(text), self.starts, self.shorter, self.widths
+        pair, fits, size = self.pairs.get, self.fits_ids, self.v.size
+        out: list[tuple[int, int]] = []
+        dead: set[int] = set()
+        at, before, p, e, fresh = 0, -1, -1, 0, True
+        while at < n:
+            if fresh:                                # the longest piece that starts here
+                node, p, e = starts, -1, at + 1
+                for k in range(at, n):
+                    node = node.get(text[k])
+                    if node is None:
+                        break
+                    if None in node:
+                        p, e = node[None], k + 1
+            while True:
+                if e not in dead:
+                    if before < 0 or p < 0:
+                        break
                     fit = pair(before * size + p)
                     if fit is None:
                         fit = fits(before, p)
-                    if not fit:
-                        continue
-                last[e], width[e] = p, e - s
-                break
-        out, e = [], n
-        while e:
-            out.append((last[e], e))
-            e -= width[e]
+                    if fit:
+                        break
+                p = shorter[p] if p >= 0 else None
+                if p is None:
+                    break
+                e = at + (widths[p] if p >= 0 else 1)
+            if p is not None:
+                out.append((p, e))
+                at, before, fresh = e, p, True
+                continue
+            dead.add(at)                             # the piece before was too long: its next shorter one
+            q, at = out.pop()[0], out[-1][1] if out else 0
+            before, fresh = out[-1][0] if out else -1, False
+            p = shorter[q] if q >= 0 else None
+            while p is None:                         # it has none either
+                dead.add(at)
+                q, at = out.pop()[0], out[-1][1] if out else 0
+                before = out[-1][0] if out else -1
+                p = shorter[q] if q >= 0 else None
+            e = at + (widths[p] if p >= 0 else 1)
         return out
 
     def word_ids(self, word: str) -> bytes:
         """The ids of a word as the bytes of 32-bit numbers."""
         out = array("i")
-        for i, e in reversed(self.scan(word)):
+        for i, e in self.scan(word):
             if i >= 0:
                 out.append(i)
             else:
