@@ -19,7 +19,7 @@ HOT_BROADCAST_ROWS = 100_000
 NULL_BUCKET = -(1 << 62)    # NULL order values come first
 
 
-def _join_null_safe(rows: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
+def join_null_safe(rows: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
     """Adds the offsets of each row's key; a NULL key finds the NULL key's offsets."""
     named = offsets.select(*[F.col(c).alias(f"_k_{c}") if c in key else F.col(c) for c in offsets.columns])
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
@@ -80,7 +80,7 @@ def ranked_within(df: DataFrame, part_cols: list[str], order_cols: list, fine_bu
     if carry_col:
         buckets = buckets.withColumn("_prev_last", F.lag("_last").over(w_b))
         sel.append("_prev_last")
-    out = _join_null_safe(ranked, buckets.select(*sel), key)
+    out = join_null_safe(ranked, buckets.select(*sel), key)
     out = out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint"))
     if carry_col:
         out = out.withColumn(f"prev_{carry_col}",
@@ -104,7 +104,7 @@ def global_rank(df: DataFrame, bucket: Column, order_cols: list, part_cols: list
     w_b = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()).orderBy("_gb") \
         .rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_off", F.sum("_cnt").over(w_b) - F.col("_cnt")).drop("_cnt")
-    out = _join_null_safe(ranked, counts, key)
+    out = join_null_safe(ranked, counts, key)
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("bigint")).drop("_rb", "_off", "_gb")
 
 
@@ -126,6 +126,6 @@ def running_mean(df: DataFrame, part_cols: list[str], order_col: str, value_col:
     w_in = Window.partitionBy(*key).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = (b.withColumn("_sr", F.sum("_x").over(w_in)).withColumn("_cr", F.count("_x").over(w_in))
             )
-    out = _join_null_safe(out, sums, key)
+    out = join_null_safe(out, sums, key)
     mean = (F.col("_s0") + F.col("_sr")).cast("double") / (F.col("_c0") + F.col("_cr"))
     return out.withColumn("running_mean", mean).drop("_rb", "_x", "_s0", "_c0", "_sr", "_cr")

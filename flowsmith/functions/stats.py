@@ -11,6 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import global_rank, join_null_safe
+
+STEPS_PER_E = 1500           # value ranges per factor e of magnitude
+BIGGEST_LOG = 800.0          # above the logarithm of any double; also stands for infinity
+RANGE_SHIFT = 1 << 21        # makes the range number of every positive value positive
+
+
+def value_range(v) -> Column:
+    """A whole number that never falls as v grows: ranges of equal width on a logarithmic scale, mirrored for
+    negative values.  It depends on v alone, so every branch of a plan and every retry cuts the values alike."""
+    v = (v if isinstance(v, Column) else F.col(v)).cast("double")
+
+    def of(x):
+        return F.floor(F.least(F.ln(x), F.lit(BIGGEST_LOG)) * STEPS_PER_E) + RANGE_SHIFT
+
+    return F.when(v > 0, of(v)).when(v < 0, -of(-v)).otherwise(0).cast("bigint")
+
+
+def running_sums(freq: DataFrame, group_cols: list[str], v_col: str, w_col: str) -> DataFrame:
+    """``freq`` (one row per group and distinct non-NULL value) with ``_cum``, the sum of ``w_col`` over the group's
+    values up to this one, and ``_n``, the sum over the group.
+
+    No window holds the values of a whole group: sums run within a value range, and the range sums
+    (their number depends on the magnitudes, not on the rows) give each range its offset."""
+    f = freq.withColumn("_range", value_range(v_col))
+    key = [*group_cols, "_range"]
+    before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = f.groupBy(*key).agg(F.sum(w_col).alias("_s"))
+    offsets = sums.select(*key, (F.sum("_s").over(before) - F.col("_s")).alias("_off"),
+                          F.sum("_s").over(Window.partitionBy(*group_cols)).alias("_n"))
+    within = Window.partitionBy(*key).orderBy(v_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = join_null_safe(f.withColumn("_in", F.sum(w_col).over(within)), offsets, key)
+    return out.withColumn("_cum", F.col("_off") + F.col("_in")).drop("_off", "_in", "_range")
+
 
 def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str, cnt_col: str,
                             probs: dict[str, float]) -> DataFrame:
@@ -21,11 +55,7 @@ def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str,
     where a is the sorted multiset.  a[r] is the smallest v whose running count
     exceeds r.  Returns one row per group with one column per entry of ``probs``.
     """
-    base = freq.where(F.col(v_col).isNotNull())
-    w_run = Window.partitionBy(*group_cols).orderBy(v_col).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*group_cols)
-    f = (base.withColumn("_cum", F.sum(cnt_col).over(w_run))
-         .withColumn("_n", F.sum(cnt_col).over(w_all)))
+    f = running_sums(freq.where(F.col(v_col).isNotNull()), group_cols, v_col, cnt_col)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
@@ -46,12 +76,11 @@ def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str,
 
 def weighted_moments(freq: DataFrame, group_cols: list[str], v_col: str, cnt_col: str) -> DataFrame:
     """n, mean, sample std, min, max, zero and negative counts per group from a
-    frequency table (two-pass: the mean first, then squared deviations)."""
+    frequency table (two-pass: the mean first, then squared deviations; both are aggregates that combine before
+    the shuffle)."""
     base = freq.where(F.col(v_col).isNotNull())
-    w = Window.partitionBy(*group_cols)
-    n = F.sum(cnt_col).over(w)
-    mean = F.sum(F.col(cnt_col) * F.col(v_col)).over(w) / n
-    f = base.withColumn("_mean", mean)
+    means = base.groupBy(*group_cols).agg((F.sum(F.col(cnt_col) * F.col(v_col)) / F.sum(cnt_col)).alias("_mean"))
+    f = join_null_safe(base, means, group_cols)
     dev = F.col(cnt_col) * (F.col(v_col) - F.col("_mean")) * (F.col(v_col) - F.col("_mean"))
     total = F.sum(cnt_col)
     return f.groupBy(*group_cols).agg(
@@ -128,7 +157,6 @@ def top_k(df: DataFrame, score_col: str, id_col: str, k: int) -> DataFrame:
     m = f.where(F.col(score_col) > F.lit(t)).agg(F.sum("cnt")).first()[0] or 0
     need = k - int(m)
     tied = df.where(F.col(score_col) == F.lit(t))
-    from .rank import global_rank
     ranked = global_rank(tied, (F.col(id_col) / 65536).cast("bigint"), [id_col])
     return above.unionByName(ranked.where(F.col("rank") <= need).drop("rank"))
 

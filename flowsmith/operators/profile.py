@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.rank import join_null_safe
 from ..functions.stats import percentiles_from_counts, r6, weighted_moments
 
 PCT_NAMES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p98": 0.98}
@@ -35,9 +36,9 @@ def value_dist(cells: DataFrame | None = None, by_app: bool = True, counts: Data
     base = counts if by_app else _global(counts)
     keys = (["app"] if by_app else []) + ["grp", "slot"]
     base = base.where(F.col("v").isNotNull())
-    w = Window.partitionBy(*keys)
-    return base.select(*keys, "v", F.col("cnt").cast("bigint").alias("cnt"),
-                       (F.col("cnt") / F.sum("cnt").over(w)).alias("p"))
+    totals = base.groupBy(*keys).agg(F.sum("cnt").alias("_total"))
+    return join_null_safe(base, totals, keys).select(*keys, "v", F.col("cnt").cast("bigint").alias("cnt"),
+                                                     (F.col("cnt") / F.col("_total")).alias("p"))
 
 
 def group_profile(cells: DataFrame | None = None, by_app: bool = True,
@@ -119,11 +120,12 @@ def label_counts(flows_or_cells: DataFrame, id_col: str = "flow_id") -> DataFram
     return df.groupBy("app").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def label_profile(cells: DataFrame) -> DataFrame:
+def label_profile(cells: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """A2: per label its count, plus the number of labels and the most common
     label (count desc, then label asc) on every row.  The windows run over the
-    per-label table (one row per label), not over flows."""
-    lc = label_counts(cells)
+    per-label table (one row per label), not over flows; ``labels`` is that
+    table where the caller has it."""
+    lc = labels if labels is not None else label_counts(cells)
     everything = Window.partitionBy()
     ranked = Window.orderBy(F.desc("cnt"), F.asc("app")).rowsBetween(Window.unboundedPreceding,
                                                                      Window.unboundedFollowing)
@@ -132,21 +134,26 @@ def label_profile(cells: DataFrame) -> DataFrame:
                      F.first("app").over(ranked).alias("most_common"))
 
 
-def label_proportions(cells: DataFrame) -> DataFrame:
+def label_proportions(cells: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """A4: (app, cnt, proportion)."""
-    lc = label_counts(cells)
+    lc = labels if labels is not None else label_counts(cells)
     return lc.select("app", F.col("cnt").cast("bigint").alias("cnt"),
                      (F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).alias("proportion"))
 
 
 def dataset_overview(cells: DataFrame) -> DataFrame:
-    """A3: rows (flows), feature count, missing cells (NULL values + NULL labels)."""
-    return cells.agg(
-        F.countDistinct("flow_id").cast("bigint").alias("total_samples"),
-        F.countDistinct("grp", "slot").cast("bigint").alias("total_features"),
-        (F.count_if(F.col("v").isNull())
-         + F.count_if(F.col("app").isNull() & (F.col("grp") == 0) & (F.col("slot") == 0))).cast("bigint").alias("missing_values"),
-    )
+    """A3: rows (flows), feature count, missing cells (NULL values + NULL labels).  One row per flow is shuffled: its
+    missing cells and, for each group, a bit for every slot it has."""
+    first = (F.col("grp") == 0) & (F.col("slot") == 0)
+    groups = [f"_m{g}" for g in range(K.N_GROUPS)]
+    per_flow = cells.groupBy("flow_id").agg(
+        (F.count_if(F.col("v").isNull()) + F.count_if(F.col("app").isNull() & first)).alias("_missing"),
+        *[F.bit_or(F.when(F.col("grp") == g, F.expr("shiftleft(1L, slot)"))).alias(m) for g, m in enumerate(groups)])
+    features = sum((F.coalesce(F.bit_count(F.bit_or(m)), F.lit(0)) for m in groups[1:]),
+                   F.coalesce(F.bit_count(F.bit_or(groups[0])), F.lit(0)))
+    return per_flow.agg(F.count("flow_id").cast("bigint").alias("total_samples"),
+                        features.cast("bigint").alias("total_features"),
+                        F.coalesce(F.sum("_missing"), F.lit(0)).cast("bigint").alias("missing_values"))
 
 
 def group_summary(cells: DataFrame) -> DataFrame:

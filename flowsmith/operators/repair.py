@@ -29,8 +29,8 @@ START = -1
 BIGRAM_BROADCAST_ROWS = 3_000_000   # 90 x 168 x 167 = 2.5M: the largest possible table
 
 
-def _with_prev(vt: DataFrame, id_col: str) -> DataFrame:
-    w = Window.partitionBy(id_col, "grp").orderBy("slot")
+def _with_prev(vt: DataFrame, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys, "grp").orderBy("slot")
     return vt.withColumn("prev", F.coalesce(F.lag("token_id").over(w), F.lit(START)))
 
 
@@ -46,9 +46,11 @@ def fit_bigram(cells: DataFrame, voc: DataFrame, id_col: str = "flow_id") -> tup
 
 def score(samples: DataFrame, model: tuple[DataFrame, DataFrame, int], voc: DataFrame,
           id_col: str = "sample_id") -> DataFrame:
-    """M3: (id, app, ppl) rounded to 6 places."""
+    """M3: (id, app, ppl) rounded to 6 places.  The cells are shuffled once, by flow: the previous token, the
+    lookups in the broadcast counts and the mean all stay within that partitioning."""
     bigram, ctx, classes = model
-    vt = _with_prev(T.value_tokens(samples, voc).select(id_col, "app", "grp", "slot", "v", "token_id"), id_col)
+    vt = T.value_tokens(samples, voc).select(id_col, "app", "grp", "slot", "token_id").repartition(id_col, "app")
+    vt = _with_prev(vt, id_col, "app")
     b = bigram.select("grp", "slot", "prev", "token_id", "c")
     if bigram.count() <= BIGRAM_BROADCAST_ROWS:   # bounded by the vocabulary: always true
         b = F.broadcast(b)

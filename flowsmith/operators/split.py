@@ -7,7 +7,7 @@ rank over buckets floor(u * B): every bucket is ranked by its own window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -15,6 +15,7 @@ from ..functions.rand import uniform
 from ..functions.rank import global_rank
 
 ROWS_PER_BUCKET = 200_000
+MOST_RANGES = 512           # ranges of ids for ranks in id order
 
 
 def _check(train: float, val: float, test: float) -> None:
@@ -58,6 +59,15 @@ def split_stratified(flows: DataFrame, train: float = K.TRAIN_RATIO, val: float
     return r.select(id_col, "app", "rank", split.alias("split"))
 
 
+def _id_range(flows: DataFrame, id_col: str, ranges: int) -> Column:
+    """Number of the id range, cut at approximate quantiles of the ids (a bounded summary); NULL ids are in the first."""
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = (flows.agg(F.percentile_approx(id_col, probs, 10 * ranges)).first()[0] if probs else None) or []
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col)))
+
+
 def assign_batches(flows: DataFrame, batch_size: int = K.BATCH_SIZE, shuffle: bool = True,
                    seed: int = K.SPLIT_SEED, id_col: str = "flow_id") -> DataFrame:
     """T5: batch_id = (rank - 1) div batch_size in shuffled (or id) order."""
@@ -65,5 +75,5 @@ def assign_batches(flows: DataFrame, batch_size: int = K.BATCH_SIZE, shuffle: bo
         r = shuffled(flows, id_col, seed)
     else:
         n = flows.count()
-        r = global_rank(flows, (F.col(id_col) / max(1, n // ROWS_PER_BUCKET + 1)).cast("bigint"), [id_col])
+        r = global_rank(flows, _id_range(flows, id_col, min(MOST_RANGES, max(1, n // ROWS_PER_BUCKET))), [id_col])
     return r.select(id_col, "app", "rank", ((F.col("rank") - 1) / batch_size).cast("bigint").alias("batch_id"))

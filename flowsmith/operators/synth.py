@@ -24,11 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.joins import broadcast_if_small
 from ..functions.rand import uniform
+from ..functions.rank import join_null_safe
+from ..functions.stats import running_sums
 from ..session import materialize
 from . import profile as P
 
-GUIDE_BUCKETS = 256          # buckets of the unit interval in the guide table
+GUIDE_BUCKETS = 256          # least number of buckets of the unit interval in the guide table
+STEPS_PER_BUCKET = 64        # with more distinct values in a column than this times the buckets, there are more buckets
 LABEL_CHUNK = 4096           # sample ids per chunk of the label lookup table
 BROADCAST_ROWS = 2_000_000   # largest guide table sent to every task
 
@@ -73,32 +77,37 @@ def band_multiplier(grp: Column, v: Column) -> Column:
 def enhanced_weights(counts: DataFrame) -> DataFrame:
     """(app, grp, slot, v, cnt, p, weight, w_norm): integer weight
     cnt x band x high-frequency x preferred (each x10) per distinct value."""
-    dist = P.value_dist(counts=counts, by_app=True)
+    dist = materialize(P.value_dist(counts=counts, by_app=True))       # several branches read it
     hf = P.high_freq_values(dist=dist).select("app", "grp", "slot", "v", F.lit(True).alias("_hf"))
     pref = preferred_patterns(dist).select("app", "grp", "v", F.lit(True).alias("_pref"))
     hf_boost = (F.when(F.col("_hf") & (F.col("grp") == 0), 15)
                 .when(F.col("_hf") & (F.col("grp") == 2), 14).otherwise(10)).cast("bigint")
     pref_boost = F.when(F.col("_pref"), 15).otherwise(10).cast("bigint")
-    w = (dist.join(hf, ["app", "grp", "slot", "v"], "left")
-         .join(pref, ["app", "grp", "v"], "left")
-         .withColumn("weight", F.col("cnt") * band_multiplier(F.col("grp"), F.col("v")) * hf_boost * pref_boost))
-    tot = Window.partitionBy("app", "grp", "slot")
-    return w.select("app", "grp", "slot", "v", "cnt", "p", "weight",
-                    (F.col("weight") / F.sum("weight").over(tot)).alias("w_norm"))
+    weight = F.col("cnt") * band_multiplier(F.col("grp"), F.col("v")) * hf_boost * pref_boost
+    w = materialize(dist.join(hf, ["app", "grp", "slot", "v"], "left").join(pref, ["app", "grp", "v"], "left")
+                    .select("app", "grp", "slot", "v", "cnt", "p", weight.alias("weight")))
+    keys = ["app", "grp", "slot"]
+    totals = w.groupBy(*keys).agg(F.sum("weight").alias("_total"))
+    return join_null_safe(w, totals, keys).select(*keys, "v", "cnt", "p", "weight",
+                                                  (F.col("weight") / F.col("_total")).alias("w_norm"))
 
 
 def value_cdf(weights: DataFrame) -> DataFrame:
     """(app, grp, slot, v, lo, hi): the draw u selects v when lo <= u < hi.
     Running sums are integers, so edges are exact and the last hi is 1.0."""
     keys = ["app", "grp", "slot"]
-    run = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum("weight").over(run)
-    total = F.sum("weight").over(Window.partitionBy(*keys))
-    return (weights.where(F.col("weight") > 0)
-            .select(*keys, "v", (cum - F.col("weight")).alias("_c0"), cum.alias("_c1"), total.alias("_t"))
-            .select(*keys, "v",
-                    (F.col("_c0").cast("double") / F.col("_t").cast("double")).alias("lo"),
-                    (F.col("_c1").cast("double") / F.col("_t").cast("double")).alias("hi")))
+    steps = running_sums(weights.where(F.col("weight") > 0).select(*keys, "v", "weight"), keys, "v", "weight")
+    total = F.col("_n").cast("double")
+    return steps.select(*keys, "v", ((F.col("_cum") - F.col("weight")).cast("double") / total).alias("lo"),
+                        (F.col("_cum").cast("double") / total).alias("hi"))
+
+
+def guide_buckets(counts: DataFrame) -> int:
+    """Buckets of the unit interval for the guide table of these value counts, a power of two: a draw meets
+    (distinct values / buckets) + 1 steps on average, so at most about ``STEPS_PER_BUCKET``."""
+    per = counts.groupBy("app", "grp", "slot").agg(F.count(F.lit(1)).alias("_n"))
+    most = per.agg(F.max("_n")).first()[0] or 0
+    return max(GUIDE_BUCKETS, 1 << math.ceil(math.log2(max(1, most / STEPS_PER_BUCKET))))
 
 
 def guide_table(cdf: DataFrame, buckets: int = GUIDE_BUCKETS) -> DataFrame:
@@ -138,8 +147,8 @@ def apportion(label_counts: DataFrame, n: int, original: bool = True) -> DataFra
 def sample_skeleton(spark: SparkSession, plan: DataFrame, n: int,
                     num_partitions: int | None = None) -> DataFrame:
     """(sample_id, app) for ids 0..n-1.  The label of an id is found through a
-    chunk table (one row per label and chunk of 4096 ids it overlaps): at most
-    n / 4096 + #labels rows, a bound known before running, so it is broadcast."""
+    chunk table (one row per label and chunk of 4096 ids it overlaps): about
+    n / 4096 + #labels rows, broadcast when a count proves it small."""
     parts = num_partitions or max(spark.sparkContext.defaultParallelism, math.ceil(n * 90 / 4_000_000))
     ids = spark.range(0, n, 1, parts).withColumnRenamed("id", "sample_id")
     end = F.col("start") + F.col("n_samples")
@@ -148,7 +157,7 @@ def sample_skeleton(spark: SparkSession, plan: DataFrame, n: int,
                       F.explode(F.sequence((F.col("start") / LABEL_CHUNK).cast("bigint"),
                                            ((end - 1) / LABEL_CHUNK).cast("bigint"))).alias("chunk")))
     ids = ids.withColumn("chunk", (F.col("sample_id") / LABEL_CHUNK).cast("bigint"))
-    return (ids.join(F.broadcast(chunks), "chunk")
+    return (ids.join(broadcast_if_small(chunks, BROADCAST_ROWS), "chunk")
             .where((F.col("sample_id") >= F.col("start")) & (F.col("sample_id") < F.col("end")))
             .select("sample_id", "app"))
 
@@ -218,12 +227,14 @@ def synthesize_cells(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLE
     should be materialized (it is read by several branches)."""
     lc = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).groupBy("app").agg(F.sum("cnt").alias("cnt"))
     plan = apportion(lc, n, original_proportions)
+    buckets = GUIDE_BUCKETS
     if guide is None:
-        guide = materialize(guide_table(value_cdf(enhanced_weights(counts))))
+        buckets = guide_buckets(counts)
+        guide = materialize(guide_table(value_cdf(enhanced_weights(counts)), buckets))
     # the guide table is written; its row count is a cheap metadata-sized job
     small = guide.count() <= BROADCAST_ROWS
     skeleton = sample_skeleton(spark, plan, n)
-    raw = draw(skeleton_cells(skeleton), guide, seed, broadcast_guide=small)
+    raw = draw(skeleton_cells(skeleton), guide, seed, buckets, broadcast_guide=small)
     return clean_cells(raw, seed)
 
 

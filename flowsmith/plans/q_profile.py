@@ -70,7 +70,7 @@ select app, cnt, (select count(*) from lc) as unique_count,
        (select app from lc order by cnt desc, app asc limit 1) as most_common
 from lc""", "cells", extra={"lc": "select app, count(*) as cnt from cells where grp = 0 and slot = 0 group by app"}))
 def label_profile(spark, sf):
-    return P.label_profile(A.cells(spark, sf))
+    return P.label_profile(labels=A.label_counts(spark, sf))
 
 
 @register("dataset_overview", A.with_views("""
@@ -86,7 +86,7 @@ def dataset_overview(spark, sf):
 select app, count(*) as cnt, count(*) / sum(count(*)) over () as proportion
 from cells where grp = 0 and slot = 0 group by app""", "cells"))
 def label_proportions(spark, sf):
-    return P.label_proportions(A.cells(spark, sf))
+    return P.label_proportions(labels=A.label_counts(spark, sf))
 
 
 @register("group_profile_by_app", A.with_views("select * from " + prof_sql("cells", True) + " t", "cells"))

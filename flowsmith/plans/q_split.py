@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.rand import sql_uniform
 from ..operators import split as T
 from ..session import materialize
@@ -16,7 +14,7 @@ U = sql_uniform(42, "flow_id")
 
 def _flows(spark, sf):
     """One row per flow, written once (the split counts it and ranks it)."""
-    return materialize(A.cells(spark, sf).where((F.col("grp") == 0) & (F.col("slot") == 0)).select("flow_id", "app"))
+    return materialize(A.flows(spark, sf))
 
 
 @register("split_exact", A.with_views(f"""

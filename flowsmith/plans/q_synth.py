@@ -139,14 +139,14 @@ def synth_cells_df(spark, sf, n: int = N, seed: int = SEED, source: str = "cells
 @register("apportion_original", A.with_views("select app, cnt, rn, n_samples, start from ap", "cells",
                                              extra=apportion_ctes(N, True)))
 def apportion_original(spark, sf):
-    lc = P.label_counts(A.cells(spark, sf))
+    lc = A.label_counts(spark, sf)
     return S.apportion(lc, N, True).withColumn("rn", F.col("rn").cast("bigint"))
 
 
 @register("apportion_equal", A.with_views("select app, cnt, rn, n_samples, start from ap", "cells",
                                           extra=apportion_ctes(N, False)))
 def apportion_equal(spark, sf):
-    lc = P.label_counts(A.cells(spark, sf))
+    lc = A.label_counts(spark, sf)
     return S.apportion(lc, N, False).withColumn("rn", F.col("rn").cast("bigint"))
 
 
@@ -175,17 +175,18 @@ def value_cdf(spark, sf):
 
 @register("sample_skeleton", A.with_views("select * from sk", "cells", extra=draw_ctes(N)))
 def sample_skeleton(spark, sf):
-    lc = P.label_counts(A.cells(spark, sf))
+    lc = A.label_counts(spark, sf)
     return S.sample_skeleton(spark, S.apportion(lc, N, True), N)
 
 
 @register("weighted_draw", A.with_views("select * from raw", "cells", extra=draw_ctes(N)))
 def weighted_draw(spark, sf):
     counts = cell_counts(spark, sf)
-    guide = materialize(S.guide_table(S.value_cdf(S.enhanced_weights(counts))))
+    buckets = S.guide_buckets(counts)
+    guide = materialize(S.guide_table(S.value_cdf(S.enhanced_weights(counts)), buckets))
     lc = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).groupBy("app").agg(F.sum("cnt").alias("cnt"))
     skeleton = S.sample_skeleton(spark, S.apportion(lc, N, True), N)
-    return S.draw(S.skeleton_cells(skeleton), guide, SEED)
+    return S.draw(S.skeleton_cells(skeleton), guide, SEED, buckets)
 
 
 @register("synthesize_cells", A.with_views("select * from syn", "cells", extra=synth_ctes()))

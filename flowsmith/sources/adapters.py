@@ -27,6 +27,7 @@ from .tables import read_table
 
 # A flow id is key * 2^31 + flow number: the numbers of two keys meet only beyond 64 billion packets of one key.
 FLOW_KEY_BASE = 1 << 31
+FLOW_BLOCK = 1 << 16
 
 
 def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,31 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets_with_totals(spark, sf_dir).drop("rn", "part_total")
 
 
+def _flow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, app, n_flows): how many flows a supplier's line items make.  Counts are enough, nothing is ranked."""
+    per = read_table(spark, sf_dir, "lineitem", "l_suppkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("_n"))
+    labels = supplier_labels(spark, sf_dir)
+    return (per.join(labels, per.l_suppkey == labels.s_suppkey)
+            .select("s_suppkey", "app", F.ceil(F.col("_n") / N_SLOTS).cast("bigint").alias("n_flows")))
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app, cnt): flows per label, the same as counting the labels of ``cells``."""
+    return _flow_totals(spark, sf_dir).groupBy("app").agg(F.sum("n_flows").alias("cnt"))
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(flow_id, app): one row per flow of ``cells``.  The flow numbers of a supplier are laid out in blocks of
+    ``FLOW_BLOCK`` that are spread over the tasks, so a supplier with most flows is no single task."""
+    last = F.col("n_flows") - 1
+    blocks = (_flow_totals(spark, sf_dir)
+              .select("s_suppkey", "app", "n_flows", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(FLOW_BLOCK).cast("bigint"))).alias("_from"))
+              .repartition("s_suppkey", "_from"))
+    number = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + FLOW_BLOCK - 1, last)))
+    return (blocks.select("s_suppkey", "app", number.alias("_k"))
+            .select((F.col("s_suppkey") * FLOW_KEY_BASE + F.col("_k")).cast("bigint").alias("flow_id"), "app"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cells(flow_id, app, grp, slot, v): 90 cells per flow, zero-padded."""
     return _cells_from(_packets_with_totals(spark, sf_dir))

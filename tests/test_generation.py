@@ -81,3 +81,36 @@ def test_to_wide_leaves_absent_cells_null(spark):
         assert r["PPI_1_7"] is None
         assert r["PPI_2_29"] == full[r["flow_id"]]["PPI_2_29"]
         assert r["PPI_0_0"] == full[r["flow_id"]]["PPI_0_0"]
+
+
+def test_labels_and_flows_without_ranking_equal_those_of_the_cells(spark):
+    first = A.cells(spark, SF_SMALL).where("grp = 0 and slot = 0").select("flow_id", "app")
+    assert sorted(map(tuple, A.flows(spark, SF_SMALL).collect())) == sorted(map(tuple, first.collect()))
+    assert sorted(map(tuple, A.label_counts(spark, SF_SMALL).collect())) == sorted(map(tuple, first.groupBy("app").count().collect()))
+
+
+def test_guide_grows_with_the_distinct_values_of_a_continuous_column(spark):
+    n = 50_000
+    counts = spark.range(n).select(F.lit("a").alias("app"), F.lit(0).alias("grp"), F.lit(0).alias("slot"),
+                                   (F.rand(3) * 5).alias("v"), F.lit(1).cast("bigint").alias("cnt"))
+    counts = materialize(counts)
+    buckets = S.guide_buckets(counts)
+    assert buckets == 1024
+    cdf = materialize(S.value_cdf(S.enhanced_weights(counts)))
+    cells = spark.range(300).select(F.col("id").alias("sample_id"), F.lit("a").alias("app"), F.lit(0).alias("grp"), F.lit(0).alias("slot"))
+    fine = S.draw(cells, S.guide_table(cdf, buckets), 7, buckets)
+    plain = S.draw(cells, S.guide_table(cdf, 1), 7, 1)
+    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_batches_in_id_order(spark):
+    from flowsmith.operators import split as T
+    ids = [((i * 7919) % 1000) << 31 for i in range(1000)]
+    df = spark.createDataFrame([(i, "a") for i in ids], "flow_id long, app string")
+    want = {i: (k, (k - 1) // 8) for k, i in enumerate(sorted(ids), 1)}
+    rows, T.ROWS_PER_BUCKET = T.ROWS_PER_BUCKET, 50
+    try:
+        got = T.assign_batches(df, 8, shuffle=False).collect()
+    finally:
+        T.ROWS_PER_BUCKET = rows
+    assert {r["flow_id"]: (r["rank"], r["batch_id"]) for r in got} == want
