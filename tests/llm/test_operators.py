@@ -427,6 +427,44 @@ def test_language_model_beats_the_unigram(spark):
     assert got[True]["perplexity"] < got[True]["base_perplexity"]
 
 
+def test_language_model_uses_the_whole_word_before(spark):
+    """'united' and 'red' end alike, but other words follow them."""
+    rows = [(i, "united states " * 20 + "red apple " * 20) for i in range(20) if not hpyp.held_out(i)]
+    tests = [(1000 + i, t) for i in range(40) if hpyp.held_out(1000 + i) for t in ("united states", "red states")]
+    got = hpyp.language_scores(spark.createDataFrame(rows + tests, "doc_id bigint, text string").repartition(3)).collect()
+    held = sorted(r["score"] for r in got if r["held_out"])
+    assert held and held[len(held) // 2] - held[len(held) // 2 - 1] > 1
+
+
+def test_word_restaurants_sum_to_one(monkeypatch):
+    """P(. | a) over all known words and an unknown one."""
+    monkeypatch.setattr(hpyp, "held_out", lambda d: d == 10)
+    rnd, block = random.Random(2), hpyp._Block()
+    for i in range(4):
+        block.add(i, " ".join(rnd.choices(["a", "b", "cb", "db", "e.", "f1"], [9, 5, 4, 3, 2, 1], k=200)))
+    for w in ["a", "b", "cb", "db", "e.", "f1", "new"]:
+        block.add(10, f"a {w}")
+    block.add(10, "a")
+    schema, key = hpyp._arrow_schema(pa.int64()), (pa.scalar(0),)
+    rows = pa.Table.from_batches(list(block.rows(0, 1, pa.int64(), schema)), schema)
+    asked = rows.filter(rows["bucket"].is_valid())
+    model = known = hpyp._add_up(key, asked)
+    history = []
+    for k in range(4):
+        parts = hpyp._parts(1, list(history))(key, known)
+        history.append(np.array(parts["totals"].to_pylist()[-1]))
+        known = pa.concat_tables([known, hpyp._sums(k)(key, parts.slice(0, parts.num_rows - 1), model)])
+    got, q = hpyp._answers(1, history, 1)(key, asked, known).to_pylist()[0], asked.to_pylist()[0]
+    a = block.ids[b"a"]
+    tables, uses = np.array(got["tables"]).reshape(-1, 2)[got["ids"].index(a)], got["uses"][got["ids"].index(a)]
+    assert uses == sum(w.tolist().count(a) for w, h in zip(block.words, block.held) if not h) and (tables >= 6).all() and (tables <= uses).all()
+    own = dict(zip(zip(np.repeat(q["ids"], q["pairs"]).tolist(), [q["vocab"][c] for c in q["contexts"]]), got["own"]))
+    lower = dict(zip(zip(np.repeat(q["ids"], got["classes"]).tolist(), got["ends"]), np.array(got["lower"]).reshape(-1, 2)))
+    d, theta = hpyp.DISCOUNT[3], hpyp.STRENGTH[3]
+    p = [(own[w, hpyp.word_key(b"a")] + ((theta + d * tables) * lower[w, 97]).mean()) / (theta + uses) for w in block.ids.values() if w]
+    assert len(p) == 8 and abs(sum(p) - 1) < 1e-5
+
+
 def test_pitman_yor_sums_to_one():
     rnd = np.random.default_rng(0)
     words = np.sort(rnd.integers(-(1 << 62), 1 << 62, 300))
