@@ -392,6 +392,11 @@ def test_added_spans_never_overlap_base():
     assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_secrets_need_no_digit():
+    for t in ("the password=swordfish is old", "secret:correcthorsebattery", "key ABCDEFGHIJKLMNOPQRST here", "sk-" + "a" * 20):
+        assert [c[0] for c in pii.candidates(t)] == [pii.SECRET], t
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 def brute_base(rows):
