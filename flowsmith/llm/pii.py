@@ -49,8 +49,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ANY = re.compile("[0-9@]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]{1,63}(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,63})+")
-_SECRET = re.compile(r"\b(?:(?:password|passwd|secret|token|api_key)[=:][^\s]{6,128}|[A-Z]{4}[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,128})")
+# From the end of the local part on, which is read backwards.  Whole runs: the length labeler judges unusual ones.
+_SPELLED = re.compile(r" ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]++(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,}+)+")
+_SECRET = re.compile(r"\b(?:(?:password|passwd|secret|token|api_key)[=:][^\s]{6,}+|[A-Z]{4}[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+)")
 
 # Fixed lists of the gazetteers and context labelers.
 DOMAINS = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "it", "nl", "uk", "us", "eu", "ch", "at", "jp", "cn", "in", "br", "ca", "au"}
@@ -98,6 +99,20 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _spelled(text: str) -> list[tuple[int, int]]:
+    """Spelled-out addresses with their whole local parts, which no earlier match took."""
+    out, free, m = [], 0, _SPELLED.search(text)
+    while m:
+        s = m.start()
+        while s > free and _LOCAL.match(text, s - 1):
+            s -= 1
+        if s < m.start():
+            out.append((s, m.end()))
+            free = m.end()
+        m = _SPELLED.search(text, m.end() if s < m.start() else m.start() + 1)
+    return out
+
+
 def matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, passes) of the base patterns, failing matches included."""
     if not _ANY.search(text):
@@ -193,7 +208,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
                 found.append((PHONE, m.start(), m.end(), False))
     found += [(SECRET, m.start(), m.end(), m[0].startswith(KEYS)) for m in _SECRET.finditer(text)]
     if "at" in text and "dot" in text:
-        found += [(EMAIL, m.start(), m.end(), False) for m in _SPELLED.finditer(text)]
+        found += [(EMAIL, s, e, False) for s, e in _spelled(text)]
     out = []
     for kind, s, e, ok in found:
         span = text[s:min(e, s + 256)]

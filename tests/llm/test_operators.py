@@ -397,6 +397,21 @@ def test_secrets_need_no_digit():
         assert [c[0] for c in pii.candidates(t)] == [pii.SECRET], t
 
 
+def test_long_candidates_are_whole():
+    for secret in ("token=" + "eyJ0.x_" * 100, "password:" + "p" * 129, "ghp_" + "a1" * 200, "sk-" + "b2" * 200):
+        t = f"use {secret} now"
+        assert [(k, t[s:e]) for k, s, e, _, _ in pii.candidates(t)] == [(pii.SECRET, secret)]
+    for local, domain in (("ann." * 30 + "x", "mail"), ("joe", "m" * 70)):
+        t = f"write {local} at {domain} dot com, or bob [at] a.b (at) mail dot co dot uk"
+        found = [t[s:e] for k, s, e, _, _ in pii.candidates(t) if k == pii.EMAIL]
+        assert found == [f"{local} at {domain} dot com", "a.b (at) mail dot co dot uk"]
+    rnd = random.Random(6)
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]+(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,})+")
+    for _ in range(20_000):
+        t = "".join(rnd.choice(["a", "b.", " ", " at ", "(at)", " dot ", "[dot]", "com", "-", "at", "dot", "%x"]) for _ in range(rnd.randint(0, 14)))
+        assert pii._spelled(t) == [m.span() for m in plain.finditer(t)], t
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 def brute_base(rows):
