@@ -9,8 +9,11 @@ punctuation and case, the raw shape of the text (share of capitals, digits,
 exclamation marks, bars, repeated words, word length; each cut into steps), so a
 document counts a word once however long it is.
 
-Fit: slots whose frequency does not differ between any two grades by ``SCREEN`` standard errors keep weight 0, which
-keeps chance words of a small sample out.  The fit is on at most ``SAMPLE`` rated documents, those with the smallest hash of their id (a documented bound; every other step
+Fit: a slot gets a weight if its frequency differs between some two grades by the Benjamini-Hochberg rule, with a share of ``FALSE`` chance
+slots among those found for these two grades; the bound follows the number of ratings, of each grade and of slots, and
+keeps chance words of a small sample out.  A document is accepted if P(best grade) reaches ``cut``: rated documents are scored by models
+fitted without them (``FOLDS`` parts), and the cut rejects as many of the lower grades as a loss of ``LOSS`` of the best grade allows; with too few ratings for
+that it is 0.5.  The fit is on at most ``SAMPLE`` rated documents, those with the smallest hash of their id (a documented bound; every other step
 covers all rows).  Only their hashed features reach the driver.  The weights
 (2^18 floats, a fixed size) are broadcast, and scoring is one map over the whole texts without a shuffle.
 
@@ -21,6 +24,7 @@ uninformed (w = 0) and keeps everything; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +42,9 @@ SAMPLE = 16_384
 GRADES = 3
 L2 = 1e-3
 STEPS = 160
-SCREEN = 4.5                # a slot gets a weight if two grades differ in it by so many standard errors
+FALSE = 0.02                # share of chance slots among those that tell two grades apart
+LOSS = 0.04                 # share of the best grade that the cut may reject
+FOLDS = 5
 RATE = 0.08
 CACHE = 100_000
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -92,6 +98,7 @@ def features(raw: bytes, cache: dict[bytes, int]) -> np.ndarray:
 class OrdinalModel:
     weights: np.ndarray        # float32, SLOTS
     thresholds: np.ndarray     # ascending, one per grade above 0
+    cut: float = 0.5           # least P(best grade) of an accepted document
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. (one column each)."""
@@ -138,18 +145,53 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, l2:
     return OrdinalModel(w.astype(np.float32), theta)
 
 
-def screen(slots: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, least: float = SCREEN) -> np.ndarray:
+def screen(slots: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, false: float = FALSE) -> np.ndarray:
     """True for the slots that tell some two grades apart."""
     size = np.array([np.sum(grades == g) for g in range(n_grades)])
     count = [np.bincount(np.concatenate([s for s, y in zip(slots, grades) if y == g] or [np.empty(0, np.int64)]), minlength=SLOTS)
              for g in range(n_grades)]
-    z = np.zeros(SLOTS)
+    tests = np.count_nonzero(sum(count))
+    telling = np.zeros(SLOTS, bool)
     for a in range(n_grades):
         for b in range(a + 1, n_grades):
             if size[a] and size[b]:
                 p = (count[a] + count[b] + 1) / (size[a] + size[b] + 2)
-                z = np.maximum(z, np.abs(count[a] / size[a] - count[b] / size[b]) / np.sqrt(p * (1 - p) * (1 / size[a] + 1 / size[b])))
-    return z > least
+                z = np.abs(count[a] / size[a] - count[b] / size[b]) / np.sqrt(p * (1 - p) * (1 / size[a] + 1 / size[b]))
+                far = np.flatnonzero(z > 2)                    # others have a chance of 0.045 or more
+                far = far[np.argsort(-z[far], kind="stable")]
+                chance = np.array([math.erfc(x / math.sqrt(2)) for x in z[far]])
+                found = np.flatnonzero(chance <= false * np.arange(1, len(far) + 1) / max(tests, 1))
+                telling[far[:found[-1] + 1 if len(found) else 0]] = True
+    return telling
+
+
+def best_cut(tail: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, loss: float = LOSS) -> float:
+    """The cut on P(best grade) that rejects most lower grades at a bounded loss of the best; 0.5 if that, or less, does as well."""
+    best = np.sort(tail[grades == n_grades - 1])
+    may = int(loss * len(best))
+    if not may:
+        return 0.5
+    most = best[may]
+    rejected = tail[(grades < n_grades - 1) & (tail < most)]
+    return float(min(most, max(0.5, np.nextafter(rejected.max(initial=0.0), 1.0))))
+
+
+def fit_with_cut(slots: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
+    """The screened fit on all rows, with the cut from models fitted without the rows they score (equal texts together)."""
+    def screened(rows: np.ndarray) -> OrdinalModel:
+        own = [slots[i] for i in rows]
+        telling = screen(own, grades[rows], n_grades)
+        return fit([s[telling[s]] for s in own], grades[rows], n_grades)
+
+    model = screened(np.arange(len(grades)))
+    if int(LOSS * np.sum(grades == n_grades - 1)):
+        fold = np.array([xxhash.xxh64_intdigest(s.tobytes(), 11) % FOLDS for s in slots])
+        tail = np.empty(len(grades))
+        for k in np.unique(fold):
+            m, out = screened(np.flatnonzero(fold != k)), np.flatnonzero(fold == k)
+            tail[out] = m.tails(np.array([m.weights[slots[i]].sum(dtype=np.float64) for i in out]))[:, -1]
+        model.cut = best_cut(tail, grades, n_grades)
+    return model
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +217,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: i
     # an order of the rows that does not depend on the order they came in: sums are then the same each time
     order = sorted(range(len(slots)), key=lambda i: (grades[i], len(slots[i]), slots[i].tobytes()))
     slots, grades = [slots[i] for i in order], grades[order].astype(np.int64)
-    telling = screen(slots, grades, n_grades)
-    return fit([s[telling[s]] for s in slots], grades, n_grades)
+    return fit_with_cut(slots, grades, n_grades)
 
 
 def scorer(spark: SparkSession, model: OrdinalModel):
@@ -204,9 +245,12 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
                       *[F.col("s.tail")[k].alias(f"tail_{k + 1}") for k in range(len(model.thresholds))])
 
 
-def select_documents(docs: DataFrame, model: OrdinalModel, at_least: int = 2, probability: float = 0.5,
+def select_documents(docs: DataFrame, model: OrdinalModel, at_least: int = 2, probability: float | None = None,
                      text_col: str = "text") -> DataFrame:
-    """The documents with P(grade >= at_least) >= probability, with all their columns."""
+    """The documents with P(grade >= at_least) >= probability, with all their columns; without one, the model's cut for the best
+    grade, 0.5 for others."""
+    if probability is None:
+        probability = model.cut if at_least == len(model.thresholds) else 0.5
     score = scorer(docs.sparkSession, model)
     rows = packed(docs, s=score(whole_text(text_col)))
     return rows.filter(F.col("s.tail")[at_least - 1] >= F.lit(float(probability))).select("_row.*")

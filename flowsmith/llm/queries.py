@@ -25,7 +25,7 @@ def op1(spark, sf):
     """Grades of all documents by the ordinal model fitted on the rated ones."""
     docs = table(spark, sf, "documents")
     model = ordinal.train(docs, ordinal.graded(table(spark, sf, "labels")))
-    return ordinal.grade_documents(docs, model).withColumn("accept", F.col("tail_2") >= 0.5)
+    return ordinal.grade_documents(docs, model).withColumn("accept", F.col("tail_2") >= model.cut)
 
 
 @register("op2_simhash_near_dedup")

@@ -61,6 +61,29 @@ def test_ordinal_gradient():
     assert m.thresholds[0] < m.thresholds[1]
 
 
+def test_ordinal_finds_words_of_a_small_grade():
+    """Many words that each tell the small grade apart by about four standard errors, among many that do not."""
+    rnd = np.random.default_rng(3)
+    grades = np.repeat([1, 2], [40, 400])
+    marks = rnd.random((440, 60)) < np.where(grades == 1, 0.2, 0.04)[:, None]
+    slots = [np.concatenate((np.flatnonzero(m), 1000 + np.flatnonzero(rnd.random(200) < 0.1))) for m in marks]
+    telling = ordinal.screen(slots, grades)
+    assert telling[:60].sum() > 40 and telling[1000:].sum() < 5
+
+
+def test_ordinal_cut_bounds_the_loss():
+    rnd = np.random.default_rng(1)
+    grades = np.repeat([0, 1, 2], [100, 100, 1000])
+    tail = 1 / (1 + np.exp(-rnd.normal(np.array([-3.0, 0.5, 3.0])[grades])))
+    cut = ordinal.best_cut(tail, grades)
+    kept = tail >= cut
+    assert 0.95 < kept[grades == 2].mean() and kept[grades == 1].mean() < 0.5 < (tail >= 0.5)[grades == 1].mean()
+    assert ordinal.best_cut(tail[grades != 1], grades[grades != 1]) == 0.5
+    assert ordinal.best_cut(tail[:110], grades[:110]) == 0.5
+    model = ordinal.fit_with_cut([np.array([g, 10 + i % 7]) for i, g in enumerate(grades)], grades)
+    assert model.cut == 0.5 and list(model.thresholds) == sorted(model.thresholds)
+
+
 def test_ordinal_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = ordinal.train(odd_docs, ordinal.graded(none))
