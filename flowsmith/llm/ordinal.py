@@ -197,8 +197,11 @@ def fit_with_cut(slots: list[np.ndarray], grades: np.ndarray, n_grades: int = GR
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[bytes, int] = {}
     for b in batches:
-        found = [features(t.encode("utf-8", "replace"), cache).tolist() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "slots"])
+        raw = [t.encode("utf-8", "replace") for t in b.column(2).to_pylist()]
+        found = [features(t, cache).tolist() for t in raw]
+        keys = np.array([xxhash.xxh64_intdigest(t) for t in raw], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array(found, pa.list_(pa.int32()))],
+                                         names=["grade", "d_id", "key", "slots"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: int = GRADES, id_col: str = "doc_id",
@@ -209,8 +212,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, n_grades: i
               .orderBy(F.xxhash64("r_id"), "r_id").limit(sample))
     d = docs.select(F.col(id_col).cast("bigint").alias("d_id"), whole_text(text_col).alias("text"))
     rated = d.join(F.broadcast(chosen), F.col("d_id") == F.col("r_id")).select("grade", "d_id", "text")
-    rows = rated.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_slot_rows, "grade int, slots array<int>")
-    got = rows.limit(2 * sample).toArrow().combine_chunks()        # repeated ids can give more rows than ratings
+    rows = rated.select(F.col("grade").cast("int").alias("grade"), "d_id", "text").mapInArrow(_slot_rows, "grade int, d_id bigint, key bigint, slots array<int>")
+    # a repeated id counts once, with the text of the smallest hash
+    rows = rows.groupBy("d_id").agg(F.min(F.struct("key", "grade", "slots")).alias("r")).select("r.grade", "r.slots")
+    got = rows.toArrow().combine_chunks()
     lists, grades = got.column("slots").combine_chunks(), got.column("grade").to_numpy()
     flat, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
     slots = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]

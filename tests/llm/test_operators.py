@@ -84,6 +84,15 @@ def test_ordinal_cut_bounds_the_loss():
     assert model.cut == 0.5 and list(model.thresholds) == sorted(model.thresholds)
 
 
+def test_ordinal_repeated_ids_count_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(100)] + [(i, f"text of {i}") for i in (2, 3, 4)], "doc_id bigint, text string").coalesce(1)
+    ratings = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 2)], "doc_id bigint, grade int")
+    seen = []
+    monkeypatch.setattr(ordinal, "fit", lambda slots, grades, n_grades, f=ordinal.fit: seen.append(grades.tolist()) or f(slots, grades, n_grades))
+    ordinal.train(docs, ratings, sample=4)
+    assert sorted(seen[0]) == [0, 1, 2, 2]
+
+
 def test_ordinal_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = ordinal.train(odd_docs, ordinal.graded(none))
