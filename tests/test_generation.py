@@ -7,7 +7,7 @@ from flowsmith.operators import synth as S
 from flowsmith.session import materialize
 from flowsmith.sources import adapters as A
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _counts(spark):

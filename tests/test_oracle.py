@@ -11,7 +11,7 @@ import pytest
 from flowsmith.plans.catalog import load_all
 from flowsmith.plans.oracle import compare_frames, duckdb_connection, run_oracle
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 QUERIES = load_all()
 QUICK = ["thresholds_by_app", "group_profile_global", "value_dist_by_app", "high_freq_values", "value_cdf",

@@ -8,7 +8,7 @@ from flowsmith.sources import adapters as A
 from flowsmith.sources import flowfiles as FF
 from flowsmith.streaming.quality_stream import quality_counters, stream_quality
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_generation_run_writes_outputs(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowsmith.functions import rank as RK
 from flowsmith.sources import adapters as A
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_hot_key_path_equals_plain_window(spark, monkeypatch):

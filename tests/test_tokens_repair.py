@@ -6,7 +6,7 @@ from flowsmith.functions.scalar import dequantize, quantize
 from flowsmith.operators import tokens as T
 from flowsmith.sources import adapters as A
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_vocab_shape(spark):
