@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bm25, chat, exact, hpyp, mixing, ordinal, pieces, pii, simhash, wordpiece
+from . import bm25, chat, exact, hpyp, mixing, ordinal, periodic, phrases, pieces, pii, simhash, urls, wordpiece
 from .common import table
 
 QUERIES: dict = {}
@@ -115,3 +115,68 @@ select doc_id, keep_id, group_size, kept, sha as text_sha256 from w
 def op10(spark, sf):
     """Group and decision of every document."""
     return exact.exact_groups(table(spark, sf, "documents")).drop("bucket")
+
+
+def _words(terms) -> str:
+    return ", ".join(f"'{t}'" for t in terms)
+
+
+OP11_SQL = f"""
+with u as (select page_id, coalesce(url, '') as url,
+                  translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                  regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path from pages),
+t as (select *, regexp_split_to_array(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') as words from u),
+c as (select *, len([w for w in words if w in ({_words(urls.STRICT)})]) as n_strict,
+             len(list_distinct([w for w in words if w in ({_words(urls.SOFT)})])) as n_soft,
+             case when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/'
+                  when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+                  when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
+                  when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule from t)
+select page_id, host, path, rule, n_strict::bigint as n_strict, n_soft::bigint as n_soft,
+       case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+            when n_strict >= 1 or n_soft >= {urls.SOFT_LIMIT} then 'block' else 'allow' end as verdict from c
+"""
+
+
+@register("op11_url_filter", OP11_SQL)
+def op11(spark, sf):
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge_urls(table(spark, sf, "pages"))
+
+
+OP12_SQL = """
+with d as (select coalesce(lang, 'und') as lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, [x for x in regexp_split_to_array(piece, '[ \\x09]+') if x <> ''] as words from d),
+s as (select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+g as (select lang, words[i:i + k - 1] as key, k from s, (values (1), (2), (3), (4), (5)) v(k) where i + k - 1 <= len(words)),
+f as (select lang, key, k, count(*) as a from g group by lang, key, k),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+p as (select * from f where k >= 2 and a >= 100),
+cuts as (select lang, key, k, a, unnest(range(1, k)) as cut from p),
+scored as (select c.lang, c.key, c.k, c.a, c.cut, x.a as l, y.a as r, n.n,
+                  (1000::hugeint * c.a * n.n) // (x.a::hugeint * y.a) as score
+           from cuts c join n on n.lang = c.lang join f x on x.lang = c.lang and x.key = c.key[1:c.cut]
+                join f y on y.lang = c.lang and y.key = c.key[c.cut + 1:c.k]),
+best as (select * from scored qualify row_number() over (partition by lang, key order by score, cut) = 1),
+inside as (select lang, key[i:i + m - 1] as key, max(a) as over_a
+           from (select lang, key, a, k, m, unnest(range(1, k - m + 2)) as i
+                 from (select lang, key, a, k, unnest(range(2, k)) as m from p)) group by 1, 2),
+kept as (select b.*, array_to_string(b.key, ' ') as phrase from best b left join inside i on i.lang = b.lang and i.key = b.key
+         where i.over_a is null or 100 * i.over_a < 100 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
+@register("op12_phrase_mining", OP12_SQL)
+def op12(spark, sf):
+    """The first 2000 phrases of each language of the documents."""
+    return phrases.mine_phrases(table(spark, sf, "documents"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf):
+    """Periodic runs of words of every document, the contract's planted runs included."""
+    return periodic.run_digests(periodic.collapse_runs(table(spark, sf, "documents"), edit=periodic.planted_words))
