@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from flowsmith.operators import synth as S  # noqa: E402
 from flowsmith.plans.catalog import load_all  # noqa: E402
-from flowsmith.plans.common import cell_counts  # noqa: E402
+from flowsmith.plans.q_synth import synth_flows_df  # noqa: E402
 from flowsmith.session import get_spark  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -30,7 +30,7 @@ HEADLINE = ["group_profile_by_app", "value_dist_by_app", "thresholds_by_app", "d
 
 def synthesize_flows_n(spark, sf):
     """G7 with n = BENCH_SYNTH_N generated flows."""
-    return S.to_wide(S.synthesize_cells(spark, cell_counts(spark, sf), SYNTH_N))
+    return S.to_wide(synth_flows_df(spark, sf, SYNTH_N))
 
 
 def run(spark, fn, sf) -> float:

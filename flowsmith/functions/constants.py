@@ -7,7 +7,6 @@ stated plainly here, in natural order, and used by name everywhere else.
 # --- record shape -----------------------------------------------------------
 N_GROUPS = 3            # 0 = gap before the packet, 1 = direction, 2 = size
 N_SLOTS = 30            # first 30 packets of a flow
-GROUP_NAMES = ["Inter-packet timing", "Packet direction", "Packet size"]
 LABEL_COL = "APP"
 UNKNOWN_LABEL = "Unknown"
 

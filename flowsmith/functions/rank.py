@@ -19,11 +19,16 @@ HOT_BROADCAST_ROWS = 100_000
 NULL_BUCKET = -(1 << 62)    # NULL order values come first
 
 
-def join_null_safe(rows: DataFrame, offsets: DataFrame, key: list[str]) -> DataFrame:
-    """Adds the offsets of each row's key; a NULL key finds the NULL key's offsets."""
-    named = offsets.select(*[F.col(c).alias(f"_k_{c}") if c in key else F.col(c) for c in offsets.columns])
+def join_null_safe(rows: DataFrame, others: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Joins on ``key``, where a NULL equals a NULL (a flow without a label has a key too).  With ``how`` full_outer the key
+    comes from whichever side has the row; otherwise the columns of ``others`` beside the key are added."""
+    named = others.select(*[F.col(c).alias(f"_k_{c}") if c in key else F.col(c) for c in others.columns])
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
-    return rows.join(named, same).drop(*[f"_k_{c}" for c in key])
+    if how == "full_outer":
+        both = rows.withColumn("_left", F.lit(True)).join(named, same, how)
+        merged = [F.when(F.col("_left"), F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c) if c in key else F.col(c) for c in rows.columns]
+        return both.select(*merged, *[c for c in others.columns if c not in key])
+    return rows.join(named, same, how).drop(*[f"_k_{c}" for c in key])
 
 
 def _hot_keys(df: DataFrame, part_cols: list[str], hot_rows: int):

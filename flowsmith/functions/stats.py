@@ -13,29 +13,38 @@ from pyspark.sql import functions as F
 
 from .rank import global_rank, join_null_safe
 
-STEPS_PER_E = 1500           # value ranges per factor e of magnitude
-BIGGEST_LOG = 800.0          # above the logarithm of any double; also stands for infinity
-RANGE_SHIFT = 1 << 21        # makes the range number of every positive value positive
+RANGES = 256                 # value ranges of a running sum
+COARSE = 16                  # a value is first placed among the ends of 16 neighbouring ranges, then within them
 
 
-def value_range(v) -> Column:
-    """A whole number that never falls as v grows: ranges of equal width on a logarithmic scale, mirrored for
-    negative values.  It depends on v alone, so every branch of a plan and every retry cuts the values alike."""
-    v = (v if isinstance(v, Column) else F.col(v)).cast("double")
+def value_range(df: DataFrame, v_col: str, ranges: int = RANGES) -> Column:
+    """Number of the value range of ``v_col``, never falling as the value grows: ranges are cut at approximate quantiles of
+    the rows of ``df``, so each holds about its share of the rows wherever the values lie.  What reaches the driver is the
+    ``ranges`` - 1 cuts; as literals they are the same in every branch of a plan and every retry."""
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(v_col, probs, 20 * ranges)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts if c == c})            # NaN comes after every number
+    if not cuts:
+        return F.lit(0)
 
-    def of(x):
-        return F.floor(F.least(F.ln(x), F.lit(BIGGEST_LOG)) * STEPS_PER_E) + RANGE_SHIFT
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < F.col(v_col)))
 
-    return F.when(v > 0, of(v)).when(v < 0, -of(-v)).otherwise(0).cast("bigint")
+    parts = [cuts[i:i + COARSE] for i in range(0, len(cuts), COARSE)]
+    if len(parts) == 1:
+        return below(F.array(*map(F.lit, cuts)))
+    fine = F.array(*[F.array(*map(F.lit, p)) for p in parts], F.array().cast("array<double>"))
+    part = below(F.array(*[F.lit(p[-1]) for p in parts]))         # parts that lie below the value as a whole
+    return part * COARSE + below(F.element_at(fine, part + 1))
 
 
-def running_sums(freq: DataFrame, group_cols: list[str], v_col: str, w_col: str) -> DataFrame:
+def running_sums(freq: DataFrame, group_cols: list[str], v_col: str, w_col: str, cuts_from: DataFrame | None = None) -> DataFrame:
     """``freq`` (one row per group and distinct non-NULL value) with ``_cum``, the sum of ``w_col`` over the group's
     values up to this one, and ``_n``, the sum over the group.
 
-    No window holds the values of a whole group: sums run within a value range, and the range sums
-    (their number depends on the magnitudes, not on the rows) give each range its offset."""
-    f = freq.withColumn("_range", value_range(v_col))
+    No window holds the values of a whole group: sums run within a value range (see ``value_range``; ``cuts_from`` is a
+    table with the same values that is cheaper to read than ``freq``), and the range sums give each range its offset."""
+    f = freq.withColumn("_range", value_range(freq if cuts_from is None else cuts_from, v_col))
     key = [*group_cols, "_range"]
     before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     sums = f.groupBy(*key).agg(F.sum(w_col).alias("_s"))
@@ -47,7 +56,7 @@ def running_sums(freq: DataFrame, group_cols: list[str], v_col: str, w_col: str)
 
 
 def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str, cnt_col: str,
-                            probs: dict[str, float]) -> DataFrame:
+                            probs: dict[str, float], cuts_from: DataFrame | None = None) -> DataFrame:
     """Linear-interpolation percentiles (numpy's default, DuckDB's
     ``quantile_cont``) per group from a frequency table.
 
@@ -55,7 +64,7 @@ def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str,
     where a is the sorted multiset.  a[r] is the smallest v whose running count
     exceeds r.  Returns one row per group with one column per entry of ``probs``.
     """
-    f = running_sums(freq.where(F.col(v_col).isNotNull()), group_cols, v_col, cnt_col)
+    f = running_sums(freq.where(F.col(v_col).isNotNull()), group_cols, v_col, cnt_col, cuts_from)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
@@ -75,22 +84,23 @@ def percentiles_from_counts(freq: DataFrame, group_cols: list[str], v_col: str,
 
 
 def weighted_moments(freq: DataFrame, group_cols: list[str], v_col: str, cnt_col: str) -> DataFrame:
-    """n, mean, sample std, min, max, zero and negative counts per group from a
+    """rows, n (rows with a value), mean, sample std, min, max, zero and negative counts per group from a
     frequency table (two-pass: the mean first, then squared deviations; both are aggregates that combine before
-    the shuffle)."""
-    base = freq.where(F.col(v_col).isNotNull())
-    means = base.groupBy(*group_cols).agg((F.sum(F.col(cnt_col) * F.col(v_col)) / F.sum(cnt_col)).alias("_mean"))
-    f = join_null_safe(base, means, group_cols)
-    dev = F.col(cnt_col) * (F.col(v_col) - F.col("_mean")) * (F.col(v_col) - F.col("_mean"))
-    total = F.sum(cnt_col)
+    the shuffle).  A group without any value has its rows and NULL moments."""
+    v, some = F.col(v_col), F.when(F.col(v_col).isNotNull(), F.col(cnt_col))
+    means = freq.groupBy(*group_cols).agg((F.sum(some * v) / F.sum(some)).alias("_mean"))
+    f = join_null_safe(freq, means, group_cols)
+    dev = some * (v - F.col("_mean")) * (v - F.col("_mean"))
+    total = F.sum(some)
     return f.groupBy(*group_cols).agg(
+        F.sum(cnt_col).alias("rows"),
         total.alias("n"),
         F.first("_mean").alias("mean"),
         F.when(total > 1, F.sqrt(F.sum(dev) / (total - 1))).alias("std"),
         F.min(v_col).alias("min"),
         F.max(v_col).alias("max"),
-        F.sum(F.when(F.col(v_col) == 0, F.col(cnt_col)).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col(v_col) < 0, F.col(cnt_col)).otherwise(0)).alias("negatives"),
+        F.sum(F.when(v == 0, F.col(cnt_col)).otherwise(0)).alias("zeros"),
+        F.sum(F.when(v < 0, F.col(cnt_col)).otherwise(0)).alias("negatives"),
     )
 
 
@@ -99,20 +109,17 @@ def r6(c) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 6)
 
 
-def ranked_counts(df: DataFrame, v_col: str, buckets: int = 256, accuracy: int = 10000):
+def ranked_counts(df: DataFrame, v_col: str, buckets: int = RANGES):
     """Distinct values of ``v_col`` with their count and global running count.
 
     The running count needs a global order; instead of one window over all
-    values, values are cut into ranges at approximate quantiles (a bounded
-    summary of ``buckets`` numbers), each range gets its offset from a table of
+    values, values are cut into ranges at approximate quantiles (see
+    ``value_range``), each range gets its offset from a table of
     ``buckets`` rows, and the running count runs per range.  Returns
     (freq DataFrame with v, cnt, cum; total count n).
     """
     freq = df.where(F.col(v_col).isNotNull()).groupBy(v_col).agg(F.count(F.lit(1)).alias("cnt"))
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = freq.agg(F.percentile_approx(v_col, probs, accuracy).alias("s")).first()["s"] or []
-    cuts = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
-    f = freq.withColumn("_b", F.size(F.filter(cuts, lambda s: s < F.col(v_col))))
+    f = freq.withColumn("_b", value_range(freq, v_col, buckets))
     bt = f.groupBy("_b").agg(F.sum("cnt").alias("_bc"))
     bt = bt.withColumn("_off", F.sum("_bc").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
                        - F.col("_bc"))

@@ -4,7 +4,7 @@ A flow's key is its label plus its 90 values rounded half-even to 6 places,
 in (group, slot) order.  The source side is reduced to distinct keys before
 the join (map-side), so a key shared by a third of all source flows becomes
 one row; the join itself is an equi-join on (hash, label, key array) that AQE
-may split when the generated side is skewed.
+may split when the generated side is skewed.  Flows come as arrays or as cells.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flowtable as FT
 
-def flow_keys(cells: DataFrame, id_col: str) -> DataFrame:
-    """(id, app, key, h): one row per flow; a flow holds at most 90 cells."""
-    entry = F.struct(F.col("grp"), F.col("slot"), F.bround(F.col("v"), 6).alias("v"))
-    agg = cells.groupBy(id_col, "app").agg(F.array_sort(F.collect_list(entry)).alias("_c"))
-    key = F.transform(F.col("_c"), lambda e: e["v"])
-    return (agg.select(id_col, "app", key.alias("key"))
-            .withColumn("h", F.xxhash64(F.col("app"), F.col("key"))))
+
+def flow_keys(flows: DataFrame, id_col: str) -> DataFrame:
+    """(id, app, key, h): one row per flow.  Flows as arrays need no shuffle; cells are gathered first (at most 90 per flow)."""
+    table = flows if FT.is_flow_table(flows) else FT.from_cells(flows, id_col)
+    key = F.transform(FT.present_values(table), lambda v: F.bround(v, 6))
+    return table.select(id_col, "app", key.alias("key")).withColumn("h", F.xxhash64(F.col("app"), F.col("key")))
 
 
 def _source_keys(original_cells: DataFrame, id_col: str) -> DataFrame:

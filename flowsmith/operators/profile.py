@@ -48,25 +48,33 @@ def group_profile(cells: DataFrame | None = None, by_app: bool = True,
     mean of the 30 column stds, p25..p95 over all values, zero ratio, non-zero
     count and sample count."""
     counts = counts if counts is not None else value_counts(cells)
-    base = counts if by_app else _global(counts)
-    gkeys = (["app"] if by_app else []) + ["grp"]
-    per_slot = weighted_moments(base, gkeys + ["slot"], "v", "cnt")
-    rows_per_slot = base.groupBy(*gkeys, "slot").agg(F.sum("cnt").alias("rows"))
-    level2 = (per_slot.join(rows_per_slot, gkeys + ["slot"], "right")
-              .groupBy(*gkeys).agg(
-                  F.min("min").alias("min"), F.max("max").alias("max"),
-                  F.avg("mean").alias("mean"), F.avg("std").alias("std"),
-                  F.sum("zeros").alias("zeros"), F.sum("n").alias("non_null"),
-                  F.max("rows").alias("sample_count")))
+    return _group_profile(counts if by_app else _global(counts), (["app"] if by_app else []) + ["grp"], counts, extra_pcts, rounded)
+
+
+def group_profile_levels(counts: DataFrame, extra_pcts: bool = False, rounded: bool = True) -> DataFrame:
+    """A5 and A6 together: the profiles per (app, grp) with level 'label' and those per grp with level 'all' (app is NULL)
+    from one scan of the counts, by grouping sets."""
+    sets = counts.groupingSets([["app", "grp", "slot", "v"], ["grp", "slot", "v"]], "app", "grp", "slot", "v").agg(
+        F.sum("cnt").alias("cnt"), F.grouping("app").alias("_all"))
+    base = sets.select(F.when(F.col("_all") == 1, "all").otherwise("label").alias("level"), "app", "grp", "slot", "v", "cnt")
+    return _group_profile(base, ["level", "app", "grp"], counts, extra_pcts, rounded)
+
+
+def _group_profile(base: DataFrame, gkeys: list[str], counts: DataFrame, extra_pcts: bool, rounded: bool) -> DataFrame:
+    level2 = weighted_moments(base, gkeys + ["slot"], "v", "cnt").groupBy(*gkeys).agg(
+        F.min("min").alias("min"), F.max("max").alias("max"),
+        F.avg("mean").alias("mean"), F.avg("std").alias("std"),
+        F.sum("zeros").alias("zeros"), F.coalesce(F.sum("n"), F.lit(0)).alias("non_null"),
+        F.max("rows").alias("sample_count"))
     group_freq = base.groupBy(*gkeys, "v").agg(F.sum("cnt").alias("cnt"))
     pcts = dict(PCT_NAMES) if extra_pcts else {k: v for k, v in PCT_NAMES.items() if k != "p98"}
-    pct = percentiles_from_counts(group_freq, gkeys, "v", "cnt", pcts)
-    out = level2.join(pct, gkeys, "left")
+    pct = percentiles_from_counts(group_freq, gkeys, "v", "cnt", pcts, cuts_from=counts)
+    out = join_null_safe(level2, pct, gkeys, "left")
     rnd = r6 if rounded else (lambda c: c if isinstance(c, Column) else F.col(c))
     cols = [*gkeys, "min", "max", rnd("mean").alias("mean"), rnd("std").alias("std")]
     cols += [rnd(k).alias(k) for k in pcts]
     cols += [rnd(F.when(F.col("non_null") > 0, F.col("zeros") / F.col("non_null")).otherwise(0.0)).alias("zero_ratio"),
-             (F.coalesce(F.col("non_null"), F.lit(0)) - F.coalesce(F.col("zeros"), F.lit(0))).cast("bigint").alias("non_zero_count"),
+             (F.col("non_null") - F.col("zeros")).cast("bigint").alias("non_zero_count"),
              F.col("sample_count").cast("bigint").alias("sample_count")]
     return out.select(*cols)
 
@@ -81,7 +89,7 @@ def thresholds(cells: DataFrame | None = None, by_app: bool = True,
     skip NULL like Python's min/max with a NaN second argument.
     """
     prof = profile if profile is not None else group_profile(cells, by_app, counts, extra_pcts=True, rounded=False)
-    keys = ["app"] if by_app else []
+    keys = [k for k in ("level", "app") if k in prof.columns]
     m, s, g = F.col("mean"), F.col("std"), F.col("grp")
 
     def upper(p, k_up, k_floor):
@@ -113,13 +121,21 @@ def feature_profile(cells: DataFrame | None = None, counts: DataFrame | None = N
 
 
 def label_counts(flows_or_cells: DataFrame, id_col: str = "flow_id") -> DataFrame:
-    """(app, cnt): flows per label; accepts the flow or the cell form."""
+    """(app, cnt): flows per label; accepts the flow or the cell form.  Cells are first reduced to one row per flow, so a flow
+    counts whichever cells it has."""
     df = flows_or_cells
     if "slot" in df.columns:
-        df = df.where((F.col("grp") == 0) & (F.col("slot") == 0))
+        df = df.select(id_col, "app").distinct()
     return df.groupBy("app").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def label_counts_of(counts: DataFrame) -> DataFrame:
+    """(app, cnt) from the value counts alone: the rows of the fullest column of each label, which are its flows unless every
+    column lacks in some flow."""
+    columns = counts.groupBy("app", "grp", "slot").agg(F.sum("cnt").alias("cnt"))
+    return columns.groupBy("app").agg(F.max("cnt").alias("cnt"))
+
+
 def label_profile(cells: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """A2: per label its count, plus the number of labels and the most common
     label (count desc, then label asc) on every row.  The windows run over the
@@ -141,19 +157,32 @@ def label_proportions(cells: DataFrame | None = None, labels: DataFrame | None =
                      (F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).alias("proportion"))
 
 
+def flow_bitmaps(cells: DataFrame, *aggs: Column, id_col: str = "flow_id", keys: tuple = ()) -> DataFrame:
+    """``aggs`` per block of 32,768 ids, with ``_flows``, the bitmap of the ids in the block: ids are counted without a
+    distinct aggregate (blocks are disjoint, so ``flows_in`` adds up over them)."""
+    i = F.col(id_col).cast("bigint")
+    return cells.groupBy(*keys, F.bitmap_bucket_number(i).alias("_block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(i)).alias("_flows"), *aggs)
+
+
+def flows_in() -> Column:
+    """Number of flows over rows of ``flow_bitmaps``."""
+    return F.coalesce(F.sum(F.when(F.col("_block").isNotNull(), F.bitmap_count("_flows"))), F.lit(0)).cast("bigint")
+
+
 def dataset_overview(cells: DataFrame) -> DataFrame:
-    """A3: rows (flows), feature count, missing cells (NULL values + NULL labels).  One row per flow is shuffled: its
-    missing cells and, for each group, a bit for every slot it has."""
-    first = (F.col("grp") == 0) & (F.col("slot") == 0)
+    """A3: rows (flows), feature count, missing cells (NULL values + flows without a label).  Per block of ids: the bitmaps of
+    its flows and of those without a label, its missing cells and, for each group, a bit for every slot it has."""
     groups = [f"_m{g}" for g in range(K.N_GROUPS)]
-    per_flow = cells.groupBy("flow_id").agg(
-        (F.count_if(F.col("v").isNull()) + F.count_if(F.col("app").isNull() & first)).alias("_missing"),
+    bit = F.bitmap_bit_position(F.when(F.col("app").isNull(), F.col("flow_id").cast("bigint")))
+    blocks = flow_bitmaps(
+        cells, F.bitmap_construct_agg(bit).alias("_unlabelled"), F.count_if(F.col("v").isNull()).alias("_missing"),
         *[F.bit_or(F.when(F.col("grp") == g, F.expr("shiftleft(1L, slot)"))).alias(m) for g, m in enumerate(groups)])
     features = sum((F.coalesce(F.bit_count(F.bit_or(m)), F.lit(0)) for m in groups[1:]),
                    F.coalesce(F.bit_count(F.bit_or(groups[0])), F.lit(0)))
-    return per_flow.agg(F.count("flow_id").cast("bigint").alias("total_samples"),
-                        features.cast("bigint").alias("total_features"),
-                        F.coalesce(F.sum("_missing"), F.lit(0)).cast("bigint").alias("missing_values"))
+    missing = F.sum(F.col("_missing") + F.when(F.col("_block").isNotNull(), F.bitmap_count("_unlabelled")).otherwise(0))
+    return blocks.agg(flows_in().alias("total_samples"), features.cast("bigint").alias("total_features"),
+                      F.coalesce(missing, F.lit(0)).cast("bigint").alias("missing_values"))
 
 
 def group_summary(cells: DataFrame) -> DataFrame:
@@ -185,4 +214,4 @@ def high_freq_values(cells: DataFrame | None = None, counts: DataFrame | None =
     for g, q in K.HIGH_FREQ_PCT.items():
         cut_by_grp[g] = percentiles_from_counts(pf.where(F.col("grp") == g), keys, "p", "k", {"cut": q})
     cuts = cut_by_grp[0].unionByName(cut_by_grp[2])
-    return d.join(cuts, keys).where(F.col("p") > F.col("cut")).select(*keys, "v", "p")
+    return join_null_safe(d, cuts, keys).where(F.col("p") > F.col("cut")).select(*keys, "v", "p")

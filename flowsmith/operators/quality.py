@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rank import join_null_safe
 from ..functions.stats import r6
 from . import profile as P
 
@@ -19,11 +20,10 @@ def _n(cond):
     return F.count_if(cond).cast("bigint")
 
 
-def _counters(cells_cols_id: str):
+def _counters():
     g, v = F.col("grp"), F.col("v")
     t, d, s = g == 0, g == 1, g == 2
     return [
-        F.countDistinct(cells_cols_id).cast("bigint").alias("total_samples"),
         _n(t).alias("t_total"), _n(t & (v < 0)).alias("t_neg"), _n(t & (v == 0)).alias("t_zero"),
         _n(t & (v >= 0.0001) & (v <= 1000.0)).alias("t_real"), _n(t & (v > 10000.0)).alias("t_out"),
         _n(d).alias("d_total"), _n(d & (v == -1.0)).alias("d_m1"), _n(d & (v == 1.0)).alias("d_p1"),
@@ -35,14 +35,23 @@ def _counters(cells_cols_id: str):
     ]
 
 
+COUNTERS = ("t_total", "t_neg", "t_zero", "t_real", "t_out", "d_total", "d_m1", "d_p1", "d_zero", "d_near",
+            "s_total", "s_neg", "s_zero", "s_real", "s_tiny", "s_huge", "s_int")
+
+
+def _sums():
+    """Counters and flows over blocks of ids; 0 where there is no cell at all."""
+    return [P.flows_in().alias("total_samples"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS]]
+
+
 def quality_aggregates(cells: DataFrame) -> DataFrame:
     """All counters of V1-V3 in one pass (the id column is the first column)."""
-    return cells.agg(*_counters(cells.columns[0]))
+    return P.flow_bitmaps(cells, *_counters(), id_col=cells.columns[0]).agg(*_sums())
 
 
 def quality_aggregates_by(cells: DataFrame, key: str) -> DataFrame:
     """The same counters per value of ``key`` (id column ``_id``)."""
-    return cells.groupBy(key).agg(*_counters("_id"))
+    return P.flow_bitmaps(cells, *_counters(), id_col="_id", keys=(key,)).groupBy(key).agg(*_sums())
 
 
 def _timing_score():
@@ -50,7 +59,7 @@ def _timing_score():
 
 
 def _direction_score():
-    return (F.col("d_m1") + F.col("d_p1") + F.col("d_zero")) * 100.0 / F.col("d_total")
+    return F.try_divide((F.col("d_m1") + F.col("d_p1") + F.col("d_zero")) * 100.0, F.col("d_total"))
 
 
 def _size_score():
@@ -62,8 +71,8 @@ def quality_timing(cells: DataFrame) -> DataFrame:
     a = quality_aggregates(cells)
     return a.select(F.col("t_neg").alias("negative_values"), F.col("t_zero").alias("zero_values"),
                     F.col("t_real").alias("realistic_timing_values"), F.col("t_out").alias("extreme_outliers"),
-                    r6(F.col("t_neg") / F.col("t_total")).alias("negative_rate"),
-                    r6(F.col("t_out") / F.col("t_total")).alias("outlier_rate"),
+                    r6(F.try_divide("t_neg", "t_total")).alias("negative_rate"),
+                    r6(F.try_divide("t_out", "t_total")).alias("outlier_rate"),
                     _timing_score().alias("quality_score"))
 
 
@@ -72,7 +81,7 @@ def quality_direction(cells: DataFrame) -> DataFrame:
     a = quality_aggregates(cells)
     return a.select(F.col("d_m1").alias("exact_minus_one"), F.col("d_p1").alias("exact_plus_one"),
                     F.col("d_zero").alias("exact_zero"), F.col("d_near").alias("near_binary_values"),
-                    r6((F.col("d_m1") + F.col("d_p1") + F.col("d_zero")) / F.col("d_total")).alias("exact_binary_ratio"),
+                    r6(F.try_divide(F.col("d_m1") + F.col("d_p1") + F.col("d_zero"), F.col("d_total"))).alias("exact_binary_ratio"),
                     r6(_direction_score()).alias("quality_score"))
 
 
@@ -82,7 +91,7 @@ def quality_size(cells: DataFrame) -> DataFrame:
     return a.select(F.col("s_neg").alias("negative_values"), F.col("s_zero").alias("zero_values"),
                     F.col("s_real").alias("realistic_packet_sizes"), F.col("s_tiny").alias("tiny_packets"),
                     F.col("s_huge").alias("huge_packets"), F.col("s_int").alias("integer_values"),
-                    r6((F.col("s_neg") + F.col("s_tiny") + F.col("s_huge")) / F.col("s_total")).alias("violation_rate"),
+                    r6(F.try_divide(F.col("s_neg") + F.col("s_tiny") + F.col("s_huge"), F.col("s_total"))).alias("violation_rate"),
                     _size_score().alias("quality_score"))
 
 
@@ -118,7 +127,7 @@ def distribution_fidelity(original_counts: DataFrame, generated_counts: DataFram
     keys = ["app", "grp", "slot", "v"]
     o = P.value_dist(counts=original_counts).select(*keys, F.col("p").alias("p1"))
     g = P.value_dist(counts=generated_counts).select(*keys, F.col("p").alias("p2"))
-    j = o.join(g, keys, "full_outer")
+    j = join_null_safe(o, g, keys, "full_outer")
     tv = j.groupBy("app", "grp", "slot").agg(
         (0.5 * F.sum(F.abs(F.coalesce("p1", F.lit(0.0)) - F.coalesce("p2", F.lit(0.0))))).alias("tv"))
     return tv.groupBy("app", "grp").agg(r6(1.0 - F.avg("tv")).alias("fidelity"),
@@ -132,7 +141,7 @@ def profile_correlation(original_counts: DataFrame, generated_counts: DataFrame)
         m = counts.where(F.col("v").isNotNull()).groupBy("app", "grp", "slot").agg(
             (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias(name))
         return m
-    j = means(original_counts, "x").join(means(generated_counts, "y"), ["app", "grp", "slot"])
+    j = join_null_safe(means(original_counts, "x"), means(generated_counts, "y"), ["app", "grp", "slot"])
 
     def corr_over(df, keys):
         w = Window.partitionBy(*keys)
@@ -157,7 +166,7 @@ def label_fidelity(original_labels: DataFrame, generated_labels: DataFrame) -> D
     Inputs are (app, cnt) tables (one row per label)."""
     o = original_labels.select("app", F.col("cnt").alias("original_count"))
     g = generated_labels.select("app", F.col("cnt").alias("generated_count"))
-    j = o.join(g, "app", "full_outer").fillna(0, ["original_count", "generated_count"])
+    j = join_null_safe(o, g, ["app"], "full_outer").fillna(0, ["original_count", "generated_count"])
     everything = Window.partitionBy()
     j = (j.withColumn("original_share", F.col("original_count") / F.sum("original_count").over(everything))
           .withColumn("generated_share", F.col("generated_count") / F.sum("generated_count").over(everything)))

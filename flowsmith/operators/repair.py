@@ -16,46 +16,71 @@ a repair is kept only when it lowers the score by more than 5 %.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.rank import join_null_safe
 from ..functions.scalar import snap_direction
 from ..functions.stats import global_percentiles, top_k
 from ..session import materialize
+from . import flowtable as FT
 from . import tokens as T
 
 START = -1
 BIGRAM_BROADCAST_ROWS = 3_000_000   # 90 x 168 x 167 = 2.5M: the largest possible table
+SHIFT = 1 << 16                     # token ids are below
 
 
-def _with_prev(vt: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys, "grp").orderBy("slot")
-    return vt.withColumn("prev", F.coalesce(F.lag("token_id").over(w), F.lit(START)))
+def _table(flows: DataFrame, id_col: str) -> DataFrame:
+    return flows if FT.is_flow_table(flows) else FT.from_cells(flows, id_col)
 
 
-def fit_bigram(cells: DataFrame, voc: DataFrame, id_col: str = "flow_id") -> tuple[DataFrame, DataFrame, int]:
-    """(bigram counts, context counts, number of value classes); both count
-    tables are written once (they are read by every scoring pass)."""
-    vt = _with_prev(T.value_tokens(cells, voc).select(id_col, "grp", "slot", "token_id"), id_col)
-    bigram = materialize(vt.groupBy("grp", "slot", "prev", "token_id").agg(F.count(F.lit(1)).alias("c")))
-    ctx = materialize(bigram.groupBy("grp", "slot", "prev").agg(F.sum("c").alias("nctx")))
+def _steps(flows: DataFrame, voc: DataFrame, id_col: str) -> DataFrame:
+    """(id, app, cell, prev, token): one row per cell, with the token before it in its group (START for the first), as
+    numbers.  All of it happens within the flow's row."""
+    ids = T.token_ids(voc)
+
+    def cell(g: int):
+        return lambda v, s: F.struct((s + g * K.N_SLOTS).alias("cell"), T.value_id(v, ids).alias("token"))
+
+    entries = {f"_e{g}": FT.unless_absent(F.transform(name, cell(g)), lambda e: e["cell"]) for g, name in enumerate(FT.GROUPS)}
+    out, groups = flows.withColumns(entries), []
+    for g in range(K.N_GROUPS):
+        e = F.col(f"_e{g}")
+        before = F.concat(F.array(F.lit(START)), F.slice(e["token"], F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
+        groups.append(F.transform(F.arrays_zip(e.alias("e"), before.alias("prev")), lambda z: F.struct(
+            z["e"]["cell"].alias("cell"), z["prev"].alias("prev"), z["e"]["token"].alias("token"))))
+    steps = F.filter(F.concat(*groups), lambda x: x["cell"].isNotNull())      # a group without cells leaves its START alone
+    return out.select(id_col, "app", F.explode(steps).alias("s")).select(id_col, "app", "s.cell", "s.prev", "s.token")
+
+
+def _context() -> Column:
+    """(cell, previous token) as one number."""
+    return F.col("cell").cast("bigint") * SHIFT + F.col("prev") + 1
+
+
+def fit_bigram(flows: DataFrame, voc: DataFrame, id_col: str = "flow_id") -> tuple[DataFrame, DataFrame, int]:
+    """(bigram counts by context and token, context counts, number of value classes); both count
+    tables are written once (they are read by every scoring pass).  Takes flows or cells; flows are not shuffled, only counts are."""
+    steps = _steps(_table(flows, id_col), voc, id_col).select(_context().alias("ctx"), "token")
+    bigram = materialize(steps.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")))
+    contexts = materialize(bigram.groupBy("ctx").agg(F.sum("c").alias("nctx")))
     classes = voc.where(F.col("kind").isin("value", "special_value", "unknown")).count()
-    return bigram, ctx, classes
+    return bigram, contexts, classes
 
 
-def score(samples: DataFrame, model: tuple[DataFrame, DataFrame, int], voc: DataFrame,
+def score(flows: DataFrame, model: tuple[DataFrame, DataFrame, int], voc: DataFrame,
           id_col: str = "sample_id") -> DataFrame:
-    """M3: (id, app, ppl) rounded to 6 places.  The cells are shuffled once, by flow: the previous token, the
-    lookups in the broadcast counts and the mean all stay within that partitioning."""
-    bigram, ctx, classes = model
-    vt = T.value_tokens(samples, voc).select(id_col, "app", "grp", "slot", "token_id").repartition(id_col, "app")
-    vt = _with_prev(vt, id_col, "app")
-    b = bigram.select("grp", "slot", "prev", "token_id", "c")
+    """M3: (id, app, ppl) rounded to 6 places.  Takes flows or cells.  Cells are looked up in the broadcast counts where their
+    flow lies and added up there, so one row per flow and task is shuffled at most."""
+    bigram, contexts, classes = model
+    steps = _steps(_table(flows, id_col), voc, id_col).select(id_col, "app", _context().alias("ctx"), "token")
+    b = bigram.select((F.col("ctx") * SHIFT + F.col("token")).alias("pair"), "c")
     if bigram.count() <= BIGRAM_BROADCAST_ROWS:   # bounded by the vocabulary: always true
         b = F.broadcast(b)
-    j = (vt.join(b, ["grp", "slot", "prev", "token_id"], "left")
-         .join(F.broadcast(ctx), ["grp", "slot", "prev"], "left"))
+    j = (steps.withColumn("pair", F.col("ctx") * SHIFT + F.col("token")).join(b, "pair", "left")
+         .join(F.broadcast(contexts), "ctx", "left"))
     p = (F.coalesce(F.col("c"), F.lit(0)) + 1) / (F.coalesce(F.col("nctx"), F.lit(0)) + classes)
     agg = j.groupBy(id_col, "app").agg(F.count(F.lit(1)).alias("_n"), F.avg(-F.log(p)).alias("_nll"))
     return agg.select(id_col, "app", F.when(F.col("_n") < T.N_CELLS, F.lit(K.PERPLEXITY_FAILURE))
@@ -101,7 +126,7 @@ def resolve_thresholds(labels: DataFrame, by_app: DataFrame, glob: DataFrame) ->
     a = by_app.select("app", "grp", F.col("upper_threshold").alias("a_upper"),
                       F.col("binary_tolerance").alias("a_tol"), F.col("noise_std").alias("a_noise"),
                       F.lit(True).alias("_has"))
-    j = per.join(a, ["app", "grp"], "left").join(F.broadcast(g), "grp", "left")
+    j = join_null_safe(per, a, ["app", "grp"], "left").join(F.broadcast(g), "grp", "left")
     has = F.coalesce(F.col("_has"), F.lit(False))
     return j.select("app", "grp",
                     F.when(has, F.col("a_upper")).otherwise(F.col("g_upper")).alias("upper_threshold"),
@@ -123,16 +148,30 @@ def repair_value(grp: Column, v: Column, upper: Column, tol: Column) -> Column:
             .when(grp == 1, snap_direction(v, tol)).otherwise(g2))
 
 
-def repair(cells: DataFrame, limits: DataFrame) -> DataFrame:
-    """M6: cells of the candidates with ``v_new``; ``limits`` from
-    ``resolve_thresholds`` (one row per label and group, broadcast-bounded by
-    the label count)."""
-    lim = limits.select("app", "grp", "upper_threshold", "binary_tolerance")
-    if lim.count() <= T.LABEL_BROADCAST_ROWS:
-        lim = F.broadcast(lim)
-    j = cells.join(lim, ["app", "grp"], "left")
-    return j.withColumn("v_new", repair_value(F.col("grp"), F.col("v"), F.col("upper_threshold"),
-                                              F.col("binary_tolerance"))).drop("upper_threshold", "binary_tolerance")
+def repair(flows: DataFrame, limits: DataFrame) -> DataFrame:
+    """M6: the candidates (as flows) with ``changed`` and the repaired values in place; the old ones are in ``old_`` columns.
+    ``limits`` from ``resolve_thresholds`` become one row per label, joined once per flow; the rules work within the row."""
+    per = limits.groupBy("app").agg(*[F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"_{c}{g}")
+                                      for g in range(K.N_GROUPS) for c in ("upper_threshold", "binary_tolerance")])
+    if per.count() <= T.LABEL_BROADCAST_ROWS:
+        per = F.broadcast(per)
+    j = join_null_safe(flows, per, ["app"], "left")
+    for name in FT.GROUPS:
+        j = j.withColumn(f"old_{name}", F.col(name))
+    fixed = FT.map_values(j, lambda g, slot, v: repair_value(F.lit(g), v, F.col(f"_upper_threshold{g}"), F.col(f"_binary_tolerance{g}")))
+    same = F.lit(True)
+    for name in FT.GROUPS:
+        same = same & F.col(name).eqNullSafe(F.col(f"old_{name}"))
+    return fixed.withColumn("changed", ~same).select(*flows.columns, *[f"old_{n}" for n in FT.GROUPS], "changed")
+
+
+def repaired_cells(repaired: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """(id, app, grp, slot, v, v_new) of the repaired flows, a narrow explode."""
+    both = [F.arrays_zip(F.col(f"old_{n}").alias("v"), F.col(n).alias("v_new")) for n in FT.GROUPS]
+    entries = F.transform(F.concat(*both), lambda e, k: F.struct(
+        (k / K.N_SLOTS).cast("int").alias("grp"), (k % K.N_SLOTS).cast("int").alias("slot"), e["v"].alias("v"), e["v_new"].alias("v_new")))
+    entries = FT.unless_absent(entries, lambda e: e["grp"] * K.N_SLOTS + e["slot"])
+    return repaired.select(id_col, "app", F.explode(entries).alias("c")).select(id_col, "app", "c.grp", "c.slot", "c.v", "c.v_new")
 
 
 def accept(old_scores: DataFrame, new_scores: DataFrame, changed: DataFrame,

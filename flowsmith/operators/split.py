@@ -7,7 +7,9 @@ rank over buckets floor(u * B): every bucket is ranked by its own window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -77,3 +79,16 @@ def assign_batches(flows: DataFrame, batch_size: int = K.BATCH_SIZE, shuffle: bo
         n = flows.count()
         r = global_rank(flows, _id_range(flows, id_col, min(MOST_RANGES, max(1, n // ROWS_PER_BUCKET))), [id_col])
     return r.select(id_col, "app", "rank", ((F.col("rank") - 1) / batch_size).cast("bigint").alias("batch_id"))
+
+
+def write_batches(flows: DataFrame, path: str, batches_per_file: int = 64, mode: str = "overwrite") -> None:
+    """T5 write: ``flows`` (with batch_id) dealt by ranges of batches and sorted within the file, so a batch lies in one file and the
+    files' statistics tell which."""
+    most = flows.agg(F.max("batch_id")).first()[0]
+    files = max(1, math.ceil(((most or 0) + 1) / batches_per_file))
+    flows.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id").write.mode(mode).parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+    """T5 read of given batches: the filter reaches the scan, which skips row groups by their range of batches."""
+    return spark.read.parquet(path).where(F.col("batch_id").isin(batches))

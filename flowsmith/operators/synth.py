@@ -29,10 +29,11 @@ from ..functions.rand import uniform
 from ..functions.rank import join_null_safe
 from ..functions.stats import running_sums
 from ..session import materialize
+from . import flowtable as FT
 from . import profile as P
 
-GUIDE_BUCKETS = 256          # least number of buckets of the unit interval in the guide table
-STEPS_PER_BUCKET = 64        # with more distinct values in a column than this times the buckets, there are more buckets
+LEAST_BUCKETS = 16           # of a column's unit interval in the guide table; they spread the draws of a common label
+STEPS_PER_BUCKET = 4         # distinct values of the column per bucket, about
 LABEL_CHUNK = 4096           # sample ids per chunk of the label lookup table
 BROADCAST_ROWS = 2_000_000   # largest guide table sent to every task
 
@@ -84,7 +85,8 @@ def enhanced_weights(counts: DataFrame) -> DataFrame:
                 .when(F.col("_hf") & (F.col("grp") == 2), 14).otherwise(10)).cast("bigint")
     pref_boost = F.when(F.col("_pref"), 15).otherwise(10).cast("bigint")
     weight = F.col("cnt") * band_multiplier(F.col("grp"), F.col("v")) * hf_boost * pref_boost
-    w = materialize(dist.join(hf, ["app", "grp", "slot", "v"], "left").join(pref, ["app", "grp", "v"], "left")
+    marked = join_null_safe(join_null_safe(dist, hf, ["app", "grp", "slot", "v"], "left"), pref, ["app", "grp", "v"], "left")
+    w = materialize(marked
                     .select("app", "grp", "slot", "v", "cnt", "p", weight.alias("weight")))
     keys = ["app", "grp", "slot"]
     totals = w.groupBy(*keys).agg(F.sum("weight").alias("_total"))
@@ -102,20 +104,21 @@ def value_cdf(weights: DataFrame) -> DataFrame:
                         (F.col("_cum").cast("double") / total).alias("hi"))
 
 
-def guide_buckets(counts: DataFrame) -> int:
-    """Buckets of the unit interval for the guide table of these value counts, a power of two: a draw meets
-    (distinct values / buckets) + 1 steps on average, so at most about ``STEPS_PER_BUCKET``."""
-    per = counts.groupBy("app", "grp", "slot").agg(F.count(F.lit(1)).alias("_n"))
-    most = per.agg(F.max("_n")).first()[0] or 0
-    return max(GUIDE_BUCKETS, 1 << math.ceil(math.log2(max(1, most / STEPS_PER_BUCKET))))
+def column_buckets(weights: DataFrame) -> DataFrame:
+    """(app, grp, slot, buckets): into how many buckets the guide table cuts the unit interval for each column, a power of two
+    that follows the column's own number of values: a draw meets about ``STEPS_PER_BUCKET`` steps in any column."""
+    per = weights.where(F.col("weight") > 0).groupBy("app", "grp", "slot").agg(F.count(F.lit(1)).alias("_n"))
+    power = F.ceil(F.log2(F.greatest(F.col("_n") / STEPS_PER_BUCKET, F.lit(1.0))))
+    return per.select("app", "grp", "slot", F.greatest(F.lit(float(LEAST_BUCKETS)), F.pow(F.lit(2.0), power)).cast("bigint").alias("buckets"))
 
 
-def guide_table(cdf: DataFrame, buckets: int = GUIDE_BUCKETS) -> DataFrame:
-    """Every CDF step repeated for each bucket floor(u * B) it overlaps."""
-    first = F.floor(F.col("lo") * buckets).cast("int")
-    last = F.least(F.floor(F.col("hi") * buckets).cast("int"), F.lit(buckets - 1))
-    return cdf.select("app", "grp", "slot", "v", "lo", "hi",
-                      F.explode(F.sequence(first, last)).alias("b"))
+def guide_table(cdf: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Every CDF step repeated for each bucket floor(u * buckets) it overlaps: steps + buckets of a column in all."""
+    steps = join_null_safe(cdf, buckets, ["app", "grp", "slot"])
+    first = F.floor(F.col("lo") * F.col("buckets")).cast("bigint")
+    last = F.least(F.floor(F.col("hi") * F.col("buckets")).cast("bigint"), F.col("buckets") - 1)
+    return steps.select("app", "grp", "slot", "v", "lo", "hi",
+                        F.explode(F.sequence(first, last)).alias("b"))
 
 
 # --- G1 / G2 / G5 -----------------------------------------------------------
@@ -162,27 +165,32 @@ def sample_skeleton(spark: SparkSession, plan: DataFrame, n: int,
             .select("sample_id", "app"))
 
 
-def skeleton_cells(skeleton: DataFrame) -> DataFrame:
-    """(sample_id, app, grp, slot): 90 cells per sample, a narrow explode."""
-    i = F.explode(F.sequence(F.lit(0), F.lit(K.N_GROUPS * K.N_SLOTS - 1))).alias("i")
-    return (skeleton.select("sample_id", "app", i)
+def skeleton_cells(skeleton: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(sample_id, app, grp, slot, buckets): 90 cells per sample, a narrow explode.  ``buckets`` (one row per label and column)
+    is folded to one row per label and joined once per sample."""
+    k = F.col("grp") * K.N_SLOTS + F.col("slot")
+    per = buckets.groupBy("app").agg(F.map_from_entries(F.collect_list(F.struct(k, "buckets"))).alias("_b"))   # at most 90 entries
+    every = F.sequence(F.lit(0), F.lit(K.N_GROUPS * K.N_SLOTS - 1))
+    per = per.select("app", F.transform(every, lambda i: F.element_at("_b", i)).alias("_b"))
+    i = F.posexplode(F.coalesce(F.col("_b"), F.array_repeat(F.lit(None).cast("bigint"), K.N_GROUPS * K.N_SLOTS))).alias("i", "buckets")
+    return (join_null_safe(skeleton, broadcast_if_small(per, BROADCAST_ROWS // (K.N_GROUPS * K.N_SLOTS)), ["app"], "left")
+            .select("sample_id", "app", i)
             .select("sample_id", "app", (F.col("i") / K.N_SLOTS).cast("int").alias("grp"),
-                    (F.col("i") % K.N_SLOTS).cast("int").alias("slot")))
+                    (F.col("i") % K.N_SLOTS).cast("int").alias("slot"), "buckets"))
 
 
 # --- J5 / G6 ----------------------------------------------------------------
 
-def draw(cells: DataFrame, guide: DataFrame, seed: int = K.DEFAULT_SEED,
-         buckets: int = GUIDE_BUCKETS, broadcast_guide: bool | None = None) -> DataFrame:
-    """Raw draws: every cell gets u = uniform(seed, sample_id, grp, slot) and
+def draw(cells: DataFrame, guide: DataFrame, seed: int = K.DEFAULT_SEED, broadcast_guide: bool | None = None) -> DataFrame:
+    """Raw draws: every cell (with its column's ``buckets``) gets u = uniform(seed, sample_id, grp, slot) and
     the value whose CDF step holds u.  Cells of a column without any value get
     0.0 (left join + coalesce)."""
     u = uniform(seed, F.col("sample_id"), F.col("grp"), F.col("slot"))
-    c = cells.withColumn("u", u).withColumn("b", F.floor(F.col("u") * buckets).cast("int"))
+    c = cells.withColumn("u", u).withColumn("b", F.floor(F.col("u") * F.col("buckets")).cast("bigint"))
     g = guide.select(*[F.col(k).alias(f"g_{k}") for k in ("app", "grp", "slot", "b", "v", "lo", "hi")])
     if broadcast_guide:
         g = F.broadcast(g)
-    cond = [F.col("app") == F.col("g_app"), F.col("grp") == F.col("g_grp"), F.col("slot") == F.col("g_slot"),
+    cond = [F.col("app").eqNullSafe(F.col("g_app")), F.col("grp") == F.col("g_grp"), F.col("slot") == F.col("g_slot"),
             F.col("b") == F.col("g_b"), F.col("u") >= F.col("g_lo"), F.col("u") < F.col("g_hi")]
     j = c.join(g, cond, "left")
     return j.select("sample_id", "app", "grp", "slot", F.coalesce(F.col("g_v"), F.lit(0.0)).alias("v"))
@@ -220,40 +228,34 @@ def clean_cells(cells: DataFrame, seed: int = K.DEFAULT_SEED, id_col: str = "sam
     return cells.withColumn(out_col, cleaned)
 
 
-def synthesize_cells(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLES,
-                     seed: int = K.DEFAULT_SEED, original_proportions: bool = True,
-                     guide: DataFrame | None = None) -> DataFrame:
-    """(sample_id, app, grp, slot, v) for n synthetic flows.  ``counts``
-    should be materialized (it is read by several branches)."""
-    lc = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).groupBy("app").agg(F.sum("cnt").alias("cnt"))
-    plan = apportion(lc, n, original_proportions)
-    buckets = GUIDE_BUCKETS
-    if guide is None:
-        buckets = guide_buckets(counts)
-        guide = materialize(guide_table(value_cdf(enhanced_weights(counts)), buckets))
+def raw_draws(spark: SparkSession, counts: DataFrame, n: int, seed: int, original_proportions: bool = True,
+              labels: DataFrame | None = None) -> DataFrame:
+    """(sample_id, app, grp, slot, v) as drawn.  ``counts`` should be materialized (it is read by several branches);
+    ``labels`` is (app, cnt), the flows per label, where the caller has it."""
+    plan = apportion(labels if labels is not None else P.label_counts_of(counts), n, original_proportions)
+    weights = materialize(enhanced_weights(counts))
+    buckets = materialize(column_buckets(weights))
+    guide = materialize(guide_table(value_cdf(weights), buckets))
     # the guide table is written; its row count is a cheap metadata-sized job
     small = guide.count() <= BROADCAST_ROWS
-    skeleton = sample_skeleton(spark, plan, n)
-    raw = draw(skeleton_cells(skeleton), guide, seed, buckets, broadcast_guide=small)
-    return clean_cells(raw, seed)
+    return draw(skeleton_cells(sample_skeleton(spark, plan, n), buckets), guide, seed, broadcast_guide=small)
+
+
+def synthesize_cells(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLES,
+                     seed: int = K.DEFAULT_SEED, original_proportions: bool = True,
+                     labels: DataFrame | None = None) -> DataFrame:
+    """(sample_id, app, grp, slot, v) for n synthetic flows."""
+    return clean_cells(raw_draws(spark, counts, n, seed, original_proportions, labels), seed)
+
+
+def synthesize_flows(spark: SparkSession, counts: DataFrame, n: int = K.N_SAMPLES,
+                     seed: int = K.DEFAULT_SEED, original_proportions: bool = True,
+                     labels: DataFrame | None = None) -> DataFrame:
+    """G6 as arrays (see ``flowtable``).  Sample ids are dealt in ranges and a small guide is broadcast, so a sample's cells lie together
+    and are gathered without a shuffle; with a guide beyond the broadcast limit they are shuffled by sample."""
+    return FT.from_cells(synthesize_cells(spark, counts, n, seed, original_proportions, labels), "sample_id")
 
 
 def to_wide(cells: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Cells -> one row per flow with columns PPI_g_s (90 values).
-    One group per flow holds at most 90 cells, so the collect is bounded.  A
-    complete flow is read by position from its sorted cell list; a flow with
-    absent cells falls back to a lookup, leaving the absent ones NULL."""
-    k = F.col("grp") * K.N_SLOTS + F.col("slot")
-    agg = cells.groupBy(id_col, "app").agg(
-        F.sort_array(F.collect_list(F.struct(k.alias("k"), F.col("v").alias("v")))).alias("_c"))
-    n = K.N_GROUPS * K.N_SLOTS
-    complete = F.size("_c") == n
-
-    def value(i):
-        by_pos = F.col("_c")[i]["v"]
-        by_key = F.get(F.filter("_c", lambda e: e["k"] == i), 0)["v"]
-        return F.when(complete, by_pos).otherwise(by_key)
-
-    cols = [value(g * K.N_SLOTS + s).alias(K.feature_name(g, s))
-            for g in range(K.N_GROUPS) for s in range(K.N_SLOTS)]
-    return agg.select(id_col, "app", *cols)
+    """One row per flow with columns PPI_g_s (90 values), absent ones NULL.  Takes flows or cells."""
+    return FT.to_wide(cells if FT.is_flow_table(cells) else FT.from_cells(cells, id_col), id_col)

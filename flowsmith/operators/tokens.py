@@ -8,19 +8,22 @@ each label of the corpus is one further token.
 
 A flow's tokens stand without gaps: start tokens, three tokens (feature,
 value, SEP) for each cell that the flow has, in (group, slot) order, then the
-label section if it has a label, and the end token.  Encoding gathers the at
-most 90 cells of a flow in one shuffle; the vocabulary (264 rows, fixed) is
-broadcast, the label table (one row per label) up to a checked size.
+label section if it has a label, and the end token.  A flow that comes as
+arrays is encoded within its row; cells are gathered first (at most 90 per
+flow).  The label table (one row per label) is broadcast up to a checked size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.rand import uniform
-from ..functions.scalar import bin_label, dequantize, quantize
+from ..functions.scalar import bin_label, dequantize, value_bin
+from . import flowtable as FT
 
 BASE_VOCAB = 50257
 EOS_ID = 50256
@@ -69,33 +72,39 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def token_ids(voc: DataFrame) -> dict[str, int]:
+    """token -> id of the flow vocabulary, 264 fixed rows."""
+    return {r["token"]: r["token_id"] for r in voc.select("token", "token_id").collect()}
+
+
+def value_id(v: Column, ids: dict[str, int]) -> Column:
+    """Id of a value's token, by the number of its bin; the same as looking up ``quantize``."""
+    label = [math.floor(2.0 ** (b * 16 / K.TOKEN_BINS)) for b in range(K.TOKEN_BINS)]
+    bins = F.array(*[F.lit(ids.get(f"<VAL_{x}>", ids[K.UNK_TOKEN])) for x in label])
+    return (F.when(v < 0, F.lit(ids[K.NEG_TOKEN])).when(v == 0, F.lit(ids[K.ZERO_TOKEN]))
+            .when(v >= K.TOKEN_MAX_VALUE, F.lit(ids.get(f"<VAL_{K.TOKEN_MAX_VALUE}>", ids[K.UNK_TOKEN])))
+            .otherwise(F.element_at(bins, value_bin(v) + 1)))
+
+
 def encode(cells: DataFrame, voc: DataFrame, labels: DataFrame | None = None,
            id_col: str = "flow_id") -> DataFrame:
     """K2: (id, pos, token_id) long form of the token sequences, 277 rows for a
     complete flow.  A cell that a flow lacks has no tokens (a NULL value has: it
     quantizes like any other), a NULL label no label section; a label missing from
     ``labels`` (app, token_id), the label vocabulary, has a NULL token id."""
-    v = F.broadcast(voc.select("token", "token_id"))  # fixed 264 rows
     first_label = BASE_VOCAB + 264
     lv = labels if labels is not None else label_vocab(cells, first_label)
     lv_rows = lv.count()
     lv = _maybe_broadcast(lv.select("app", F.col("token_id").alias("label_id")), lv_rows, LABEL_BROADCAST_ROWS)
-    ids = {r["token"]: r["token_id"] for r in voc.where(F.col("kind") != "value").collect()}  # 100 fixed rows
-
-    c = cells.withColumn("_tok", quantize(F.col("v")))
-    c = (c.join(v, c["_tok"] == v["token"], "left")
-         .withColumn("value_id", F.coalesce(F.col("token_id"), F.lit(ids[K.UNK_TOKEN])))
-         .drop("token", "token_id"))
-    k = F.col("grp") * K.N_SLOTS + F.col("slot")
-    # at most 90 cells of one flow
-    flows = (c.groupBy(id_col).agg(F.max("app").alias("app"), F.array_sort(F.collect_list(F.struct(k.alias("k"), "value_id"))).alias("_c"))
-             .join(lv, "app", "left"))
+    ids = token_ids(voc)
+    flows = (cells if FT.is_flow_table(cells) else FT.from_cells(cells, id_col)).join(lv, "app", "left")
 
     def fixed(*names: str):
         return F.array(*[F.lit(ids[n]) for n in names])
 
     first = ids["<PPI_0_0>"]  # the 90 feature tokens are listed consecutively
-    body = F.flatten(F.transform("_c", lambda x: F.array((x["k"] + first).cast("int"), x["value_id"], F.lit(ids["<SEP>"]))))
+    cellwise = F.transform(FT.values(flows), lambda v, k: F.array((k + first).cast("int"), value_id(v, ids), F.lit(ids["<SEP>"])))
+    body = F.flatten(FT.unless_absent(cellwise, lambda e: e[0] - first))
     label = F.concat(fixed("<APP_START>"), F.array("label_id"), fixed("<APP_END>"))
     toks = F.concat(fixed("<SAMPLE_START>", "<PPI_START>"), body, fixed("<PPI_END>"),
                     F.when(F.col("app").isNotNull(), label).otherwise(F.array().cast("array<int>")), fixed("<SAMPLE_END>"))
@@ -162,13 +171,8 @@ def sequence_lengths(tokens: DataFrame, max_len: int = K.MAX_SEQ_LEN, id_col: st
 
 def value_tokens(cells: DataFrame, voc: DataFrame) -> DataFrame:
     """cells + ``token_id`` of the value (UNK when the quantized label is
-    outside the vocabulary).  The vocabulary is fixed at 264 rows."""
-    unk_id = voc.where(F.col("token") == K.UNK_TOKEN).select("token_id").first()[0]
-    v = F.broadcast(voc.select(F.col("token").alias("_t"), "token_id"))
-    c = cells.withColumn("_tok", quantize(F.col("v")))
-    return (c.join(v, c["_tok"] == v["_t"], "left")
-            .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk_id)))
-            .drop("_t"))
+    outside the vocabulary)."""
+    return cells.withColumn("token_id", value_id(F.col("v"), token_ids(voc)))
 
 
 def token_model(cells: DataFrame, voc: DataFrame) -> DataFrame:

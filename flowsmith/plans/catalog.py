@@ -35,4 +35,5 @@ def load_all() -> dict:
     from . import q_score  # noqa: F401
     from . import q_metrics  # noqa: F401
     from . import q_io  # noqa: F401
+    from . import q_run  # noqa: F401
     return QUERIES

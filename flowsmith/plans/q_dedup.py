@@ -9,8 +9,8 @@ from .catalog import register
 
 
 def _sides(spark, sf):
-    cells = materialize(A.cells(spark, sf))  # read by both sides of the check
-    return A.candidate_of(cells), cells
+    flows = materialize(A.flow_arrays(spark, sf))  # read by both sides of the check
+    return A.candidate_of(flows), flows
 
 KEYS = {
     "ok": "select flow_id, app, list(round_even(v, 6) order by grp, slot) as k from cells group by flow_id, app",

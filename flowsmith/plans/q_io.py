@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import dedup as D
+from ..operators import flowtable as FT
 from ..operators import profile as P
 from ..operators import synth as S
 from ..session import materialize, scratch_path
 from ..sources import adapters as A
 from ..sources import flowfiles as FF
 from .catalog import QUERIES, register
-from .common import cell_counts
-from .q_synth import synth_cells_df, synth_ctes, wide_sql
+from .q_synth import synth_ctes
 from .q_profile import thresholds_sql
 
 DROPPED = ["PPI_0_29", "PPI_2_29"]
@@ -49,6 +49,26 @@ def flow_scan(spark, sf):
     return FF.read_flows(spark, path, "csv")
 
 
+@register("flow_scan_mixed", A.with_views(
+    f"select {_wide_cols()}".replace("max(case when grp = 2 and slot = 29 then v end) as PPI_2_29",
+                                     "max(case when grp = 2 and slot = 29 and flow_id % 3 <> 1 then v end) as PPI_2_29")
+    + " from cells group by flow_id, app", "cells"))
+def flow_scan_mixed(spark, sf):
+    """S1 over files that differ: CSV files of two headers (one in reverse order, without PPI_2_29 and with a column of its own)
+    in one folder, Parquet files of whole numbers and of doubles in another."""
+    flows = materialize(A.flow_arrays(spark, sf))
+    wide = FT.to_wide(flows).withColumnRenamed("app", K.LABEL_COL)
+    part, features = F.pmod("flow_id", F.lit(3)), [F.col(c) for c in K.FEATURES]
+    csv_at, parquet_at = scratch_path(spark, "flows-csv"), scratch_path(spark, "flows-parquet")
+    FF.write_flows(wide.where(part == 0), f"{csv_at}/a")
+    turned = [K.LABEL_COL, *[c for c in reversed(K.FEATURES) if c != "PPI_2_29"]]
+    wide.where(part == 1).select(F.lit("x, y").alias("note"), *turned).write.option("header", True).csv(f"{csv_at}/b")
+    rest, whole = wide.where(part == 2), [c.cast("bigint").alias(n) for c, n in zip(features, K.FEATURES)]
+    rest.where("flow_id % 2 = 0").select(*whole, K.LABEL_COL).write.parquet(f"{parquet_at}/a")
+    rest.where("flow_id % 2 = 1").select(K.LABEL_COL, *K.FEATURES).write.parquet(f"{parquet_at}/b")
+    return FF.read_flows(spark, csv_at).unionByName(FF.read_flows(spark, parquet_at, "parquet"))
+
+
 @register("schema_audit", A.with_views(f"""
 select count(*) as total_rows, cast(88 as bigint) as feature_columns, '{",".join(DROPPED)}' as missing_features,
        true as has_label, count(distinct app) as distinct_labels
@@ -81,6 +101,17 @@ def metric_history_unnest(spark, sf):
     return FF.read_history(spark, path).withColumn("epoch", F.col("epoch").cast("int"))
 
 
+@register("metric_history_files", A.with_views("""
+select run_id, cast(row_number() over (partition by run_id order by epoch) as integer) as epoch,
+       train_loss, val_loss, 5.0e-5 / epoch as lr, secs
+from run_metrics""", "run_metrics"))
+def metric_history_files(spark, sf):
+    """S7 in the form that training runs save: one indented object per file, without a run id, which comes from the folder."""
+    path = scratch_path(spark, "history-files")
+    FF.write_history_files(A.run_metrics(spark, sf).withColumn("lr", F.lit(5.0e-5) / F.col("epoch")), path)
+    return FF.read_history_files(spark, path, r"/run=([^/]*)/[^/]*$").withColumn("epoch", F.col("epoch").cast("int"))
+
+
 @register("profile_files", QUERIES["group_profile_by_app"][1])
 def profile_files(spark, sf):
     """The (label, group) profile written as JSON and read back."""
@@ -107,13 +138,13 @@ join tg t on t.grp = s.grp,
 def generation_report(spark, sf):
     """Per group of a generation run: sizes, global limits, duplicates
     against the source, and the value summary of the generated flows."""
-    counts = cell_counts(spark, sf)
-    syn = materialize(synth_cells_df(spark, sf))
-    cells = A.cells(spark, sf)
-    dup = D.duplicate_stats(syn, cells, gen_id="sample_id")
-    summary = P.group_summary(syn)
+    flows = materialize(A.flow_arrays(spark, sf))        # read by the counts, the labels and the duplicate check
+    counts = materialize(P.value_counts(FT.to_cells(flows)))
+    syn = materialize(S.synthesize_flows(spark, counts, labels=P.label_counts(flows)))
+    dup = D.duplicate_stats(syn, flows, gen_id="sample_id")
+    summary = P.group_summary(FT.to_cells(syn, "sample_id"))
     thr = P.thresholds(counts=counts, by_app=False)
-    n_orig = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).agg(F.sum("cnt")).first()[0]
+    n_orig = flows.count()
     d = dup.first()  # a one-row summary: its four numbers become literals
     return (summary.join(thr, "grp")
             .select("grp", F.lit(d["total_generated"]).cast("bigint").alias("n_generated"),

@@ -99,6 +99,13 @@ def group_profile_global(spark, sf):
     return P.group_profile(counts=cell_counts(spark, sf), by_app=False)
 
 
+@register("group_profile_levels", A.with_views("select 'label' as level, t.* from " + prof_sql("cells", True) + """ t union all
+select 'all' as level, cast(null as varchar) as app, t.* from """ + prof_sql("cells", False) + " t", "cells"))
+def group_profile_levels(spark, sf):
+    """A5 and A6 from one scan of the counts (grouping sets)."""
+    return P.group_profile_levels(cell_counts(spark, sf))
+
+
 @register("group_profile_events", A.with_views("select * from " + prof_sql("cells_events", True) + " t",
                                                "cells_events"))
 def group_profile_events(spark, sf):

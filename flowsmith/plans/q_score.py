@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.stats import top_k
+from ..operators import flowtable as FT
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import repair as R
@@ -29,10 +30,11 @@ WORST_K = 100
 
 class Run:
     """The stages of one scoring / repair run; each stage is built on first
-    use and written once, so a query pays only for the stages it needs."""
+    use and written once, so a query pays only for the stages it needs.
+    ``corpus``: the source flows themselves are scored and repaired, not 10,000 generated ones."""
 
-    def __init__(self, spark, sf):
-        self.spark, self.sf = spark, sf
+    def __init__(self, spark, sf, corpus: bool = False):
+        self.spark, self.sf, self.corpus = spark, sf, corpus
         self._cache = {}
 
     def _get(self, name, build):
@@ -41,13 +43,17 @@ class Run:
         return self._cache[name]
 
     @property
-    def cells(self):
-        """The source cells, written once: read by the counts and the model."""
-        return self._get("cells", lambda: materialize(A.cells(self.spark, self.sf)))
+    def flows(self):
+        """The source flows, written once: read by the counts and the model."""
+        return self._get("flows", lambda: materialize(A.flow_arrays(self.spark, self.sf)))
+
+    @property
+    def labels(self):
+        return self._get("labels", lambda: materialize(P.label_counts(self.flows)))
 
     @property
     def counts(self):
-        return self._get("counts", lambda: materialize(P.value_counts(self.cells)))
+        return self._get("counts", lambda: materialize(P.value_counts(FT.to_cells(self.flows))))
 
     @property
     def voc(self):
@@ -55,12 +61,16 @@ class Run:
 
     @property
     def dirty(self):
-        return self._get("dirty", lambda: materialize(A.perturb(
-            S.synthesize_cells(self.spark, self.counts, K.N_SAMPLES, K.DEFAULT_SEED), "sample_id")))
+        """The flows to be scored, with planted violations (sample_id, app, arrays)."""
+        def build():
+            if self.corpus:
+                return A.perturb(self.flows).withColumnRenamed("flow_id", "sample_id")
+            return A.perturb(S.synthesize_flows(self.spark, self.counts, K.N_SAMPLES, K.DEFAULT_SEED, labels=self.labels), "sample_id")
+        return self._get("dirty", lambda: materialize(build()))
 
     @property
     def model(self):
-        return self._get("model", lambda: R.fit_bigram(self.cells, self.voc))
+        return self._get("model", lambda: R.fit_bigram(self.flows, self.voc))
 
     @property
     def scores(self):
@@ -77,36 +87,29 @@ class Run:
     @property
     def repaired(self):
         def build():
-            counts = self.counts
-            limits = R.resolve_thresholds(P.label_counts(self.cells),
-                                          P.thresholds(counts=counts, by_app=True),
-                                          P.thresholds(counts=counts, by_app=False))
-            cand_cells = self.dirty.join(self.cands.select("sample_id"), "sample_id", "left_semi")
-            return materialize(R.repair(cand_cells, limits))
+            limits = R.resolve_thresholds(self.labels, P.thresholds(counts=self.counts, by_app=True),
+                                          P.thresholds(counts=self.counts, by_app=False))
+            chosen = self.dirty.join(self.cands.select("sample_id"), "sample_id", "left_semi")
+            return materialize(R.repair(chosen, limits))
         return self._get("repaired", build)
 
     @property
     def accepted(self):
-        def build():
-            changed = self.repaired.groupBy("sample_id").agg(
-                F.bool_or(~F.col("v_new").eqNullSafe(F.col("v"))).alias("changed"))
-            new_scores = R.score(self.repaired.select("sample_id", "app", "grp", "slot", F.col("v_new").alias("v")),
-                                 self.model, self.voc)
-            return materialize(R.accept(self.cands, new_scores, changed))
-        return self._get("accepted", build)
+        new_scores = R.score(self.repaired, self.model, self.voc)
+        return self._get("accepted", lambda: materialize(
+            R.accept(self.cands, new_scores, self.repaired.select("sample_id", "changed"))))
 
     def final(self):
         keep = self.accepted.where("accepted").select("sample_id")
-        fixed = (self.repaired.join(keep, "sample_id", "left_semi")
-                 .select("sample_id", "app", "grp", "slot", F.col("v_new").alias("v")))
-        rest = self.dirty.join(keep, "sample_id", "left_anti")
-        return rest.unionByName(fixed)
+        fixed = self.repaired.join(keep, "sample_id", "left_semi").select(*self.dirty.columns)
+        return self.dirty.join(keep, "sample_id", "left_anti").unionByName(fixed)
 
 
 # --- oracle text ---------------------------------------------------------------
 
-def score_ctes() -> dict[str, str]:
-    ctes = {**synth_ctes(), **corpus_ctes()}
+def score_ctes(corpus: bool = False) -> dict[str, str]:
+    source = {"syn": "select flow_id as sample_id, app, grp, slot, v from cells"} if corpus else synth_ctes()
+    ctes = {**source, **corpus_ctes()}
     dirty = """select sample_id, app, grp, slot,
   case when (sample_id + slot) % 101 = 0 then null
        when grp = 0 and (sample_id + slot) % 97 = 0 then -v - 1
@@ -214,8 +217,8 @@ def worst_k(spark, sf):
 @register("repair_rules", A.with_views("select * from rep where v_new is distinct from v", "cells",
                                        extra=score_ctes()))
 def repair_rules(spark, sf):
-    r = Run(spark, sf).repaired
-    return r.where(~F.col("v_new").eqNullSafe(F.col("v"))).select("sample_id", "app", "grp", "slot", "v", "v_new")
+    r = R.repaired_cells(Run(spark, sf).repaired)
+    return r.where(~F.col("v_new").eqNullSafe(F.col("v")))
 
 
 @register("repair_accept", A.with_views("select * from acc", "cells", extra=score_ctes()))
@@ -223,13 +226,14 @@ def repair_accept(spark, sf):
     return Run(spark, sf).accepted
 
 
-@register("repair_stats", A.with_views("""
+STATS_SQL = """
 select (select count(*) from pscore) as n_samples, count(*) as n_candidates,
        count(*) filter (where changed) as n_changed, count(*) filter (where accepted) as n_accepted,
        round(100.0e0 * count(*) filter (where accepted) / greatest(1, count(*)), 6) as success_rate
-from acc""", "cells", extra=score_ctes()))
-def repair_stats(spark, sf):
-    run = Run(spark, sf)
+from acc"""
+
+
+def _stats(run):
     n = run.scores.count()
     return run.accepted.agg(
         F.lit(n).cast("bigint").alias("n_samples"), F.count(F.lit(1)).alias("n_candidates"),
@@ -239,6 +243,28 @@ def repair_stats(spark, sf):
          .alias("success_rate"))
 
 
+@register("repair_stats", A.with_views(STATS_SQL, "cells", extra=score_ctes()))
+def repair_stats(spark, sf):
+    return _stats(Run(spark, sf))
+
+
+@register("corpus_perplexity", A.with_views("select * from pscore", "cells", extra=score_ctes(corpus=True)))
+def corpus_perplexity(spark, sf):
+    """M3 over all source flows (with planted violations)."""
+    return Run(spark, sf, corpus=True).scores
+
+
+@register("corpus_repair", A.with_views("select * from acc", "cells", extra=score_ctes(corpus=True)))
+def corpus_repair(spark, sf):
+    """M4-M7 over all source flows: policy, candidates, repair and its acceptance."""
+    return Run(spark, sf, corpus=True).accepted
+
+
+@register("corpus_repair_stats", A.with_views(STATS_SQL, "cells", extra=score_ctes(corpus=True)))
+def corpus_repair_stats(spark, sf):
+    return _stats(Run(spark, sf, corpus=True))
+
+
 def _delta_sql() -> str:
     b = q_agg_sql("ds", "sample_id")
     a = q_agg_sql("fin", "sample_id")
@@ -251,7 +277,7 @@ from ({OVERALL_SEL.replace('from qa', f'from ({b}) qa')}) b, ({OVERALL_SEL.repla
 @register("quality_delta", A.with_views(_delta_sql(), "cells", extra=score_ctes()))
 def quality_delta(spark, sf):
     run = Run(spark, sf)
-    return Q.quality_delta(run.dirty, run.final())
+    return Q.quality_delta(FT.to_cells(run.dirty, "sample_id"), FT.to_cells(run.final(), "sample_id"))
 
 
 @register("thresholds_resolved", A.with_views("""
@@ -267,7 +293,6 @@ def thresholds_resolved(spark, sf):
     """Limits for the labels of both shapes; labels without a profile of
     their own (the event segments) fall back to the global limits."""
     counts = cell_counts(spark, sf)
-    labels = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).select("app").unionByName(
-        P.label_counts(A.cells_events(spark, sf)).select("app"))
+    labels = counts.select("app").unionByName(A.flow_arrays_events(spark, sf).select("app"))
     return R.resolve_thresholds(labels, P.thresholds(counts=counts, by_app=True),
                                 P.thresholds(counts=counts, by_app=False))

@@ -8,7 +8,6 @@ from ..functions import constants as K
 from ..functions.rand import sql_uniform
 from ..operators import profile as P
 from ..operators import synth as S
-from ..session import materialize
 from ..sources import adapters as A
 from .catalog import register
 from .common import cell_counts
@@ -132,8 +131,16 @@ def _weights(spark, sf):
     return S.enhanced_weights(cell_counts(spark, sf))
 
 
+def _labels(spark, sf, source: str = "cells"):
+    return A.label_counts(spark, sf) if source == "cells" else A.flow_arrays_events(spark, sf).groupBy("app").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def synth_cells_df(spark, sf, n: int = N, seed: int = SEED, source: str = "cells"):
-    return S.synthesize_cells(spark, cell_counts(spark, sf, source), n, seed)
+    return S.synthesize_cells(spark, cell_counts(spark, sf, source), n, seed, labels=_labels(spark, sf, source))
+
+
+def synth_flows_df(spark, sf, n: int = N, seed: int = SEED):
+    return S.synthesize_flows(spark, cell_counts(spark, sf), n, seed, labels=_labels(spark, sf))
 
 
 @register("apportion_original", A.with_views("select app, cnt, rn, n_samples, start from ap", "cells",
@@ -181,12 +188,7 @@ def sample_skeleton(spark, sf):
 
 @register("weighted_draw", A.with_views("select * from raw", "cells", extra=draw_ctes(N)))
 def weighted_draw(spark, sf):
-    counts = cell_counts(spark, sf)
-    buckets = S.guide_buckets(counts)
-    guide = materialize(S.guide_table(S.value_cdf(S.enhanced_weights(counts)), buckets))
-    lc = counts.where((F.col("grp") == 0) & (F.col("slot") == 0)).groupBy("app").agg(F.sum("cnt").alias("cnt"))
-    skeleton = S.sample_skeleton(spark, S.apportion(lc, N, True), N)
-    return S.draw(S.skeleton_cells(skeleton), guide, SEED, buckets)
+    return S.raw_draws(spark, cell_counts(spark, sf), N, SEED, labels=_labels(spark, sf))
 
 
 @register("synthesize_cells", A.with_views("select * from syn", "cells", extra=synth_ctes()))
@@ -196,7 +198,7 @@ def synthesize_cells(spark, sf):
 
 @register("synthesize_flows", A.with_views(wide_sql("syn", "sample_id"), "cells", extra=synth_ctes()))
 def synthesize_flows(spark, sf):
-    return S.to_wide(synth_cells_df(spark, sf))
+    return S.to_wide(synth_flows_df(spark, sf))
 
 
 @register("synthesize_events", A.with_views("select * from syn", "cells_events",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.rand import sql_uniform
 from ..functions.scalar import dequantize, quantize, value_band
-from ..operators import profile as P
 from ..operators import synth as S
 from ..operators import tokens as T
 from ..session import materialize
@@ -73,10 +72,10 @@ def _voc(spark):
 
 
 def _corpus(spark, sf):
+    """Vocabulary, label ids and token sequences; labels come from flow counts, so the flows are read once."""
     voc = _voc(spark)
-    cells = materialize(A.cells(spark, sf))  # read by the label table and the encoder
-    labels = T.label_vocab(cells, T.BASE_VOCAB + 264)
-    return voc, labels, T.encode(cells, voc, labels)
+    labels = materialize(T.label_vocab(A.label_counts(spark, sf), T.BASE_VOCAB + 264))
+    return voc, labels, T.encode(A.flow_arrays(spark, sf), voc, labels)
 
 
 @register("value_bands", A.with_views("""
@@ -207,10 +206,9 @@ select sd.sample_id, sd.app, sd.grp, sd.slot, {dequant_sql("coalesce(voc.token,
 from sd left join mc on sd.grp = mc.grp and sd.slot = mc.slot and sd.u >= mc.lo and sd.u < mc.hi
 left join voc on voc.token_id = mc.token_id""", "cells", extra=sample_model_ctes()))
 def sample_token_model(spark, sf):
-    cells = A.cells(spark, sf)
     voc = _voc(spark)
-    model = T.token_model(cells, voc)
-    plan = S.apportion(P.label_counts(cells), K.N_SAMPLES, True)
+    model = T.token_model(A.cells(spark, sf), voc)
+    plan = S.apportion(A.label_counts(spark, sf), K.N_SAMPLES, True)
     skeleton = S.sample_skeleton(spark, plan, K.N_SAMPLES)
     return T.sample_token_model(spark, model, voc, skeleton)
 

@@ -85,3 +85,25 @@ def materialize(df):
     df.write.mode("overwrite").parquet(path)
     # the schema is known: reading it back needs no footer-inference job
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of any URI that Spark can read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of the library's own; nothing happens if it is not there."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)

@@ -17,12 +17,13 @@ used as CTEs in front of every DuckDB oracle query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import N_SLOTS
 from ..functions.joins import broadcast_if_small
 from ..functions.rank import ranked_within
+from ..operators import flowtable as FT
 from .tables import read_table
 
 # A flow id is key * 2^31 + flow number: the numbers of two keys meet only beyond 64 billion packets of one key.
@@ -65,7 +66,7 @@ def _packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce(F.datediff("d", "prev_d"), F.lit(0)).cast("double")).alias("ipt"),
         F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("dir"),
         size.alias("size"),
-        "rn", "part_total",
+        "rn", "part_total", "s_suppkey",
     )
 
 
@@ -90,7 +91,7 @@ def _cells_from(packets_t: DataFrame) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """packets(flow_id, app, slot, ipt, dir, size)."""
-    return _packets_with_totals(spark, sf_dir).drop("rn", "part_total")
+    return _packets_with_totals(spark, sf_dir).drop("rn", "part_total", "s_suppkey")
 
 
 def _flow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,26 +119,49 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select((F.col("s_suppkey") * FLOW_KEY_BASE + F.col("_k")).cast("bigint").alias("flow_id"), "app"))
 
 
+def flow_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flows(flow_id, app, ipt[], dir[], size[], absent[]) straight from the packets: a flow's packets lie together after the
+    ranking by supplier, so they are gathered without another shuffle (30 at most); short flows are padded with zeros."""
+    return _arrays_from(_packets_with_totals(spark, sf_dir), "s_suppkey")
+
+
+def flow_arrays_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the second data shape."""
+    return _arrays_from(_events_packets_with_totals(spark, sf_dir), "user_id")
+
+
+def _arrays_from(packets_t: DataFrame, key: str) -> DataFrame:
+    entry = F.struct("slot", "ipt", "dir", "size")
+    flows = packets_t.groupBy(key, "flow_id", "app").agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    zeros = F.array_repeat(F.lit(0.0), N_SLOTS - F.size("_p"))
+    groups = [F.concat(F.transform(F.col("_p")[n], lambda v: F.coalesce(v, F.lit(0.0))), zeros).alias(n) for n in FT.GROUPS]
+    return flows.select("flow_id", "app", *groups, F.array().cast("array<int>").alias("absent"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cells(flow_id, app, grp, slot, v): 90 cells per flow, zero-padded."""
     return _cells_from(_packets_with_totals(spark, sf_dir))
 
 
+def _planted(g: Column, k: Column, v: Column) -> Column:
+    """The value with rule violations and NULLs planted at fixed positions (k = id + slot)."""
+    return (F.when(k % 101 == 0, F.lit(None).cast("double"))
+            .when((g == 0) & (k % 97 == 0), -v - 1)
+            .when((g == 0) & (k % 89 == 0), v * 1000 + 20000)
+            .when((g == 1) & (k % 53 == 0), F.lit(0.4))
+            .when((g == 1) & (k % 59 == 0), F.lit(-0.97))
+            .when((g == 1) & (k % 61 == 0), F.lit(1.5))
+            .when((g == 2) & (k % 71 == 0), -v)
+            .when((g == 2) & (k % 73 == 0), F.lit(12.5))
+            .when((g == 2) & (k % 79 == 0), F.lit(30000.0))
+            .otherwise(v))
+
+
 def perturb(c: DataFrame, id_col: str = "flow_id") -> DataFrame:
-    """Plant rule violations and NULLs at fixed positions (id + slot)."""
-    k = F.col(id_col) + F.col("slot")
-    g, v = F.col("grp"), F.col("v")
-    dirty = (F.when(k % 101 == 0, F.lit(None).cast("double"))
-             .when((g == 0) & (k % 97 == 0), -v - 1)
-             .when((g == 0) & (k % 89 == 0), v * 1000 + 20000)
-             .when((g == 1) & (k % 53 == 0), F.lit(0.4))
-             .when((g == 1) & (k % 59 == 0), F.lit(-0.97))
-             .when((g == 1) & (k % 61 == 0), F.lit(1.5))
-             .when((g == 2) & (k % 71 == 0), -v)
-             .when((g == 2) & (k % 73 == 0), F.lit(12.5))
-             .when((g == 2) & (k % 79 == 0), F.lit(30000.0))
-             .otherwise(v))
-    return c.select(id_col, "app", "grp", "slot", dirty.alias("v"))
+    """Plants rule violations and NULLs; takes cells or flows."""
+    if FT.is_flow_table(c):
+        return FT.map_values(c, lambda g, slot, v: _planted(F.lit(g), F.col(id_col) + slot, v))
+    return c.select(id_col, "app", "grp", "slot", _planted(F.col("grp"), F.col(id_col) + F.col("slot"), F.col("v")).alias("v"))
 
 
 def cells_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +177,15 @@ def cells_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_of(c: DataFrame) -> DataFrame:
     """Flows with id % 10 = 1 differ by 1e-7 (equal after rounding to 6
     places), id % 10 = 2 differ by 1.0 in their first gap (near misses), the
-    rest are exact copies."""
+    rest are exact copies.  Takes cells or flows."""
     m = F.col("flow_id") % 10
-    v = (F.when(m == 1, F.col("v") + 0.0000001)
-         .when((m == 2) & (F.col("slot") == 0), F.col("v") + 1.0)
-         .otherwise(F.col("v")))
-    return c.select((-F.col("flow_id") - 1).alias("flow_id"), "app", "grp", "slot", v.alias("v"))
+
+    def near(slot, v):
+        return F.when(m == 1, v + 0.0000001).when((m == 2) & (slot == 0), v + 1.0).otherwise(v)
+
+    if FT.is_flow_table(c):
+        return FT.map_values(c, lambda g, slot, v: near(slot, v)).withColumn("flow_id", -F.col("flow_id") - 1)
+    return c.select((-F.col("flow_id") - 1).alias("flow_id"), "app", "grp", "slot", near(F.col("slot"), F.col("v")).alias("v"))
 
 
 def _events_packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,12 +204,12 @@ def _events_packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce(F.col("mi") - F.col("prev_mi"), F.lit(0)).cast("double")).alias("ipt"),
         F.when(F.col("event_type").isin("view", "error"), F.lit(-1.0)).otherwise(F.lit(1.0)).alias("dir"),
         F.floor(F.col("value") * 10).cast("double").alias("size"),
-        "rn", "part_total",
+        "rn", "part_total", "user_id",
     )
 
 
 def packets_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_packets_with_totals(spark, sf_dir).drop("rn", "part_total")
+    return _events_packets_with_totals(spark, sf_dir).drop("rn", "part_total", "user_id")
 
 
 def cells_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,17 +239,6 @@ def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("rn") + 1).cast("bigint").alias("batch"), F.col("value").alias("loss"))
 
 
-def flows_from_cells(c: DataFrame, id_col: str = "flow_id") -> DataFrame:
-    """cells -> flows(id, app, ipt[30], dir[30], size[30]).  One group per flow
-    holds exactly 90 cells, so the collect is bounded."""
-    entry = F.struct(F.col("grp"), F.col("slot"), F.col("v"))
-    agg = c.groupBy(id_col, "app").agg(F.array_sort(F.collect_list(entry)).alias("_c"))
-    out = agg.select(id_col, "app", *[
-        F.transform(F.filter("_c", lambda e, g=g: e["grp"] == g), lambda e: e["v"]).alias(name)
-        for g, name in enumerate(["ipt", "dir", "size"])])
-    return out
-
-
 # ---------------------------------------------------------------------------
 # Oracle texts (DuckDB); identical to FIXTURES.md.
 # ---------------------------------------------------------------------------

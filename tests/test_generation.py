@@ -1,5 +1,7 @@
 """Properties of the generation chain."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from flowsmith.operators import profile as P
@@ -32,15 +34,20 @@ def test_apportion_sums_to_n(spark):
             assert S.apportion(lc, n, orig).agg(F.sum("n_samples")).first()[0] == n
 
 
+def _guide(counts):
+    weights = materialize(S.enhanced_weights(counts))
+    buckets = materialize(S.column_buckets(weights))
+    return buckets, materialize(S.guide_table(S.value_cdf(weights), buckets))
+
+
 def test_draws_are_in_support_and_partition_independent(spark):
     counts = _counts(spark)
-    guide = materialize(S.guide_table(S.value_cdf(S.enhanced_weights(counts))))
-    lc = counts.where("grp = 0 and slot = 0").groupBy("app").agg(F.sum("cnt").alias("cnt"))
-    plan = S.apportion(lc, 3000, True)
+    buckets, guide = _guide(counts)
+    plan = S.apportion(P.label_counts_of(counts), 3000, True)
     outs = []
     for parts in (1, 4, 13):
         sk = S.sample_skeleton(spark, plan, 3000, num_partitions=parts)
-        d = S.draw(S.skeleton_cells(sk), guide, 42)
+        d = S.draw(S.skeleton_cells(sk, buckets), guide, 42)
         outs.append(d.orderBy("sample_id", "grp", "slot").toPandas())
     assert outs[0].equals(outs[1]) and outs[0].equals(outs[2])
     support = counts.where(F.col("v").isNotNull()).select("app", "grp", "slot", "v").distinct()
@@ -50,13 +57,13 @@ def test_draws_are_in_support_and_partition_independent(spark):
 
 def test_guide_table_equals_plain_range_join(spark):
     counts = _counts(spark)
-    cdf = materialize(S.value_cdf(S.enhanced_weights(counts)))
-    lc = counts.where("grp = 0 and slot = 0").groupBy("app").agg(F.sum("cnt").alias("cnt"))
-    cells = S.skeleton_cells(S.sample_skeleton(spark, S.apportion(lc, 2000, True), 2000))
-    a = S.draw(cells, S.guide_table(cdf, 64), 7, buckets=64).orderBy("sample_id", "grp", "slot").toPandas()
+    buckets, guide = _guide(counts)
+    cells = S.skeleton_cells(S.sample_skeleton(spark, S.apportion(P.label_counts_of(counts), 2000, True), 2000), buckets)
+    a = S.draw(cells, guide, 7).orderBy("sample_id", "grp", "slot").toPandas()
     u = cells.withColumn("u", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("7"), "sample_id", "grp", "slot")),
                                                 1, 12), 16, 10).cast("bigint") / 281474976710656.0)
-    c = cdf.select(*[F.col(x).alias(f"c_{x}") for x in cdf.columns])
+    c = S.value_cdf(S.enhanced_weights(counts))
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns])
     b = (u.join(c, (u.app == c.c_app) & (u.grp == c.c_grp) & (u.slot == c.c_slot) & (u.u >= c.c_lo) & (u.u < c.c_hi))
          .select("sample_id", "app", "grp", "slot", F.col("c_v").alias("v"))
          .orderBy("sample_id", "grp", "slot").toPandas())
@@ -89,18 +96,57 @@ def test_labels_and_flows_without_ranking_equal_those_of_the_cells(spark):
     assert sorted(map(tuple, A.label_counts(spark, SF_SMALL).collect())) == sorted(map(tuple, first.groupBy("app").count().collect()))
 
 
-def test_guide_grows_with_the_distinct_values_of_a_continuous_column(spark):
+def test_guide_follows_each_column(spark):
+    """A column of 50,000 values beside one of three: as many guide rows as steps and buckets of each, and the same draws as by hand."""
     n = 50_000
-    counts = spark.range(n).select(F.lit("a").alias("app"), F.lit(0).alias("grp"), F.lit(0).alias("slot"),
-                                   (F.rand(3) * 5).alias("v"), F.lit(1).cast("bigint").alias("cnt"))
-    counts = materialize(counts)
-    buckets = S.guide_buckets(counts)
-    assert buckets == 1024
-    cdf = materialize(S.value_cdf(S.enhanced_weights(counts)))
-    cells = spark.range(300).select(F.col("id").alias("sample_id"), F.lit("a").alias("app"), F.lit(0).alias("grp"), F.lit(0).alias("slot"))
-    fine = S.draw(cells, S.guide_table(cdf, buckets), 7, buckets)
-    plain = S.draw(cells, S.guide_table(cdf, 1), 7, 1)
-    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, plain.collect()))
+    many = spark.range(n).select(F.lit(0).alias("slot"), (F.rand(3) * 5).alias("v"), F.lit(1).cast("bigint").alias("cnt"))
+    few = spark.range(3).select(F.lit(1).alias("slot"), F.col("id").cast("double").alias("v"), F.lit(7).cast("bigint").alias("cnt"))
+    counts = materialize(many.unionByName(few).select(F.lit(None).cast("string").alias("app"), F.lit(0).alias("grp"), "slot", "v", "cnt"))
+    buckets, guide = _guide(counts)
+    assert {r["slot"]: r["buckets"] for r in buckets.collect()} == {0: 16384, 1: 16}
+    assert {r["slot"]: r["count"] <= {0: n + 16384, 1: 3 + 16}[r["slot"]] for r in guide.groupBy("slot").count().collect()} == {0: True, 1: True}
+    skeleton = spark.range(300).select(F.col("id").alias("sample_id"), F.lit(None).cast("string").alias("app"))
+    drawn = S.draw(S.skeleton_cells(skeleton, buckets), guide, 7).where("slot < 2 and grp = 0").collect()
+    steps = {}
+    for r in S.value_cdf(S.enhanced_weights(counts)).collect():
+        steps.setdefault(r["slot"], []).append((r["lo"], r["hi"], r["v"]))
+    for r in drawn:
+        u = int(hashlib.md5(f"7|{r['sample_id']}|0|{r['slot']}".encode()).hexdigest()[:12], 16) / 2 ** 48
+        assert r["v"] == next(v for lo, hi, v in steps[r["slot"]] if lo <= u < hi)
+    assert len(drawn) == 600
+
+
+def test_arrays_and_cells_are_the_same_flows(spark):
+    """Adapters, round trips, absent cells, NULL values and labels; synthesis as arrays equals synthesis as cells."""
+    from flowsmith.operators import flowtable as FT
+    key = lambda df, i="flow_id": sorted(map(tuple, df.select(i, "app", "grp", "slot", "v").collect()), key=repr)
+    cells = key(A.cells(spark, SF_SMALL))
+    flows = A.flow_arrays(spark, SF_SMALL)
+    assert key(FT.to_cells(flows)) == cells and key(FT.to_cells(FT.from_cells(A.cells(spark, SF_SMALL)))) == cells
+    assert key(FT.to_cells(FT.from_wide(FT.to_wide(flows)))) == cells
+    assert key(FT.to_cells(A.flow_arrays_events(spark, SF_SMALL))) == key(A.cells_events(spark, SF_SMALL))
+    assert key(FT.to_cells(A.perturb(flows))) == key(A.cells_dirty(spark, SF_SMALL))
+    assert key(FT.to_cells(A.candidate_of(flows))) == key(A.cells_candidate(spark, SF_SMALL))
+    partial = A.cells_dirty(spark, SF_SMALL).where("(flow_id + slot) % 7 <> 0 or grp = 1").withColumn(
+        "app", F.when(F.col("flow_id") % 2 == 0, F.col("app")))
+    assert key(FT.to_cells(FT.from_cells(partial))) == key(partial)
+    counts = _counts(spark)
+    assert key(FT.to_cells(S.synthesize_flows(spark, counts, 300), "sample_id"), "sample_id") == key(S.synthesize_cells(spark, counts, 300), "sample_id")
+
+
+def test_flow_arrays_are_not_shuffled_by_flow(spark):
+    """Encoding, duplicate keys and the model's counts add no exchange of cells or by flow to the ranking's own."""
+    from flowsmith.operators import dedup, repair, tokens
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(flow_id")
+
+    flows = materialize(A.flow_arrays(spark, SF_SMALL))
+    voc = materialize(tokens.vocab(spark))
+    assert exchanges(A.flow_arrays(spark, SF_SMALL)) == 0
+    assert exchanges(tokens.encode(flows, voc, materialize(tokens.label_vocab(flows, 99)))) == 0
+    assert exchanges(dedup.flow_keys(flows, "flow_id")) == 0
+    assert exchanges(repair._steps(flows, voc, "flow_id")) == 0
 
 
 def test_batches_in_id_order(spark):

@@ -52,13 +52,28 @@ def test_many_distinct_values_in_one_group(spark):
         assert abs(row[name] - np.percentile(vals, p * 100)) <= 1e-9 * abs(row[name])
     m = weighted_moments(freq, ["g"], "v", "c").first()
     assert m["n"] == n and abs(m["mean"] - vals.mean()) < 1e-6 and abs(m["std"] / vals.std(ddof=1) - 1) < 1e-9
-    assert df.groupBy(value_range("v")).count().agg(F.max("count")).first()[0] < n / 500
+    assert df.groupBy(value_range(df, "v").alias("r")).count().agg(F.max("count")).first()[0] < n / 500
 
 
 def test_value_range_keeps_the_order(spark):
     vals = [float("-inf"), -1e308, -2.0, -1.0, -5e-324, 0.0, 5e-324, 1e-6, 1.0, 1.0000001, 2.0, 1e308, float("inf"), float("nan")]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vals)], "i int, v double, c int").withColumn("g", F.lit("a"))
-    ranges = [r[0] for r in df.orderBy("i").select(value_range("v")).collect()]
+    ranges = [r[0] for r in df.orderBy("i").select(value_range(df, "v")).collect()]
     assert ranges == sorted(ranges)
     got = running_sums(df, ["g"], "v", "c").orderBy("i").collect()
     assert [r["_cum"] for r in got] == list(range(1, len(vals) + 1)) and {r["_n"] for r in got} == {len(vals)}
+
+
+def test_values_close_together_are_cut_into_ranges(spark):
+    """A million distinct values within 0.1 % of each other, in two groups of which one is small."""
+    n = 1_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 1000 == 0, "few").otherwise("most").alias("g"),
+                               (F.lit(1.7e9) + F.col("id") * 1.5).alias("v"), (F.col("id") % 3 + 1).alias("c"))
+    probs = {"p25": .25, "p50": .5, "p98": .98}
+    ids = np.arange(n)
+    for row in percentiles_from_counts(df, ["g"], "v", "c", probs).collect():
+        mine = (ids % 1000 == 0) == (row["g"] == "few")
+        vals = np.repeat(1.7e9 + ids[mine] * 1.5, ids[mine] % 3 + 1)
+        for name, p in probs.items():
+            assert abs(row[name] - np.percentile(vals, p * 100)) < 1e-6
+    assert df.groupBy(value_range(df, "v").alias("r")).count().agg(F.max("count")).first()[0] < n / 100
