@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir, materialize, scratch_path
 from ..sources.tables import read_table
 
 __all__ = ["ensure_checkpoint_dir", "materialize", "scratch_path", "read_table", "packed", "unpacked",
-           "whole_text", "table", "ship_package", "marked_hits"]
+           "whole_text", "table", "prepare", "ship_package", "marked_hits"]
 
 
 _SHIPPED: set[str] = set()
@@ -29,9 +29,20 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(made)
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package, and bounds Arrow batches where the session has Spark's own 10,000 rows: a row is a whole text, and what a
+    worker holds follows the batch."""
+    ship_package(spark)
+    if spark.conf.get(BATCH_KEY, "10000") == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark's reader only (the path may be any URI)."""
-    ship_package(spark)
+    prepare(spark)
     return read_table(spark, sf_dir, name)
 
 

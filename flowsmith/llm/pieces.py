@@ -13,9 +13,13 @@ A document longer than ``CHUNK`` characters is cut into chunks that separate tas
    that is finite from both sides is the border's state.
 3. *Backtrace.*  Every chunk walks its own path between its two known states.
 
+Matrices are combined in two levels: groups of ``GROUP`` neighbouring chunks are multiplied by separate tasks, the products of
+a document's groups give the states at the groups' borders, and each group then finds the states within.
+
 No piece spans the place where a run of word characters meets the next space mark, so there all states meet in one.
-Within a chunk the scan runs word by word from such places and remembers the words it has seen (a bounded table);
-text without spaces has no such places and goes through the matrices alone.
+Between such places the path is that of each word by itself.  The different words of a part of the batch are encoded together: numpy
+merges the best-scored neighbours of all of them step by step, which is the path whose steps all weigh 0.  Words beyond ``WORD``
+characters are walked by the scan; text without spaces goes through the matrices alone.
 Shorter documents are one chunk whose two states are known and need no shuffle.
 
 Characters outside of the vocabulary become their UTF-8 bytes' pieces.  NULL and empty texts encode to no pieces.  Decoding
@@ -26,12 +30,13 @@ comes back as a space.  Repeated rows each give a row; a NULL id is kept; empty
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +45,11 @@ from .common import materialize, whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 SPACE = "▁"
-CACHE = 150_000
 PAIRS = 500_000
+WORD = 64                    # longer words are not merged in step with the others
+PART = 2_000_000             # characters whose words are encoded together
+GROUP = 64                   # chunks whose matrices one task multiplies
+NONE = np.int32(2**31 - 1)   # rank of neighbours that do not merge
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FREE = -np.inf
 
@@ -70,6 +78,93 @@ def load(path: str = MODEL) -> Vocabulary:
                       tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)), sp.get_piece_size())
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+class Merger:
+    """The pairs of pieces whose concatenation is a piece, in an open-addressed table, and the merging of many words at once."""
+
+    def __init__(self, v: Vocabulary):
+        rank = {x: i for i, x in enumerate(sorted(set(v.scores.values()), reverse=True))}
+        rows = [(v.ids[p[:k]] * v.size + v.ids[p[k:]], i, rank[v.scores[p]])
+                for p, i in v.ids.items() for k in range(1, len(p)) if p[:k] in v.ids and p[k:] in v.ids]
+        self.size, self.bits = v.size, max(4, (8 * len(rows)).bit_length())
+        self.key, self.piece, self.rank = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), np.full(1 << self.bits, NONE)
+        todo, step = np.arange(len(rows)), 0
+        cols = [np.array([r[c] for r in rows], np.int64) for c in range(3)]
+        while len(todo):                                             # who finds a free slot takes it, the others try the next one
+            at = self._slot(cols[0][todo], step)
+            free = self.key[at] < 0
+            self.key[at[free]] = cols[0][todo[free]]
+            won = free & (self.key[at] == cols[0][todo])
+            self.piece[at[won]], self.rank[at[won]] = cols[1][todo[won]], cols[2][todo[won]]
+            todo, step = todo[~won], step + 1
+        self.char = -1 - np.arange(0x110000, dtype=np.int32)         # id of each character; -1 - code: none
+        for p, i in v.ids.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+
+    def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slot of each pair, or an empty one (rank NONE) where it merges to no piece."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, 0)
+        at = self._slot(key, 0)
+        todo = np.flatnonzero((self.key[at] != key) & (self.key[at] >= 0))
+        step = 1
+        while len(todo):
+            at[todo] = self._slot(key[todo], step)
+            todo = todo[(self.key[at[todo]] != key[todo]) & (self.key[at[todo]] >= 0)]
+            step += 1
+        return at
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each pair merges to, NONE where it merges to none."""
+        return np.where((left >= 0) & (right >= 0), self.rank[self._find(left, right)], NONE)
+
+    def merge(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, id) of all pieces, each word's in order: in every step each word merges its best pair, the leftmost of
+        equals; -1 - code stands for a character outside of the vocabulary."""
+        of = np.repeat(np.arange(len(words)), size)
+        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        rank = np.full(len(of), NONE)                                # of the pair that starts here
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        rank[inner] = self._ranks(sym[inner], sym[inner + 1])
+        done_of, done_sym = [of[:0]], [sym[:0]]
+        while len(of):
+            start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(of))))
+            live = best != NONE
+            if not live.all():                                       # finished words leave
+                done_of.append(of[~live])
+                done_sym.append(sym[~live])
+                of, sym, rank, best = of[live], sym[live], rank[live], best[live]
+                if not len(of):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate(([True], of[at][1:] != of[at][:-1]))]
+            sym[at] = self.piece[self._find(sym[at], sym[at + 1])]
+            stay = np.ones(len(of), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))                                 # one symbol less for each word before
+            of, sym, rank = of[stay], sym[stay], rank[stay]
+            rank[at] = NONE
+            right = at[at + 1 < len(of)]
+            right = right[of[right] == of[right + 1]]
+            rank[right] = self._ranks(sym[right], sym[right + 1])
+            left = at[at > 0] - 1
+            left = left[of[left] == of[left + 1]]
+            rank[left] = self._ranks(sym[left], sym[left + 1])
+        return np.concatenate(done_of), np.concatenate(done_sym)
+
+
 class Encoder:
     """The scan over one chunk; all its tables are bounded."""
 
@@ -87,24 +182,7 @@ class Encoder:
             node[None] = i
             self.shorter[i] = next((vocabulary.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in vocabulary.ids),
                                    -1 if len(piece) > 1 else None)
-        encoder = self
-
-        class Table(dict):
-            """Two generations: when the younger is full it becomes the older, so words in use stay."""
-            older: dict = {}
-
-            def __missing__(self, word):
-                ids = self.older.get(word)
-                if ids is None:
-                    ids = encoder.word_ids(word)
-                if len(word) <= 64:
-                    if len(self) >= CACHE // 2:
-                        self.older = dict(self)
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.words = Table()
+        self.merger = Merger(vocabulary)
 
     # -- pieces ---------------------------------------------------------------------------
 
@@ -221,19 +299,57 @@ class Encoder:
             e = at + (widths[p] if p >= 0 else 1)
         return out
 
-    def word_ids(self, word: str) -> bytes:
-        """The ids of a word as the bytes of 32-bit numbers."""
-        out = array("i")
+    def word_ids(self, word: str) -> list[int]:
+        """The ids of one word by the scan."""
+        out = []
         for i, e in self.scan(word):
-            if i >= 0:
-                out.append(i)
-            else:
-                out.extend([self.v.byte_ids[b] for b in word[e - 1].encode("utf-8", "replace")])
-        return out.tobytes()
+            out += [i] if i >= 0 else [self.v.byte_ids[b] for b in word[e - 1].encode("utf-8", "replace")]
+        return out
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of marked texts (see ``marked``) that start and end at places no piece spans."""
+        numbers, found = Numbers(), []
+        for t in texts:
+            # without two space marks together each mark starts a word
+            words = WORDS.findall(t) if SPACE * 2 in t or t[:1] != SPACE else t.replace(SPACE, f" {SPACE}")[1:].split(" ")
+            found.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        sizes = np.array([len(f) for f in found])
+        word = np.concatenate([np.empty(0, np.int64), *found])
+        ids, first, count = self._words(list(numbers))
+        n = count[word]
+        flat = ids[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return flat, ends[np.concatenate(([0], np.cumsum(sizes)))]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, the words' first places, their numbers of ids)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= WORD)
+        of, ids = self.merger.merge(words if len(short) == len(words) else [words[k] for k in short], size[short])
+        of = short[of]
+        unknown = np.flatnonzero(ids < 0)                # characters outside of the vocabulary become their bytes
+        if len(unknown):
+            chars, which = np.unique(-1 - ids[unknown], return_inverse=True)
+            raw = [[self.v.byte_ids[b] for b in chr(c).encode("utf-8", "replace")] for c in chars.tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[unknown] = np.array([len(r) for r in raw])[which]
+            first = (np.cumsum(n) - n)[unknown]
+            of, ids = np.repeat(of, n), np.repeat(ids, n)
+            for k, r in enumerate(raw):
+                for j, b in enumerate(r):
+                    ids[first[which == k] + j] = b
+        long = np.flatnonzero(size > WORD).tolist()
+        if long:
+            more = [self.word_ids(words[k]) for k in long]
+            of = np.concatenate([of, np.repeat(long, [len(m) for m in more])])
+            ids = np.concatenate([ids, *[np.array(m, np.int32) for m in more]])
+        order = np.argsort(of, kind="stable")
+        count = np.bincount(of, minlength=len(words))
+        return ids[order].astype(np.int32), np.cumsum(count) - count, count
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a marked text (see ``marked``) that starts and ends at places no piece spans."""
-        return np.frombuffer(b"".join(map(self.words.__getitem__, WORDS.findall(text))), np.int32)
+        """Ids of one such text."""
+        return self.encode_all([text])[0]
 
     # -- one chunk of a giant document -----------------------------------------------------
 
@@ -382,29 +498,41 @@ def _short(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, key)
         for b in batches:
-            texts = b.column(1)
-            for at in range(0, len(texts), 256):         # bounds the ids held at once
-                part = texts.slice(at, 256)
+            sizes = np.cumsum(pa.compute.utf8_length(b.column(1)).to_numpy(zero_copy_only=False))
+            part = sizes // PART                          # bounds the words and ids held at once
+            for at in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+                n = int(np.searchsorted(part, part[at], side="right")) - at
+                ids, ends = enc.encode_all([marked(t) for t in b.column(1).slice(at, n).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 256), _id_lists([enc.encode(marked(t)) for t in part.to_pylist()])],
-                    names=["doc_id", "token_ids"])
+                    [b.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "token_ids"])
+    return run
+
+
+def _cut(chunk: int, longest: int):
+    """Chunks of each text, cut in one pass, with the characters that a border piece can reach to on both sides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = marked(text.as_py())
+                for k, at in enumerate(range(0, len(text), chunk)):
+                    left = min(at, longest)
+                    yield pa.RecordBatch.from_pydict(
+                        {"rid": [rid], "k": [k], "a": [left], "b": [left + min(chunk, len(text) - at)], "text": [text[at - left:at + chunk + longest]]},
+                        schema=pa.schema([("rid", pa.int64()), ("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("text", pa.string())]))
     return run
 
 
 def _giants(spark: SparkSession, rows: DataFrame, shared, key: str, chunk: int, longest: int, kind: str) -> DataFrame:
-    whole = materialize(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
-                                    F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)).alias("text")))
-    n = F.char_length("text")
-    # each chunk brings the characters that a border piece can reach to on both sides
-    cut = whole.select("rid", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(n / chunk).cast("int") - 1)).alias("k"))
-    left = F.least(F.col("k") * chunk, F.lit(longest))
-    chunks = materialize(cut.select(
-        "rid", "k", left.alias("a"), F.least(left + chunk, F.col("n") - F.col("k") * chunk + left).cast("int").alias("b"),
-        F.expr(f"substring(text, k * {chunk} - least(k * {chunk}, {longest}) + 1, {chunk + longest} + least(k * {chunk}, {longest}))").alias("text"))
-        .repartition("rid", "k"))
-    matrices = chunks.mapInArrow(_transfers(shared, key), "rid bigint, k int, rows int, cols int, free array<int>")
-    states = (matrices.repartition("rid").sortWithinPartitions("rid", "k")
-              .mapInArrow(_border_states, "rid bigint, k int, i int, j int"))
+    whole = materialize(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"))
+    chunks = materialize(whole.select("rid", "text").mapInArrow(_cut(chunk, longest), "rid bigint, k int, a int, b int, text string")
+                         .repartition("rid", "k"))
+    matrices = materialize(chunks.mapInArrow(_transfers(shared, key), f"rid bigint, k int, {MATRIX}"))
+    group = (F.col("k") / GROUP).cast("int").alias("g")
+    grouped = matrices.select("rid", group, "k", "rows", "cols", "free")
+    products = grouped.groupBy("rid", "g").applyInArrow(_product, f"rid bigint, k int, {MATRIX}")
+    borders = products.groupBy("rid").applyInArrow(_states_between, "rid bigint, k int, i int, j int")     # a row per group of a document
+    outer = borders.select("rid", F.col("k").alias("g"), F.col("i").alias("i0"), F.col("j").alias("j0"))
+    states = grouped.join(outer, ["rid", "g"]).groupBy("rid", "g").applyInArrow(_states_between, "rid bigint, k int, i int, j int")
     paths = chunks.join(states, ["rid", "k"]).select("rid", "k", "a", "b", "i", "j", "text").mapInArrow(
         _backtraces(shared, key), "rid bigint, k int, ids array<int>")
     joined = paths.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))   # one document
@@ -412,6 +540,37 @@ def _giants(spark: SparkSession, rows: DataFrame, shared, key: str, chunk: int,
         "doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"))
 
 
+MATRIX = "rows int, cols int, free array<int>"
+
+
+def _matrices(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    """Numbers and matrices of the rows, in order of their numbers."""
+    got = []
+    for r in table.select(["k", "rows", "cols", "free"]).to_pylist():
+        m = np.full(r["rows"] * r["cols"], FREE)
+        m[r["free"]] = 0.0
+        got.append((r["k"], m.reshape(r["rows"], r["cols"])))
+    got.sort(key=lambda x: x[0])
+    return [k for k, _ in got], [m for _, m in got]
+
+
+def _product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The matrix of a group of neighbouring chunks, numbered by the group."""
+    m = reduce(combine, _matrices(table)[1])
+    return pa.table({"rid": pa.array([key[0].as_py()], pa.int64()), "k": pa.array([key[1].as_py()], pa.int32()),
+                     "rows": pa.array([m.shape[0]], pa.int32()), "cols": pa.array([m.shape[1]], pa.int32()),
+                     "free": pa.array([np.flatnonzero(m.ravel() == 0).astype(np.int32)], pa.list_(pa.int32()))})
+
+
+def _states_between(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The border states of each matrix of a sequence; with columns i0 and j0 the outer states are known."""
+    numbers, matrices = _matrices(table)
+    outer = (table.column("i0")[0].as_py(), table.column("j0")[0].as_py()) if "i0" in table.column_names else None
+    pairs = border_states(matrices, outer)
+    return pa.table({"rid": pa.array([key[0].as_py()] * len(numbers), pa.int64()), "k": pa.array(numbers, pa.int32()),
+                     "i": pa.array([p[0] for p in pairs], pa.int32()), "j": pa.array([p[1] for p in pairs], pa.int32())})
+
+
 def _transfers(shared, key: str):
     def run(batches):
         enc = _encoder(shared, key)
@@ -425,41 +584,21 @@ def _transfers(shared, key: str):
     return run
 
 
-def border_states(matrices: list[np.ndarray], ends_at_last: int | None = None) -> list[tuple[int, int]]:
-    """(state at the left border, state at the right border) of each chunk: the states that are finite both from
-    the start and from the end."""
-    ahead = [np.zeros((1, matrices[0].shape[0]))]
+def border_states(matrices: list[np.ndarray], outer: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """(state at the left border, state at the right border) of each matrix: the states that are finite both from
+    the start and from the end (``outer``: the states there, where they are known)."""
+    ahead, back = [np.zeros((1, matrices[0].shape[0]))], [np.zeros((matrices[-1].shape[1], 1))]
+    if outer:
+        ahead[0][:], back[0][:] = FREE, FREE
+        ahead[0][0, outer[0]] = back[0][outer[1], 0] = 0.0
     for m in matrices:
         ahead.append(combine(ahead[-1], m))
-    back = [np.zeros((matrices[-1].shape[1], 1))]
     for m in reversed(matrices):
         back.append(combine(m, back[-1]))
     states = [int(np.argmax(f[0] + b[:, 0])) for f, b in zip(ahead, reversed(back))]
     return list(zip(states, states[1:]))
 
 
-def _border_states(batches):
-    held, rid = [], None
-
-    def done():
-        pairs = border_states([m for _, m in held])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rid] * len(held), pa.int64()), pa.array([k for k, _ in held], pa.int32()),
-             pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int32())], names=["rid", "k", "i", "j"])
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and r["rid"] != rid:
-                yield done()
-                held = []
-            rid = r["rid"]
-            m = np.full(r["rows"] * r["cols"], FREE)
-            m[r["free"]] = 0.0
-            held.append((r["k"], m.reshape(r["rows"], r["cols"])))
-    if held:
-        yield done()
-
-
 def _backtraces(shared, key: str):
     def run(batches):
         enc = _encoder(shared, key)
