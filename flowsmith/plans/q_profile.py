@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.rank import join_null_safe
 from ..operators import profile as P
+from ..operators import sketches as SK
+from ..session import materialize
 from ..sources import adapters as A
 from .catalog import register
 from .common import cell_counts
@@ -151,3 +156,22 @@ select d.app, d.grp, d.slot, d.v, d.p from d join c using (app, grp, slot) where
             select app, grp, slot, quantile_cont(p, 0.70) as cut from d where grp = 2 group by app, grp, slot"""}))
 def high_freq_values(spark, sf):
     return P.high_freq_values(counts=cell_counts(spark, sf))
+
+
+RANK_BOUND, DISTINCT_BOUND = 0.01, 0.06       # four times the stated errors, about
+
+
+@register("sketch_profile", A.with_views("""
+select app, grp, count(*) as n, min(v) as min, max(v) as max, true as distinct_ok, """ + ", ".join(f"true as {q}_ok" for q in SK.QUANTILES) + """
+from (select app, 0 as grp, ipt as v from packets union all select app, 1, dir from packets union all select app, 2, size from packets) t
+group by app, grp""", "packets"))
+def sketch_profile(spark, sf):
+    """A5 / A10 by sketches: stored per label and day, merged per label; n, min and max, and whether each estimate is within its bound of
+    the exact figure."""
+    values = materialize(A.packet_values(spark, sf))
+    stored = materialize(SK.value_sketches(values, ["app", "day", "grp"]))
+    profile = SK.approx_profile(stored, ["app", "grp"])
+    errors = SK.profile_errors(profile, values, ["app", "grp"])
+    ok = [(F.col(f"{q}_error") <= RANK_BOUND).alias(f"{q}_ok") for q in SK.QUANTILES]
+    return join_null_safe(profile.select("app", "grp", "n", "min", "max"), errors, ["app", "grp"]).select(
+        "app", "grp", "n", "min", "max", (F.col("distinct_error") <= DISTINCT_BOUND).alias("distinct_ok"), *ok)

@@ -94,7 +94,7 @@ LABELS_SQL = {
 
 def _label_tables(spark, sf):
     syn = synth_cells_df(spark, sf)
-    return A.label_counts(spark, sf), P.label_counts(syn)
+    return A.label_counts(spark, sf), P.label_counts(syn, "sample_id")
 
 
 @register("label_fidelity", A.with_views("""

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.rand import sql_uniform
+from ..operators import alias as AL
 from ..operators import profile as P
 from ..operators import synth as S
+from ..session import materialize
 from ..sources import adapters as A
 from .catalog import register
 from .common import cell_counts
@@ -215,3 +217,43 @@ def preferred_pattern_counts(spark, sf):
     """Number of preferred values per (label, group)."""
     pp = S.preferred_patterns(P.value_dist(counts=cell_counts(spark, sf)))
     return pp.groupBy("app", "grp").agg(F.count(F.lit(1)).alias("n_patterns"))
+
+
+K3 = "app, grp, slot"
+ALIAS_CTES = {
+    "al0": f"""select {K3}, v, weight::hugeint * count(*) over (partition by {K3}) as s, sum(weight) over (partition by {K3})::hugeint as total,
+                      count(*) over (partition by {K3}) as cells, row_number() over (partition by {K3} order by v) - 1 as idx
+               from w where weight > 0""",
+    "al1": f"""select *, s < total as light, sum(abs(s - total)) over (partition by {K3}, s < total order by v rows between unbounded preceding and current row)
+                      ::hugeint as cum from al0""",
+    "al2": "select *, case when light then cum - (total - s) else cum end as place, case when light then 1 else 0 end as late from al1",
+    "al3": f"""select *, first_value(case when not light then v end ignore nulls) over (partition by {K3} order by place, late, v
+                           rows between 1 following and unbounded following) as next_v,
+                      max(case when light then cum end) over (partition by {K3} order by place, late, v rows between unbounded preceding and 1 preceding) as filled
+               from al2""",
+    "al": f"""select {K3}, cells, idx, v, (case when light then s else total + place - coalesce(filled, 0) end)::double / total::double as keep,
+                     coalesce(next_v, v) as other from al3""",
+}
+
+
+def _alias(spark, sf):
+    return materialize(AL.alias_table(_weights(spark, sf)))
+
+
+@register("alias_table", A.with_views("select * from al", "cells", extra={**weights_ctes(), **ALIAS_CTES}))
+def alias_table(spark, sf):
+    """J5 by alias tables: one cell per distinct value of each (label, column)."""
+    return _alias(spark, sf)
+
+
+@register("alias_draw", A.with_views(f"""
+select c.sample_id, c.app, c.grp, c.slot, coalesce(case when c.u < al.keep then al.v else al.other end, 0.0e0) as v
+from (select sc.*, {sql_uniform(SEED, "sample_id", "sc.grp", "sc.slot", "'side'")} as u,
+             cast(floor({sql_uniform(SEED, "sample_id", "sc.grp", "sc.slot", "'cell'")} * n.cells) as bigint) as idx
+      from sc left join (select distinct {K3}, cells from al) n on n.app = sc.app and n.grp = sc.grp and n.slot = sc.slot) c
+left join al on al.app = c.app and al.grp = c.grp and al.slot = c.slot and al.idx = c.idx""", "cells", extra={**draw_ctes(N), **ALIAS_CTES}))
+def alias_draw(spark, sf):
+    """G6's draws by alias tables: two uniform numbers and one equal join per cell."""
+    table = _alias(spark, sf)
+    skeleton = S.sample_skeleton(spark, S.apportion(_labels(spark, sf), N, True), N)
+    return AL.alias_draw(S.skeleton_cells(skeleton, AL.cell_counts(table)), table, SEED, table.count() <= S.BROADCAST_ROWS)

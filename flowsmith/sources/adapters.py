@@ -66,7 +66,7 @@ def _packets_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.coalesce(F.datediff("d", "prev_d"), F.lit(0)).cast("double")).alias("ipt"),
         F.when(F.col("l_returnflag") == "R", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("dir"),
         size.alias("size"),
-        "rn", "part_total", "s_suppkey",
+        "rn", "part_total", "s_suppkey", F.col("d").alias("day"),
     )
 
 
@@ -91,7 +91,14 @@ def _cells_from(packets_t: DataFrame) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """packets(flow_id, app, slot, ipt, dir, size)."""
-    return _packets_with_totals(spark, sf_dir).drop("rn", "part_total", "s_suppkey")
+    return _packets_with_totals(spark, sf_dir).drop("rn", "part_total", "s_suppkey", "day")
+
+
+def packet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app, day, grp, v): the packets' own values, without padding, by the day of the packet."""
+    p = _packets_with_totals(spark, sf_dir)
+    entries = F.array(*[F.struct(F.lit(g).alias("grp"), F.col(n).alias("v")) for g, n in enumerate(FT.GROUPS)])
+    return p.select("app", "day", F.explode(entries).alias("c")).select("app", "day", "c.grp", "c.v")
 
 
 def _flow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
