@@ -5,12 +5,13 @@ roles and texts are escaped reversibly: a control string with k backslashes afte
 character gets k + 1, so only the template's own stand without any.
 
 Assembly: for each Arrow batch the segment lengths of all turns give cumulative offsets, and numpy scatter
-indices copy headers and contents into one preallocated buffer that becomes the Arrow column.  No string is built per turn.
+indices copy headers and contents into one preallocated buffer.  Turns are sorted by conversation, so that buffer with the conversations'
+offsets is the Arrow column; only a conversation that goes on in the next batch is copied again.  No string is built per turn.
 
-Scale: one shuffle by (conversation, run of ``RUN`` turn numbers), so a conversation that holds a third of
-all rows is spread over tasks.  A conversation gives one row (``part`` 0) unless it has turn numbers from several runs or
-outgrows ``PART_BYTES``; then its parts, in order of (part, piece), concatenate to the whole.
-A task holds one Arrow batch and one part.
+Scale: one shuffle by conversation; a conversation of more than ``RUN`` rows is dealt by runs of ``RUN`` turn numbers, so one that holds a third of
+all rows is spread over tasks.  Other conversations give one row (``part`` 0) unless they
+outgrow ``PART_BYTES``.  A conversation's parts and pieces, in order of (part, piece), concatenate to the whole.
+A task holds one Arrow batch (its scatter indices take some 24 bytes for each byte of it) and one piece.
 
 Nulls, ties, repeats: NULL text or role is empty, a NULL turn comes first, rows without a conv_id form one
 conversation; equal turn numbers are ordered by role, then text; repeated rows are all
@@ -69,13 +70,13 @@ def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarra
     out[np.repeat(to, length) + within] = data[np.repeat(start, length) + within]
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def assemble(roles: pa.Array, texts: pa.Array, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All turns of a batch in one buffer: (bytes, byte offsets of the turns, code points before the
-    content, code points of the content)."""
+    content, code points of the content).  ``begins``: the turn is a conversation's first."""
     kinds = roles.dictionary_encode()
-    names = escape(kinds.dictionary.cast(pa.string()))
-    heads = [f"{OPEN}{n}{CLOSE}" for n in names.to_pylist()]
-    which = kinds.indices.to_numpy()
+    names = escape(kinds.dictionary.cast(pa.string())).to_pylist()
+    heads = [f"{start}{OPEN}{n}{CLOSE}" for n in names for start in ("", BEGIN)]
+    which = kinds.indices.to_numpy() * 2 + begins
     head_bytes = [h.encode("utf-8", "replace") for h in heads]
     head_len = np.array([len(h) for h in head_bytes], np.int64)[which]
     head_at = np.concatenate(([0], np.cumsum([len(h) for h in head_bytes])))[:-1].astype(np.int64)[which]
@@ -93,51 +94,90 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, turn, points, pc.utf8_length(content).to_numpy().astype(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (conv_id, part, turn) to formatted parts."""
-    held: list = []            # byte pieces of the open part
-    key, piece, turns, size, points, spans = None, 0, 0, 0, 0, ([], [])
-    done: list[tuple] = []
+def _plain(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values with NULL as 0, which are NULL)."""
+    return pc.fill_null(col, 0).to_numpy(zero_copy_only=False).astype(np.int64), col.is_null().to_numpy(zero_copy_only=False)
 
-    def close():
-        done.append((key[0], key[1], piece, turns, b"".join(held).decode(), spans[0], spans[1]))
 
-    def batch():
-        cols = list(zip(*done))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                          names=["conv_id", "part", "piece", "n_turns", "formatted", "loss_start", "loss_end"])
+def _piece_starts(starts: np.ndarray, turn: np.ndarray, held: int) -> np.ndarray:
+    """The first turns of all pieces: ``starts`` and, in stretches beyond PART_BYTES, each turn before which a piece is full (``held`` bytes of
+    the first stretch's piece lie in earlier batches)."""
+    stops = np.append(starts[1:], len(turn) - 1)
+    more = []
+    for k in np.flatnonzero(turn[stops] - turn[starts] + np.where(np.arange(len(starts)) == 0, held, 0) > PART_BYTES):
+        size = held if k == 0 else 0
+        for i in range(starts[k], stops[k]):
+            if size > PART_BYTES:
+                more.append(i)
+                size = 0
+            size += turn[i + 1] - turn[i]
+    return np.unique(np.concatenate([starts, np.array(more, np.int64)]))
+
+
+PART_FIELDS = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("piece", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.string()),
+                         ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (conv_id, part, turn) to formatted parts; the last piece of a batch is held until it is known to be whole."""
+    open_ = None               # key, piece, turns, code points, bytes, loss_start, loss_end
+
+    def closed() -> pa.RecordBatch:
+        key, piece, turns, _, data, starts, ends = open_
+        return pa.RecordBatch.from_pylist([{"conv_id": key[0], "part": key[1], "piece": piece, "n_turns": turns, "formatted": b"".join(data).decode(),
+                                            "loss_start": starts, "loss_end": ends}], schema=PART_FIELDS)
 
     for b in batches:
-        conv, part, first = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-        roles = b.column(3)
-        out, turn, before, chars = assemble(roles, b.column(4))
-        loss = pc.equal(roles, LOSS_ROLE).to_pylist()
-        for i in range(len(conv)):
-            now = (conv[i], part[i])
-            if key != now or size > PART_BYTES:
-                if key is not None:
-                    close()
-                piece = piece + 1 if key == now else 0
-                key, held, turns, size, spans = now, [], 0, 0, ([], [])
-                # the conversation's first part begins it
-                held.append(BEGIN.encode() if first[i] and not piece else b"")
-                points = len(held[0])
-            held.append(out[turn[i]:turn[i + 1]].tobytes())
-            size += int(turn[i + 1] - turn[i])
-            turns += 1
-            points += int(before[i])
-            if loss[i]:
-                spans[0].append(points)
-                spans[1].append(points + int(chars[i]))
-            points += int(chars[i]) + len(END)
-            if len(done) >= 2000:
-                yield batch()
-                done = []
-    if key is not None:
-        close()
-    if done:
-        yield batch()
+        if not b.num_rows:
+            continue
+        conv, none = _plain(b.column(0))
+        part = b.column(1).to_numpy(zero_copy_only=False)
+        new = np.ones(b.num_rows, bool)
+        new[1:] = (conv[1:] != conv[:-1]) | (none[1:] != none[:-1]) | (part[1:] != part[:-1])
+        goes_on = open_ is not None and open_[0] == (b.column(0)[0].as_py(), int(part[0]))
+        new[0] = not goes_on
+        out, turn, before, chars = assemble(b.column(3), b.column(4), new & b.column(2).to_numpy(zero_copy_only=False))
+        # the first turns of stretches of one part, then of pieces
+        stretch = np.flatnonzero(new if not goes_on else np.concatenate(([True], new[1:])))
+        first = _piece_starts(stretch, turn, sum(map(len, open_[4])) if goes_on else 0)
+        if goes_on and sum(map(len, open_[4])) > PART_BYTES:
+            joined = False                                     # the held piece is full: what comes is a piece of its own
+        else:
+            joined = goes_on
+        of = np.searchsorted(stretch, first, side="right") - 1                # the stretch of each piece
+        number = np.arange(len(first)) - np.searchsorted(first, stretch)[of]
+        if goes_on:
+            number[of == 0] += open_[1] + (0 if joined else 1)
+        stop = np.append(first[1:], b.num_rows)
+        ends_at = np.cumsum(before + chars + len(END))
+        base = np.concatenate(([0], ends_at))[first]                          # code points before the piece
+        loss = np.flatnonzero(pc.equal(b.column(3), LOSS_ROLE).to_numpy(zero_copy_only=False))
+        piece_of = np.searchsorted(first, loss, side="right") - 1
+        loss_end = ends_at[loss] - len(END) - base[piece_of]
+        loss_start = loss_end - chars[loss]
+        cut = np.searchsorted(loss, np.append(first, b.num_rows))
+        if joined:                                             # the open piece takes in this batch's first one
+            key, piece, turns, points, data, starts, ends = open_
+            open_ = (key, piece, turns + int(stop[0]), points + int(ends_at[stop[0] - 1]), [*data, out[:turn[stop[0]]].tobytes()],
+                     starts + (loss_start[:cut[1]] + points).tolist(), ends + (loss_end[:cut[1]] + points).tolist())
+        low = 1 if joined else 0
+        if len(first) > low:
+            if open_ is not None:
+                yield closed()
+            last = len(first) - 1                              # may go on in the next batch
+            if last > low:
+                at = turn[first[low:last + 1]]
+                lists = [pa.ListArray.from_arrays(pa.array(cut[low:last + 1].astype(np.int32)), pa.array(x)) for x in (loss_start, loss_end)]
+                text = pa.LargeStringArray.from_buffers(last - low, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(out)).cast(pa.string())
+                rows = pa.array(first[low:last])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(number[low:last], pa.int32()),
+                     pa.array(stop[low:last] - first[low:last]), text, *lists], schema=PART_FIELDS)
+            i, c = int(first[last]), cut[last]
+            open_ = ((b.column(0)[i].as_py(), int(part[i])), int(number[last]), b.num_rows - i, int(ends_at[-1] - base[last]),
+                     [out[turn[i]:].tobytes()], loss_start[c:].tolist(), loss_end[c:].tolist())
+    if open_ is not None:
+        yield closed()
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -145,11 +185,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     the escaped assistant texts within ``formatted``)."""
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                         whole_text("role").alias("role"), whole_text("text").alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62))).cast("bigint"))
-    least = rows.groupBy("conv_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    # only conversations over several runs are looked up; in all others the only part is the first
-    split = least.select(F.col("conv_id").alias("s_id"), "low")
-    rows = rows.join(split, F.col("conv_id").eqNullSafe(F.col("s_id")), "left").withColumn(
+    run = F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62))).cast("bigint")
+    # only conversations of more rows than a run are dealt by runs; all others are one part, the first
+    split = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(run).alias("low")).filter(F.col("n") > RUN).select(
+        F.col("conv_id").alias("s_id"), "low")
+    rows = rows.join(split, F.col("conv_id").eqNullSafe(F.col("s_id")), "left")
+    rows = rows.withColumn("part", F.when(F.col("low").isNull(), F.lit(0)).otherwise(run).cast("bigint")).withColumn(
         "first", F.col("low").isNull() | (F.col("part") == F.col("low")))
     keyed = rows.select("conv_id", "part", "first", "role", "text", "turn")
     dealt = keyed.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", F.col("turn").asc_nulls_first(), "role", "text")

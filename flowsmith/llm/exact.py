@@ -9,9 +9,9 @@
    chain.  The directory has about entries / capacity slots and only their
    counts reach the driver.  Entries are written bucket by bucket
    to the shared checkpoint folder, and every bucket is a range of keys.
-3. *Owner tasks.*  Texts whose key occurs more than once go to the owner of their bucket,
-   again combined map-side: the owner groups by (key, bytes), which compares the
-   whole normalised texts, and numbers the chain of different texts below one key.  A
+3. *Owner tasks.*  Texts whose key occurs more than once are combined by (key, bytes), which compares the
+   whole normalised texts, look their bucket up in the directory and go to its owner, which
+   chains the different texts of each key in its ranges.  A
    (key, SHA-256) that stood for two texts stops the job instead of merging them.
 
 Nulls, ties and repeats: a NULL text is the empty text; a NULL doc_id sorts after every
@@ -110,21 +110,21 @@ def build_index(ent: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, tu
 
 
 def compare_bytes(docs: DataFrame, index: DataFrame, directory: tuple, text_col: str = "text") -> DataFrame:
-    """The owner tasks: chain the different texts of each key that occurs more than once.
-    Returns (key, sha, chain); stops if a digest stood for two texts."""
+    """The owner tasks: each takes the buckets (ranges of keys) that are dealt to it and chains the different texts of each key
+    that occurs more than once.  Copies of one text are combined where they are read, so an owner gets a text once per task at most.
+    Returns (bucket, key, sha, texts, rows)."""
     again = materialize(index.groupBy("key").agg(F.sum("size").alias("rows")).filter("rows > 1").select("key"))
     texts = docs.select(normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
     some = marked_hits(texts, ["key"], again).filter("_hit").drop("_hit")
-    texts = with_bucket(some.join(again, "key", "left_semi"), directory)
-    same = texts.groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("rows"))
-    chained = same.select("key", F.sha2("norm", 256).alias("sha"), "rows")
-    return chained.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
+    once = some.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("rows"))
+    owned = with_bucket(once.join(again, "key", "left_semi"), directory).repartition("bucket")
+    return owned.groupBy("bucket", "key", F.sha2("norm", 256).alias("sha")).agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
 
 
 def _verified(index: DataFrame, chains: DataFrame) -> DataFrame:
     """The index, each shared entry checked against its chain."""
-    c = chains.select("key", "sha", "texts", F.col("rows").alias("seen"))
-    joined = index.join(c, ["key", "sha"], "left")
+    c = chains.select("bucket", "key", "sha", "texts", F.col("rows").alias("seen"))
+    joined = index.join(c, ["bucket", "key", "sha"], "left")
     wrong = (F.col("size") > 1) & ((F.coalesce("texts", F.lit(0)) != 1) | (F.coalesce("seen", F.lit(0)) != F.col("size")))
     checked = F.when(wrong, F.raise_error(F.lit("one digest stands for different texts")).cast("bigint")).otherwise(F.col("size"))
     return joined.select("bucket", "key", "sha", checked.alias("size"), "best")

@@ -16,6 +16,8 @@ draw the same count.  Sources without a weight get ``other`` (0 drops them); an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .common import packed
 
 SEED = "mix-1"
 BROADCAST_SOURCES = 100_000
-PART = 500.0                # a larger rate is drawn as a sum of independent parts of at most this mean
+SERIES = 32                 # from here on the logarithm of a factorial is taken from Stirling's series
 TEMPERATURE = 0.5
 
 
@@ -49,34 +51,41 @@ def rates(docs: DataFrame, weights: DataFrame, source_col: str = "source", total
     return joined.select("source", "n", rate.alias("rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The cumulative distribution P(K <= 0), P(K <= 1), ... as an array, up to where the rest is below
-    double precision.  Logarithms keep rates up to ``PART`` from underflow."""
-    top = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    logs = F.aggregate(
-        F.sequence(F.lit(1), top),
-        F.struct(F.array((-rate).cast("double")).alias("all"), (-rate).cast("double").alias("last")),
-        lambda a, k: F.struct(F.concat(a["all"], F.array(a["last"] + F.log(rate) - F.log(k.cast("double")))).alias("all"),
-                              (a["last"] + F.log(rate) - F.log(k.cast("double"))).alias("last")))["all"]
-    sums = F.aggregate(logs, F.struct(F.array().cast("array<double>").alias("all"), F.lit(0.0).alias("last")),
-                       lambda a, x: F.struct(F.concat(a["all"], F.array(a["last"] + F.exp(x))).alias("all"),
-                                             (a["last"] + F.exp(x)).alias("last")))["all"]
-    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
+def _log_factorial(k: Column) -> Column:
+    """ln k! of a whole number; the series is exact to double precision from ``SERIES`` on."""
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3.0)) + 1 / (1260 * F.pow(x, 5.0))
+    table = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(SERIES)])
+    return F.when(k < SERIES, F.element_at(table, F.least(k, F.lit(SERIES - 1)).cast("int") + 1)).otherwise(series)
+
+
+def poisson_steps(rate: Column) -> tuple[Column, Column]:
+    """(first, steps): P(K <= first), P(K <= first + 1), ... as an array, from below which to beyond which the rest is below
+    double precision.  Its length follows the square root of the rate; logarithms keep large rates from underflow."""
+    spread = F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)
+    first = F.greatest(F.floor(rate - spread), F.lit(0)).cast("bigint")
+    terms = F.transform(F.sequence(first, F.ceil(rate + spread).cast("bigint")),
+                        lambda k: F.exp(k.cast("double") * F.log(rate) - rate - _log_factorial(k)))
+    sums = F.aggregate(terms, F.struct(F.array().cast("array<double>").alias("all"), F.lit(0.0).alias("last")),
+                       lambda a, x: F.struct(F.concat(a["all"], F.array(a["last"] + x)).alias("all"), (a["last"] + x).alias("last")))["all"]
+    some = rate > 0
+    return F.when(some, first).otherwise(F.lit(0).cast("bigint")), F.when(some, sums).otherwise(F.array(F.lit(1.0)))
 
 
 def mix(docs: DataFrame, weights: DataFrame, total: int | None = None, seed: str = SEED, id_col: str = "doc_id",
         source_col: str = "source", other: float = 0.0) -> DataFrame:
     """The copies: columns _row (all columns of the document), copy (1, 2, ...) and place (its random key),
     in global random order within and across partitions."""
-    steps = rates(docs, weights, source_col, total, other).select(
-        F.col("source").alias("r_source"), "rate", F.greatest(F.ceil(F.col("rate") / F.lit(PART)), F.lit(1)).cast("int").alias("parts"))
-    steps = steps.select("r_source", "parts", poisson_steps(F.col("rate") / F.col("parts")).alias("steps"))
+    first, steps = poisson_steps(F.col("rate"))
+    steps = rates(docs, weights, source_col, total, other).select(F.col("source").alias("r_source"), first.alias("first"), steps.alias("steps"))
     small = steps.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rows = packed(docs, key=key, source=F.col(source_col).cast("string"))
+    # the uniform number is drawn before the join, once per document
+    rows = packed(docs, key=key, u=uniform(seed, key, F.lit(1)), source=F.col(source_col).cast("string"))
     drawn = rows.join(F.broadcast(steps) if small else steps, F.col("source").eqNullSafe(F.col("r_source")))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + F.size(
-        F.filter("steps", lambda c: c <= uniform(seed, F.col("key"), j))))
+    below = F.size(F.filter("steps", lambda c: c <= F.col("u")))
+    # nothing lies below the first step but what no double can tell from 0
+    copies = F.when(below > 0, (F.col("first") + below).cast("int")).otherwise(F.col("first").cast("int"))
     out = drawn.withColumn("copies", copies).filter("copies > 0").select(
         "_row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     out = out.select("_row", "copy", F.md5(F.concat_ws("|", F.lit(seed + "-place"), "key", F.col("copy").cast("string"))).alias("place"))

@@ -47,7 +47,7 @@ CHUNK = 65_536
 SPACE = "▁"
 PAIRS = 500_000
 WORD = 64                    # longer words are not merged in step with the others
-PART = 2_000_000             # characters whose words are encoded together
+PART = 1_000_000             # characters whose words are encoded together
 GROUP = 64                   # chunks whose matrices one task multiplies
 NONE = np.int32(2**31 - 1)   # rank of neighbours that do not merge
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -182,7 +182,7 @@ class Encoder:
             node[None] = i
             self.shorter[i] = next((vocabulary.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in vocabulary.ids),
                                    -1 if len(piece) > 1 else None)
-        self.merger = Merger(vocabulary)
+        self.merger, self.table = Merger(vocabulary), decode_table(vocabulary)
 
     # -- pieces ---------------------------------------------------------------------------
 
@@ -483,18 +483,21 @@ def _id_lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text",
-                     chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: doc_id, token_ids (array<int>) of the whole text."""
+                     chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """One row per input row: doc_id, token_ids (array<int>) of the whole text; with ``decoded`` also ``text``, decoded from the ids by the
+    same worker (``decode_documents`` after it would keep a second worker per task)."""
     spark, vocabulary = docs.sparkSession, load(model)
     shared = spark.sparkContext.broadcast(vocabulary)        # one file's pieces: a fixed size
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     giant = F.char_length("text") > chunk
-    short = rows.filter(~giant).mapInArrow(_short(shared, model), f"doc_id {kind}, token_ids array<int>")
-    return short.unionByName(_giants(spark, rows.filter(giant), shared, model, chunk, vocabulary.longest, kind))
+    schema = f"doc_id {kind}, token_ids array<int>" + (", text string" if decoded else "")
+    short = rows.filter(~giant).mapInArrow(_short(shared, model, decoded), schema)
+    giants = _giants(spark, rows.filter(giant), shared, model, chunk, vocabulary.longest, kind)
+    return short.unionByName(decode_documents(giants, model) if decoded else giants)
 
 
-def _short(shared, key: str):
+def _short(shared, key: str, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, key)
         for b in batches:
@@ -503,8 +506,10 @@ def _short(shared, key: str):
             for at in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
                 n = int(np.searchsorted(part, part[at], side="right")) - at
                 ids, ends = enc.encode_all([marked(t) for t in b.column(1).slice(at, n).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "token_ids"])
+                cols = [b.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    cols.append(pa.array([decode(ids[s:e].tolist(), enc.table) for s, e in zip(ends[:-1], ends[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "token_ids", "text"][:len(cols)])
     return run
 
 

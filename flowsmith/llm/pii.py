@@ -1,13 +1,15 @@
 """Personal data by weak supervision.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers; they always stay.  Looser patterns add
-candidates (numbers that fail a base check, phone numbers without a plus sign, spelled-out addresses, credentials).
+candidates (numbers that fail a base check, phone numbers without a plus sign, spelled-out addresses, credentials, bank account numbers,
+national numbers, and given names with the capitalised word after them).
 Labelers of three sorts vote yes, no or nothing on each candidate, base matches included: *regex*
 labelers (the strict form, the usual length), *gazetteers* (top-level domains, calling codes, card issuers, address ranges,
-key prefixes) and *context* labelers (words before the span, characters that touch it).
+key prefixes, countries of account numbers, areas of national numbers, given names) and *context* labelers (words around the span, characters that touch it).
 Expectation maximisation (two classes, one confusion row per labeler and kind) estimates the labelers' reliabilities from
 the counts of vote patterns and gives each pattern a probability.  A logistic span classifier is trained on these soft
-labels with votes, pair agreement and shape as features; candidates it gives ``ACCEPT`` or more are added
+labels.  Its features go beyond the votes: their agreement in pairs, the span's shape (separators, letters) and which word stands before it (one of ``BEFORE`` hash
+classes), so it also learns contexts that no labeler lists; candidates it gives ``ACCEPT`` or more are added
 where they overlap no accepted span.
 
 Scale: one map over whole texts writes the spans and vote patterns (a few numbers per candidate) to the shared
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -32,13 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, whole_text
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "iban", "national", "person"]
 BASE = 4                              # the first four have base rules
-EMAIL, IP, CARD, PHONE, SECRET = range(5)
+EMAIL, IP, CARD, PHONE, SECRET, IBAN, NATIONAL, PERSON = range(8)
 ACCEPT = 0.5
 LABELERS = ["strict", "length", "gazetteer", "words", "touch"]
 SHAPES = 4
-PATTERNS = len(KINDS) * 3 ** len(LABELERS) * SHAPES
+BEFORE = 16
+PATTERNS = len(KINDS) * 3 ** len(LABELERS) * SHAPES * BEFORE
 EM_ROUNDS = 50
 
 # Possessive forms of the base patterns: the same leftmost matches, linear on long runs of digits.
@@ -53,7 +57,17 @@ _LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]
 _SPELLED = re.compile(r" ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]++(?: ?[(\[ ]dot[)\] ] ?[A-Za-z0-9-]{2,}+)+")
 _SECRET = re.compile(r"\b(?:(?:password|passwd|secret|token|api_key)[=:][^\s]{6,}+|[A-Z]{4}[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+)")
 
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?\b")
+_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_NAMED = re.compile(r"\b([A-Z][a-z]{2,12}) (?:[A-Z]\. )?[A-Z][a-z]{1,20}\b")
+
 # Fixed lists of the gazetteers and context labelers.
+IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15,
+               "PL": 28, "PT": 25, "SE": 24}
+GIVEN = {"Alice", "Anna", "Anne", "Antonio", "Barbara", "Carlos", "Carmen", "Charles", "Claude", "David", "Elizabeth", "Emma", "Francisco", "Hans", "Isabel",
+         "James", "Jean", "Jennifer", "Jessica", "John", "Jorge", "Joseph", "Juan", "Karen", "Klaus", "Laura", "Linda", "Lisa", "Luis", "Manuel", "Maria",
+         "Marie", "Martin", "Mary", "Michael", "Michel", "Monika", "Nancy", "Nicolas", "Patricia", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard",
+         "Robert", "Sabine", "Sarah", "Sophie", "Stefan", "Stephen", "Susan", "Thomas", "Ursula", "William", "Wolfgang"}
 DOMAINS = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "it", "nl", "uk", "us", "eu", "ch", "at", "jp", "cn", "in", "br", "ca", "au"}
 CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "61", "62", "63", "64", "65", "81", "82", "86", "90", "91"}
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|30[0-5]|3[68]")
@@ -64,6 +78,9 @@ WORDS_FOR = {
     CARD: {"card", "visa", "mastercard", "amex", "payment", "credit", "debit", "paid", "karte", "carte", "tarjeta"},
     PHONE: {"phone", "call", "tel", "telephone", "mobile", "fax", "cell", "reach", "telefon", "telefono"},
     SECRET: {"key", "password", "secret", "token", "login", "credentials", "aws"},
+    IBAN: {"iban", "account", "bank", "transfer", "konto", "bankverbindung", "compte", "cuenta"},
+    NATIONAL: {"ssn", "social", "security", "insurance", "taxpayer", "tin"},
+    PERSON: {"mr", "mrs", "ms", "dr", "herr", "frau", "monsieur", "madame", "senor", "dear", "name", "by", "patient", "customer", "from"},
 }
 WORDS_AGAINST = {"version", "isbn", "issn", "figure", "section", "table", "page", "order", "serial", "part", "chapter", "no", "vol"}
 
@@ -78,6 +95,18 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _checks_out(iban: str) -> bool:
+    """Length of the country and remainder 1 modulo 97."""
+    turned = iban[4:] + iban[:4]
+    return IBAN_LENGTH.get(iban[:2], len(iban)) == len(iban) and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def _issued(national: str) -> bool:
+    """Whether the number's area, group and serial are ones that are given out."""
+    area, group, serial = national.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -141,7 +170,7 @@ def _votes(kind: int, text: str, s: int, e: int, strict: bool) -> list[int]:
     span = text[s:e]
     digits = _digits(span[:256])
     usual = {EMAIL: 6 <= e - s <= 64, IP: 7 <= e - s <= 15, CARD: len(digits) in (15, 16), PHONE: 10 <= len(digits) <= 13,
-             SECRET: 10 <= e - s <= 64}[kind]
+             SECRET: 10 <= e - s <= 64, IBAN: 15 <= e - s <= 34, NATIONAL: True, PERSON: 7 <= e - s <= 30}[kind]
     if kind == EMAIL:
         known = 1 if re.split(r"[.\s()\[\]]+", span.rstrip(")]"))[-1].lower() in DOMAINS else -1
     elif kind == IP:
@@ -151,23 +180,39 @@ def _votes(kind: int, text: str, s: int, e: int, strict: bool) -> list[int]:
         known = 1 if ISSUERS.match(digits) else -1
     elif kind == PHONE:
         known = 0 if span[0] != "+" else 1 if any(digits[:k] in CALLING for k in (1, 2)) else -1
-    else:
+    elif kind == SECRET:
         known = 1 if span.startswith(KEYS) else -1
-    before = re.findall(r"[a-z-]+", text[max(0, s - 40):s].lower())[-4:]
+    elif kind == IBAN:
+        known = 1 if span[:2] in IBAN_LENGTH else -1
+    elif kind == NATIONAL:
+        known = 0 if _issued(span) else -1
+    else:
+        known = 1 if span.split(" ", 1)[0] in GIVEN else -1
+    before = _words_before(text, s)
     said = 1 if WORDS_FOR[kind] & set(before) else -1 if WORDS_AGAINST & set(before) else 0
     left, right = text[s - 1:s], text[e:e + 1]
     touch = -1 if left.isalnum() or right.isalnum() or left in "/=_#" and left or right in "/=_#" and right else 1
     return [1 if strict else -1, 1 if usual else -1, known, said, touch]
 
 
-def _pattern(kind: int, votes: list[int], shape: int) -> int:
+def _words_before(text: str, s: int) -> list[str]:
+    return re.findall(r"[a-z-]+", text[max(0, s - 40):s].lower())[-4:]
+
+
+def _pattern(kind: int, votes: list[int], shape: int, before: int = 0) -> int:
     code = kind
     for v in votes:
         code = code * 3 + v + 1
-    return code * SHAPES + shape
+    return (code * SHAPES + shape) * BEFORE + before
+
+
+def before_class(code: int) -> int:
+    """Hash class of the word before the span, 0: none."""
+    return code % BEFORE
 
 
 def unpattern(code: int) -> tuple[int, list[int], int]:
+    code //= BEFORE
     shape, code, votes = code % SHAPES, code // SHAPES, []
     for _ in LABELERS:
         votes.append(code % 3 - 1)
@@ -209,11 +254,17 @@ def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
     found += [(SECRET, m.start(), m.end(), m[0].startswith(KEYS)) for m in _SECRET.finditer(text)]
     if "at" in text and "dot" in text:
         found += [(EMAIL, s, e, False) for s, e in _spelled(text)]
+    for kind, pattern, holds in ((IBAN, _IBAN, lambda x: _checks_out(x.replace(" ", ""))), (NATIONAL, _NATIONAL, _issued)):
+        if _ANY.search(text):
+            found += [(kind, m.start(), m.end(), holds(m[0])) for m in pattern.finditer(text)]
+    found += [(PERSON, m.start(), m.end(), m[1] in GIVEN) for m in _NAMED.finditer(text) if m[1] in GIVEN]
     out = []
     for kind, s, e, ok in found:
         span = text[s:min(e, s + 256)]
         shape = (1 if any(c in " -()" for c in span) else 0) + (2 if any(c.isalpha() for c in span) else 0)
-        out.append((kind, s, e, _pattern(kind, _votes(kind, text, s, e, ok), shape), ok and kind < BASE))
+        near = _words_before(text, s)[-1:]
+        before = 1 + zlib.crc32(near[0].encode()) % (BEFORE - 1) if near else 0
+        out.append((kind, s, e, _pattern(kind, _votes(kind, text, s, e, ok), shape, before), ok and kind < BASE))
     return out
 
 
@@ -248,7 +299,8 @@ def _inputs(code: int) -> np.ndarray:
     v = np.array(votes, np.float64)
     k = np.eye(len(KINDS))[kind]
     pairs = [v[i] * v[j] for i in range(len(v)) for j in range(i + 1, len(v))]
-    return np.concatenate((k, np.outer(k, v).ravel(), pairs, np.eye(SHAPES)[shape], np.outer(k, np.eye(SHAPES)[shape]).ravel()))
+    return np.concatenate((k, np.outer(k, v).ravel(), pairs, np.eye(SHAPES)[shape], np.outer(k, np.eye(SHAPES)[shape]).ravel(),
+                           np.outer(k, np.eye(BEFORE)[before_class(code)]).ravel()))
 
 
 def span_classifier(counts: dict[int, int], soft: dict[int, float], l2: float = 1e-3, steps: int = 400) -> dict[int, float]:

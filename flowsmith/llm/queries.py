@@ -49,8 +49,7 @@ def op3(spark, sf):
 @register("op4_sentencepiece")
 def op4(spark, sf):
     """Ids of every whole text, and the digest of the text decoded from them."""
-    encoded = pieces.encode_documents(table(spark, sf, "documents"))
-    back = pieces.decode_documents(encoded)
+    back = pieces.encode_documents(table(spark, sf, "documents"), decoded=True)
     return back.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
                        F.sha2("text", 256).alias("decoded_sha256"))
 

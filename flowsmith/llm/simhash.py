@@ -115,17 +115,17 @@ def _bit_count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Tally of equal positional bytes, from the XOR of two fingerprints."""
-    return (x[..., None].view(np.uint8) == 0).sum(axis=-1)
+def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of each pair, from the fingerprints' bytes (rows of 8)."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for p in range(8):
+        out += a[:, p, None] == b[None, :, p]
+    return out
 
 
 def list_links(fps: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
     """A spanning forest of the links within one list of different fingerprints (uint64)."""
-    n = len(fps)
-    if n == 2:
-        x = fps[:1] ^ fps[1:]
-        return [(0, 1)] if _shared_bytes(x)[0] >= MIN_SHARED and _bit_count(x)[0] <= MAX_BITS else []
+    n, byte = len(fps), fps.view(np.uint8).reshape(-1, 8)
     parent = list(range(n))
 
     def find(i: int) -> int:
@@ -136,13 +136,11 @@ def list_links(fps: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
 
     out = []
     for at in range(0, n, block):
-        here = fps[at:at + block]
         for bt in range(at, n, 8 * block):
-            x = here[:, None] ^ fps[None, bt:bt + 8 * block]
-            close = np.argwhere(_bit_count(x) <= MAX_BITS)    # cheapest first: few pairs are left to tally
+            # count filter first: pairs that reach the guaranteed minimum are verified bit by bit
+            close = np.argwhere(_tally(byte[at:at + block], byte[bt:bt + 8 * block]) >= MIN_SHARED)
             close = close[close[:, 0] + at < close[:, 1] + bt]
-            if len(close):
-                close = close[_shared_bytes(x[close[:, 0], close[:, 1]]) >= MIN_SHARED]
+            close = close[_bit_count(fps[close[:, 0] + at] ^ fps[close[:, 1] + bt]) <= MAX_BITS]
             for i, j in close.tolist():
                 a, b = find(i + at), find(j + bt)
                 if a != b:
