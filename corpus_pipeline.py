@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens and the digest of the text decoded from the ids, for each row."""
-    back = pieces.decode_documents(pieces.encode_documents(docs))
+    back = pieces.encode_documents(docs, decoded=True)
     return back.select("doc_id", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
