@@ -11,7 +11,7 @@ from ..sources import adapters as A
 from .catalog import register
 from .common import cell_counts
 from .q_profile import value_dist_sql
-from .q_synth import synth_ctes, synth_cells_df
+from .q_synth import synth_cells_df, synth_ctes, synth_flows_df
 
 
 def q_agg_sql(src: str, id_col: str = "flow_id") -> str:
@@ -93,8 +93,7 @@ LABELS_SQL = {
 
 
 def _label_tables(spark, sf):
-    syn = synth_cells_df(spark, sf)
-    return A.label_counts(spark, sf), P.label_counts(syn, "sample_id")
+    return A.label_counts(spark, sf), P.label_counts(synth_flows_df(spark, sf))
 
 
 @register("label_fidelity", A.with_views("""
