@@ -13,7 +13,7 @@ all rows is spread over tasks.  Other conversations give one row (``part`` 0) un
 outgrow ``PART_BYTES``.  A conversation's parts and pieces, in order of (part, piece), concatenate to the whole.
 A task holds one Arrow batch (its scatter indices take some 24 bytes for each byte of it) and one piece.
 
-Nulls, ties, repeats: NULL text or role is empty, a NULL turn comes first, rows without a conv_id form one
+Nulls, ties, repeats: conv_id and turn are whole numbers (cast to bigint; another text is an error); NULL text or role is empty, a NULL turn comes first, rows without a conv_id form one
 conversation; equal turn numbers are ordered by role, then text; repeated rows are all
 formatted; an empty table gives no rows; other columns are ignored.
 """

@@ -14,7 +14,7 @@
    chains the different texts of each key in its ranges.  A
    (key, SHA-256) that stood for two texts stops the job instead of merging them.
 
-Nulls, ties and repeats: a NULL text is the empty text; a NULL doc_id sorts after every
+Nulls, ties and repeats: a NULL text is the empty text; ids are whole numbers (cast to bigint; another text as id is an error); a NULL doc_id sorts after every
 other id; rows that are equal in id and length are all reported, and exactly one of
 them (the first one written) is kept.  An empty table gives an empty result.  Extra columns are ignored
 by ``exact_groups`` and carried by ``drop_exact_duplicates``.

@@ -17,8 +17,8 @@ that it is 0.5.  The fit is on at most ``SAMPLE`` rated documents, those with th
 covers all rows).  Only their hashed features reach the driver.  The weights
 (2^18 floats, a fixed size) are broadcast, and scoring is one map over the whole texts without a shuffle.
 
-Nulls, ties, repeats: NULL or empty text has only the shape features of empty text; a NULL rating or id is not
-used for the fit; repeated rows are scored alike; with no rating at all the model is
+Nulls, ties, repeats: NULL or empty text has only the shape features of empty text; a NULL quality or id is not
+used for the fit, a NULL toxic mark counts as clean; ids are whole numbers (cast to bigint); repeated rows are scored alike; with no rating at all the model is
 uninformed (w = 0) and keeps everything; an empty table gives an empty result.
 """
 

@@ -18,7 +18,7 @@ returns its links as a spanning forest, at most one per member.
 
 Nulls, ties, repeats: NULL text is empty text; empty texts share fingerprint 0 and link like any other;
 a NULL doc_id belongs to its class but is never the component's id unless the component has no other
-(then NULL).  Repeated rows each give a row.  Empty tables give empty results.
+(then NULL).  Ids are whole numbers (cast to bigint; another text as id is an error).  Repeated rows each give a row.  Empty tables give empty results.
 """
 
 from __future__ import annotations
