@@ -54,9 +54,9 @@ def from_cells(cells: DataFrame, id_col: str = "flow_id") -> DataFrame:
 
 
 def to_cells(flows: DataFrame, id_col: str = "flow_id") -> DataFrame:
-    """Flows to cells, a narrow explode."""
-    entries = F.transform(values(flows), lambda v, k: F.struct(
-        (k / K.N_SLOTS).cast("int").alias("grp"), (k % K.N_SLOTS).cast("int").alias("slot"), v.alias("v")))
+    """Flows to cells, a narrow explode; the groups and slots are laid beside the values as whole arrays."""
+    grp, slot = (F.array(*[F.lit(n) for n in numbers]) for numbers in zip(*(divmod(k, K.N_SLOTS) for k in range(N_CELLS))))
+    entries = F.arrays_zip(grp.alias("grp"), slot.alias("slot"), values(flows).alias("v"))
     entries = unless_absent(entries, lambda e: e["grp"] * K.N_SLOTS + e["slot"])
     return flows.select(id_col, "app", F.explode(entries).alias("c")).select(id_col, "app", "c.grp", "c.slot", "c.v")
 

@@ -38,21 +38,28 @@ def _table(flows: DataFrame, id_col: str) -> DataFrame:
 
 def _steps(flows: DataFrame, voc: DataFrame, id_col: str) -> DataFrame:
     """(id, app, cell, prev, token): one row per cell, with the token before it in its group (START for the first), as
-    numbers.  All of it happens within the flow's row."""
+    numbers.  A complete flow's values are laid beside the values before them as whole arrays; tokens are found after the explode."""
     ids = T.token_ids(voc)
 
     def cell(g: int):
-        return lambda v, s: F.struct((s + g * K.N_SLOTS).alias("cell"), T.value_id(v, ids).alias("token"))
+        return lambda v, s: F.struct((s + g * K.N_SLOTS).alias("cell"), v.alias("v"))
 
     entries = {f"_e{g}": FT.unless_absent(F.transform(name, cell(g)), lambda e: e["cell"]) for g, name in enumerate(FT.GROUPS)}
-    out, groups = flows.withColumns(entries), []
-    for g in range(K.N_GROUPS):
-        e = F.col(f"_e{g}")
-        before = F.concat(F.array(F.lit(START)), F.slice(e["token"], F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
-        groups.append(F.transform(F.arrays_zip(e.alias("e"), before.alias("prev")), lambda z: F.struct(
-            z["e"]["cell"].alias("cell"), z["prev"].alias("prev"), z["e"]["token"].alias("token"))))
-    steps = F.filter(F.concat(*groups), lambda x: x["cell"].isNotNull())      # a group without cells leaves its START alone
-    return out.select(id_col, "app", F.explode(steps).alias("s")).select(id_col, "app", "s.cell", "s.prev", "s.token")
+    none, groups, shifted = F.array(F.lit(None).cast("double")), [], []
+    for g, name in enumerate(FT.GROUPS):
+        e = entries[f"_e{g}"]
+        before = F.concat(none, F.slice(e["v"], F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))))
+        groups.append(F.transform(F.arrays_zip(e.alias("e"), before.alias("before")), lambda z, k: F.struct(
+            z["e"]["cell"].alias("cell"), (k == 0).alias("first"), z["before"].alias("before"), z["e"]["v"].alias("v"))))
+        shifted += [none, F.slice(name, 1, K.N_SLOTS - 1)]
+    cells = F.array(*[F.lit(k) for k in range(FT.N_CELLS)])
+    first = F.array(*[F.lit(k % K.N_SLOTS == 0) for k in range(FT.N_CELLS)])
+    complete = F.arrays_zip(cells.alias("cell"), first.alias("first"), F.concat(*shifted).alias("before"), FT.values(flows).alias("v"))
+    partly = F.filter(F.concat(*groups), lambda x: x["cell"].isNotNull())     # a group without cells leaves its START alone
+    s = F.explode(F.when(F.size("absent") == 0, complete).otherwise(partly)).alias("s")
+    return flows.select(id_col, "app", s).select(
+        id_col, "app", "s.cell", F.when(F.col("s.first"), F.lit(START)).otherwise(T.value_id(F.col("s.before"), ids)).alias("prev"),
+        T.value_id(F.col("s.v"), ids).alias("token"))
 
 
 def _context() -> Column:

@@ -160,3 +160,20 @@ def test_batches_in_id_order(spark):
     finally:
         T.ROWS_PER_BUCKET = rows
     assert {r["flow_id"]: (r["rank"], r["batch_id"]) for r in got} == want
+
+
+def test_steps_of_complete_and_partial_flows(spark):
+    """Each cell with the token before it in its group; a complete flow's tokens are found after the explode, not value by value in lambdas."""
+    from flowsmith.operators import flowtable as FT, repair, tokens
+
+    cells = A.cells_dirty(spark, SF_SMALL).where("flow_id % 3 <> 0 or (flow_id + slot) % 7 <> 0 or grp = 1 and slot < 3")
+    flows, voc = FT.from_cells(cells), materialize(tokens.vocab(spark))
+    token = {tuple(r)[:3]: r["token_id"] for r in tokens.value_tokens(cells, voc).select("flow_id", "grp", "slot", "token_id").collect()}
+    want, last = [], {}
+    for flow, grp, slot in sorted(token):
+        want.append((flow, grp * 30 + slot, last.get((flow, grp), repair.START), token[flow, grp, slot]))
+        last[flow, grp] = token[flow, grp, slot]
+    steps = repair._steps(flows, voc, "flow_id")
+    assert sorted(map(tuple, steps.select("flow_id", "cell", "prev", "token").collect())) == want
+    plan = repair._steps(materialize(flows), voc, "flow_id")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "log2(" in plan and not any("log2(" in line for line in plan.splitlines() if "generate" in line)
