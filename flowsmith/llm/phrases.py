@@ -8,10 +8,10 @@ cuts (first k words, rest) by exact decimal arithmetic.
 Words are hashed to 64 bits by numpy; that no two words share a hash is checked over the whole vocabulary, and another seed is taken
 if two do.  Two filters of a fixed size keep rows out of the shuffle that no frequent phrase can contain, so results do not change: a bitmap of the
 hash slots of frequent words, and one of pair slots whose summed count reaches the least frequency (a slot counts at least
-as much as each of its pairs).  A window ends where either fails.  With far more text than slots the filters let everything
-through and only the shuffle grows.
+as much as each of its pairs).  The pair slots grow with the number of words, about one for ``SLOT_WORDS`` of them up to ``MOST_PAIR_SLOTS``, so
+that rare pairs do not fill slots together.  A window ends where either fails.
 
-Scale: three maps over the texts; shuffles of the vocabulary per block, of 2**22 one-byte counters per task (added up in groups of 256
+Scale: three maps over the texts; shuffles of the vocabulary per block, of the one-byte pair counters that each task used (added up in groups of 256
 tasks, over again until one is left) and of windows.  A language or a word with a third of all rows is combined in the map before
 each shuffle; joins on words rely on AQE's splitting.  The best ``top`` are cut per language before any task holds a language.
 
@@ -34,7 +34,8 @@ WORDS = 5
 LEAST = 100                  # occurrences of a candidate
 TOP = 2000
 BLOCK_BYTES = 1 << 22
-WORD_SLOTS, PAIR_SLOTS = 1 << 23, 1 << 22
+WORD_SLOTS, PAIR_SLOTS, MOST_PAIR_SLOTS = 1 << 23, 1 << 22, 1 << 26
+SLOT_WORDS = 8
 CHUNK = 1 << 16              # pair slots in one row
 FOLD = 256                   # rows of counters that one task adds up
 
@@ -102,14 +103,38 @@ def _word_slot(lang: str, h: np.ndarray) -> np.ndarray:
     return (_mixed(h ^ _lang_seed(lang)) % np.uint64(WORD_SLOTS)).astype(np.int64)
 
 
-def _pair_slot(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (_mixed(_mixed(a ^ _lang_seed(lang)) + b) % np.uint64(PAIR_SLOTS)).astype(np.int64)
+def _pair_slot(lang: str, a: np.ndarray, b: np.ndarray, slots: int) -> np.ndarray:
+    return (_mixed(_mixed(a ^ _lang_seed(lang)) + b) % np.uint64(slots)).astype(np.int64)
+
+
+def pair_slots(words: int) -> int:
+    """Slots for the pairs of a corpus of so many words, a power of two."""
+    return min(max(PAIR_SLOTS, 1 << max(0, -(-words // SLOT_WORDS) - 1).bit_length()), MOST_PAIR_SLOTS)
 
 
 def _bits(slots) -> np.ndarray:
     return np.unpackbits(np.frombuffer(slots, np.uint8)).view(bool)
 
 
+def _are_set(bitmap, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set in a bitmap."""
+    return (np.frombuffer(bitmap, np.uint8)[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _short(counters: np.ndarray) -> bytes:
+    """The counters of a chunk, or, where that is shorter, the places and values of those that are not 0."""
+    at = np.flatnonzero(counters)
+    return counters.tobytes() if 3 * len(at) >= len(counters) else at.astype("<u2").tobytes() + counters[at].tobytes()
+
+
+def _long(raw: bytes, chunk: int) -> np.ndarray:
+    if len(raw) == chunk:
+        return np.frombuffer(raw, np.uint8)
+    n, out = len(raw) // 3, np.zeros(chunk, np.uint8)
+    out[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, np.uint8, n, 2 * n)
+    return out
+
+
 def vocabulary(rows: DataFrame, seed: int) -> DataFrame:
     """lang, h, word, n of every word."""
     def run(batches):
@@ -144,63 +169,71 @@ def _word_filter(words: DataFrame, least: int) -> bytes:
                                                  names=["chunk", "bits"])
 
     found = words.filter(F.col("n") >= least).select("lang", "h").mapInArrow(run, "chunk int, bits binary")
-    return _folded(found, lambda a, b: a | b, WORD_SLOTS // 8, CHUNK // 8)
+    return _folded(found, lambda a, b: a | b, lambda total: total, WORD_SLOTS // 8, CHUNK // 8)
 
 
-def _pair_filter(rows: DataFrame, seed: int, least: int, frequent) -> bytes:
-    """Bitmap of the pair slots that count at least ``least`` pairs of frequent words (counters stop at ``full``)."""
+def _pair_filter(rows: DataFrame, seed: int, least: int, frequent, slots: int) -> bytes:
+    """Bitmap of the pair ``slots`` that count at least ``least`` pairs of frequent words (counters stop at ``full``)."""
     full = min(least, 255)
 
     def run(batches):
         from_words = _bits(frequent.value)
-        count = np.zeros(PAIR_SLOTS, np.uint8)
+        count = np.zeros(slots, np.uint8)
         for lang, w in _blocks(batches, seed):
             ok = from_words[_word_slot(lang, w.hash)]
             at = np.flatnonzero(w.joined[:-1] & ok[:-1] & ok[1:])
-            slot, n = np.unique(_pair_slot(lang, w.hash[at], w.hash[at + 1]), return_counts=True)
+            slot, n = np.unique(_pair_slot(lang, w.hash[at], w.hash[at + 1], slots), return_counts=True)
             count[slot] = np.minimum(count[slot] + n, full)
-        for k in range(0, PAIR_SLOTS, CHUNK):
+        for k in range(0, slots, CHUNK):
             if count[k:k + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([count[k:k + CHUNK].tobytes()])],
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([_short(count[k:k + CHUNK])])],
                                                  names=["chunk", "bits"])
 
     found = rows.mapInArrow(run, "chunk int, bits binary")
-    counts = _folded(found, lambda a, b: np.minimum(a.astype(np.int64) + b, full).astype(np.uint8), PAIR_SLOTS, CHUNK)
-    return np.packbits(np.frombuffer(counts, np.uint8) >= full).tobytes()
+    return _folded(found, lambda a, b: np.minimum(a.astype(np.uint16) + b, full).astype(np.uint8), lambda total: np.packbits(total >= full),
+                   slots // 8, CHUNK)
 
 
-def _folded(rows: DataFrame, add, size: int, chunk: int) -> bytes:
-    """The rows (chunk, bits) that each task made added up, at most FOLD tasks' rows of a chunk at once, then all chunks as ``size`` bytes."""
-    def run(table: pa.Table) -> pa.Table:
+def _folded(rows: DataFrame, add, finish, size: int, chunk: int) -> bytes:
+    """The rows (chunk, bits) that each task made added up, at most FOLD tasks' rows of a chunk at once, then what ``finish`` makes of each chunk
+    as ``size`` bytes."""
+    def summed(table: pa.Table) -> np.ndarray:
         total = np.zeros(chunk, np.uint8)
         for raw in table.column("bits"):
-            total = add(total, np.frombuffer(raw.as_py(), np.uint8))
-        return table.slice(0, 1).set_column(2, "bits", pa.array([total.tobytes()]))
+            total = add(total, _long(raw.as_py(), chunk))
+        return total
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).set_column(2, "bits", pa.array([_short(summed(table))]))
+
+    def last(table: pa.Table) -> pa.Table:
+        return table.slice(0, 1).select(["chunk"]).append_column("bits", pa.array([finish(summed(table)).tobytes()]))
 
     rows = materialize(rows.select("chunk", F.spark_partition_id().alias("part"), "bits"))
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
+    while parts > FOLD:
         parts = -(-parts // FOLD)
         rows = materialize(rows.withColumn("part", F.expr(f"cast(pmod(part, {parts}) as int)"))
                            .groupBy("chunk", "part").applyInArrow(run, "chunk int, part int, bits binary"))
     out = bytearray(size)
-    for r in rows.collect():                               # at most size / chunk rows
-        out[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = r["bits"]
+    for r in rows.groupBy("chunk").applyInArrow(last, "chunk int, bits binary").collect():      # some KB for each chunk
+        at = r["chunk"] * len(r["bits"])
+        out[at:at + len(r["bits"])] = r["bits"]
     return bytes(out)
 
 
-def windows(rows: DataFrame, seed: int, words: int, frequent, pairs) -> DataFrame:
+def windows(rows: DataFrame, seed: int, words: int, frequent, pairs, slots: int) -> DataFrame:
     """lang, w1 to w5: for each position whose pair passes the filters the words from there to the end of the piece or filter."""
     names = [f"w{k}" for k in range(1, words + 1)]
 
     def run(batches):
-        word_bits, pair_bits = _bits(frequent.value), _bits(pairs.value)
+        word_bits = _bits(frequent.value)
         for lang, w in _blocks(batches, seed):
             ok = word_bits[_word_slot(lang, w.hash)]
             on = np.zeros(len(ok) + words, bool)                          # the next word goes on the window
             on[:len(ok) - 1] = w.joined[:-1] & ok[:-1] & ok[1:]
             at = np.flatnonzero(on)
-            on[at] = pair_bits[_pair_slot(lang, w.hash[at], w.hash[at + 1])]
+            on[at] = _are_set(pairs.value, _pair_slot(lang, w.hash[at], w.hash[at + 1], slots))
             at = np.flatnonzero(on)
             if not len(at):
                 continue
@@ -257,8 +290,9 @@ def mine_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: i
     sc = docs.sparkSession.sparkContext
     vocab, seed = _checked_vocabulary(rows)
     frequent = sc.broadcast(_word_filter(vocab, least))
-    pairs = sc.broadcast(_pair_filter(rows, seed, least, frequent))
-    phrases = materialize(count_phrases(windows(rows, seed, words, frequent, pairs), words, least))
+    slots = pair_slots(vocab.agg(F.sum("n")).first()[0] or 0)
+    pairs = sc.broadcast(_pair_filter(rows, seed, least, frequent, slots))
+    phrases = materialize(count_phrases(windows(rows, seed, words, frequent, pairs, slots), words, least))
     scored = drop_contained(score_cuts(phrases, vocab), phrases)
 
     def ranked(df, rank, *more):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from flowsmith.llm import periodic, phrases, queries, urls
@@ -228,3 +229,23 @@ def test_run_query(spark, tmp_path, odd_docs, no_docs):
     odd = periodic.run_digests(periodic.collapse_runs(odd_docs)).collect()
     assert len(odd) == odd_docs.count() and {r.n_runs for r in odd if r.doc_id == 7} == {1}
     assert periodic.run_digests(periodic.collapse_runs(no_docs)).count() == 0
+
+
+def test_pair_slots_grow_with_the_words(spark):
+    """Rare pairs of a large corpus must not fill slots together; counters come through sparse or dense."""
+    assert phrases.pair_slots(0) == phrases.PAIR_SLOTS and phrases.pair_slots(80_000_000) == 1 << 24
+    assert phrases.pair_slots(10 ** 12) == phrases.MOST_PAIR_SLOTS
+    rnd = np.random.default_rng(1)
+    for share in (0.0, 0.01, 0.33, 0.34, 1.0):
+        counters = ((rnd.random(phrases.CHUNK) < share) * rnd.integers(1, 255, phrases.CHUNK)).astype(np.uint8)
+        raw = phrases._short(counters)
+        assert (phrases._long(raw, phrases.CHUNK) == counters).all() and len(raw) <= phrases.CHUNK
+    bits = rnd.random(1000) < 0.5
+    assert (phrases._are_set(np.packbits(bits).tobytes(), np.arange(1000)) == bits).all()
+
+
+def test_pair_counters_are_folded_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "FOLD", 2)
+    docs = [("en", "new york is big. " * 3)] * 40
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(7)
+    assert sorted(map(tuple, phrases.mine_phrases(df, 3, 100, 50).collect())) == mined(docs, 3, 100, 50)
