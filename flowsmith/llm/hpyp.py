@@ -1,8 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Restaurants: the context of a word is the whole word before it (``START_WORD`` at the beginning of a text) where that word occurs at
-least 0.5 x sqrt(bytes of text / 6) times among the learned tokens, so contexts grow with the corpus; its parent is the restaurant
-of that word's last byte, which is the context itself after rarer words.  The byte's parent is its class (letter, digit, sentence end, other punctuation,
+Restaurants: the context of a word is the whole word before it (``START_WORD`` at the beginning of a text), however rare and
+whatever the size of the corpus; its parent is the restaurant of that word's last byte.  The byte's parent is its class (letter, digit, sentence end, other punctuation,
 above ASCII, start), whose parent is the root over all words with a uniform base over the V known words and one unknown.
 P(w | u) = (c - d t + (theta + d T) P(w | parent)) / (theta + C) with c customers and t tables of w, C and T of the restaurant.
 
@@ -11,11 +10,10 @@ probabilities and the table totals of the sweep before; a dish's customers sit d
 by one, beyond ``EXACT`` customers in steps of a sixteenth of those seated, whose new tables are drawn together (their mean changes by under 1 %).  Random numbers are hashed from (word, context, sweep, customer),
 so a retried task seats alike.  After ``BURN_IN`` sweeps, predictive probabilities are averaged over ``SAMPLES`` sweeps.
 
-Scale.  One map counts words, to find the contexts (tasks get them as a bitmap of a fixed size; what a word adds by sharing a slot is a context
-more).  A second one cuts the corpus into blocks of at most ``BLOCK_TOKENS`` tokens; a block keeps its documents as
+Scale.  One map cuts the corpus into blocks of at most ``BLOCK_TOKENS`` tokens; a block keeps its documents as
 numbers of its different words and asks for each different (word, context) pair once.  Questions go to one of P buckets of the word (P
 follows the corpus, a bucket holds the words of about ``BUCKET_BYTES`` of text); there the blocks' counts are added up.
-A very common word is one entry of each block with at most as many pairs as there are contexts, never a hot key of token rows.  A dish's seats in all its
+A very common word is one entry of each block with at most as many pairs as the block has words, never a hot key of token rows.  A dish's seats in all its
 restaurants are in its bucket.  A pair seen once always has one table, so buckets keep only the number of those; for the pairs seen more often each
 sweep sends the customers without a table of their own, added up by context word, to that word's bucket, and takes the sums over all buckets
 back.  Only the totals of the 264 lower restaurants go through the driver.  Answers go back by block and a document's score is a
@@ -29,7 +27,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import materialize, whole_text
 
 BLOCK_TOKENS = 1_500_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 ROW_WORDS = 65_536
 EXACT = 32
 BURN_IN, SAMPLES = 1, 2
@@ -54,9 +51,7 @@ START = 256
 CONTEXTS = 257
 END_WORD = b" "                     # no word contains a space
 START_WORD = b"\n"                  # nor a line end
-LEAST_USES, WORD_BYTES = 0.5, 6     # a context occurs 0.5 x sqrt(bytes of text / 6) times at least
-WORD_SLOTS = 1 << 23                # of the bitmap of context words
-LOWEST = -(1 << 63)                 # keys from here on stand for contexts that are a last byte alone
+LEAST_USES, WORD_BYTES = 0, 6       # a context occurs 0 x sqrt(bytes of text / 6) times at least: every word is one
 
 
 def _classes() -> np.ndarray:
@@ -134,9 +129,9 @@ class Packed:
 
 # -- blocks -----------------------------------------------------------------------------
 
-# A row without a bucket holds documents: their ids and, packed, word numbers, sizes, which are held out and which words are contexts.  One with a
+# A row without a bucket holds documents: their ids and, packed, word numbers, sizes and which are held out.  One with a
 # bucket asks that bucket: words (keys, ids in the block, last bytes, uses as a context, number of pairs) and their pairs
-# (place in vocab, count), where vocab are the keys and last bytes of the contexts.
+# (place in vocab, count), where vocab are the keys and last bytes of the words before.
 BLOCK_SCHEMA = "block bigint, bucket int, doc_ids array<{kind}>, data binary"
 
 
@@ -162,58 +157,43 @@ class _Block:
         self.held.append(held_out(doc_id))
         self.size += len(words)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, learned occurrences) of the block's words."""
-        learned = [w for w, h in zip(self.words, self.held) if not h]
-        n = np.bincount(np.concatenate(learned) if learned else np.empty(0, np.int64), minlength=len(self.ids))
-        return np.fromiter(map(word_key, self.ids), np.int64, len(self.ids)), n
-
-    def rows(self, number: int, buckets: int, frequent: np.ndarray) -> Iterator[dict]:
+    def rows(self, number: int, buckets: int) -> Iterator[dict]:
         sizes = np.array([len(w) for w in self.words])
         word, n_ids = np.concatenate(self.words), len(self.ids)
         keys = np.fromiter(map(word_key, self.ids), np.int64, n_ids)
         last = np.fromiter((w[-1] for w in self.ids), np.int64, n_ids)
         last[0] = START
-        known = frequent[_slot(keys)]
-        known[0] = True
-        before, context = _contexts(word, sizes, known, last)
-        base = n_ids + CONTEXTS
-        pair, number_of = np.unique(word * np.int64(base) + context, return_inverse=True)
+        before = _before(word, sizes)
+        pair, number_of = np.unique(word * np.int64(n_ids) + before, return_inverse=True)
         learned = np.repeat(~np.array(self.held), sizes)
         count = np.bincount(number_of, learned, len(pair)).astype(np.int64)
-        uses = np.bincount(before, learned, n_ids).astype(np.int64) * known
+        uses = np.bincount(before, learned, n_ids).astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         for at in range(0, len(sizes), 2000):
             to = min(at + 2000, len(sizes))
             yield {"block": number, "bucket": None, "doc_ids": self.docs[at:to], "data": pack({
-                "words": word[ends[at]:ends[to]], "sizes": sizes[at:to], "held": np.array(self.held[at:to], np.int8), "known": np.flatnonzero(known)})}
+                "words": word[ends[at]:ends[to]], "sizes": sizes[at:to], "held": np.array(self.held[at:to], np.int8)})}
         bucket = _bucket(keys, buckets)
-        n_pairs = np.bincount(pair // base, minlength=n_ids)
+        n_pairs = np.bincount(pair // n_ids, minlength=n_ids)
         first = np.cumsum(n_pairs) - n_pairs
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        plain = np.arange(CONTEXTS)
-        vocab, vocab_end = np.concatenate([keys, LOWEST + plain]), np.concatenate([last, plain])
         for i in range(buckets):
             of = order[cut[i]:cut[i + 1]]
             if len(of):
                 at = np.repeat(first[of] - (np.cumsum(n_pairs[of]) - n_pairs[of]), n_pairs[of]) + np.arange(n_pairs[of].sum())
-                used, where = np.unique(pair[at] % base, return_inverse=True)
+                used, where = np.unique(pair[at] % n_ids, return_inverse=True)
                 yield {"block": number, "bucket": i, "doc_ids": None, "data": pack({
                     "words": keys[of], "ids": of, "last": last[of], "uses": uses[of], "pairs": n_pairs[of],
-                    "vocab": vocab[used], "ends": vocab_end[used], "contexts": where, "counts": count[at]})}
-
-
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) % np.uint64(WORD_SLOTS)).astype(np.int64)
+                    "vocab": keys[used], "ends": last[used], "contexts": where, "counts": count[at]})}
 
 
-def _contexts(word: np.ndarray, sizes: np.ndarray, known: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the word before each token, and that of its context: the word itself, or beyond all words its last byte."""
+def _before(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of the word before each token."""
     before = np.empty(len(word), np.int64)
     before[1:] = word[:-1]
     before[np.cumsum(sizes) - sizes] = 0
-    return before, np.where(known[before], before, len(known) + last[before])
+    return before
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[tuple[_Block, pa.DataType]]:
@@ -228,55 +208,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[tu
         yield block, b.column(0).type
 
 
-def _count_words(buckets: int, block_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _blocks(batches, block_tokens):
-            keys, n = block.counts()
-            keys, n = keys[n > 0], n[n > 0]
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            bucket = _bucket(keys, buckets)
-            used = np.unique(bucket)
-            data = [pack({"keys": keys[bucket == i], "counts": n[bucket == i]}) for i in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
-    return run
-
-
-def _frequent(least: float):
-    """Slots of a bucket's words with at least ``least`` occurrences."""
-    def run(table: pa.Table) -> pa.Table:
-        p = Packed(table)
-        keys, at = np.unique(p.flat("keys"), return_inverse=True)
-        return pa.table({"s": pa.array(_slot(keys[np.bincount(at, p.flat("counts"), len(keys)) >= least]))})
-    return run
-
-
-def _cut_blocks(buckets: int, block_tokens: int, frequent):
+def _cut_blocks(buckets: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(frequent.value, np.uint8), bitorder="little").view(bool)
         task = TaskContext.get().partitionId()
         for made, (block, kind) in enumerate(_blocks(batches, block_tokens)):
             schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(kind)), ("data", pa.binary())])
-            for row in block.rows((task << 24) + made, buckets, bits):
+            for row in block.rows((task << 24) + made, buckets):
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
     return run
 
 
-def context_words(rows: DataFrame, size: int, buckets: int, block_tokens: int) -> bytes:
-    """Bitmap of the hash slots of the words that are contexts in ``size`` bytes of text; the bitmap's size is fixed."""
-    counted = rows.mapInArrow(_count_words(buckets, block_tokens), "bucket int, data binary")
-    some = counted.groupBy("bucket").applyInArrow(_frequent(LEAST_USES * math.sqrt(size / WORD_BYTES)), "s bigint")
-    chunks = some.groupBy(F.floor(F.col("s") / 32768).alias("chunk")).agg(F.bitmap_construct_agg((F.col("s") % 32768)).alias("bits"))
-    out = bytearray(WORD_SLOTS // 8)
-    for r in chunks.collect():             # at most 256 rows of 4 KB
-        out[r["chunk"] * 4096:(r["chunk"] + 1) * 4096] = r["bits"]
-    return bytes(out)
-
-
 # -- counts by bucket -------------------------------------------------------------------
 
 # Rows of sweep USES hold words with their uses as a context.  A row without a sweep holds words with their counts: for each word its pairs with last
-# bytes; for each of those the number of customers that need no seating (of pairs seen once, and after words that are no context) and of the pairs seen more often (keys, counts).
+# bytes; for each of those the number of customers that need no seating (of pairs seen once) and of the pairs seen more often (keys, counts).
 # A row with a sweep holds sums over
 # all buckets (customers without a table of their own, ``less``): of the bucket's own words (source NULL) or, in the order of their keys, of
 # the contexts that the bucket asked bucket ``source`` for.
@@ -295,7 +240,7 @@ def _model_table(rows: list[dict]) -> pa.Table:
 
 class _Asked:
     """All blocks' pairs of one bucket.  ``words`` and contexts are sorted keys, ``of`` and ``place`` number the words of the rows and of their
-    pairs; the different (word, context) pairs have their learned ``count``, and ``at`` are their numbers in the rows.  ``plain``: the context is a last byte."""
+    pairs; the different (word, context) pairs have their learned ``count``, and ``at`` are their numbers in the rows."""
 
     def __init__(self, table: pa.Table):
         p = self.rows = Packed(table)
@@ -311,8 +256,7 @@ class _Asked:
         self.count = np.bincount(self.at, p.flat("counts"), len(pair)).astype(np.int64)
         word, context = np.divmod(pair, max(len(before), 1))
         self.lower = word * CONTEXTS + end[context]
-        self.plain = before[context] < LOWEST + CONTEXTS
-        heavy = np.flatnonzero((self.count > 1) & ~self.plain)
+        heavy = np.flatnonzero(self.count > 1)
         self.heavy = heavy[np.lexsort((context[heavy], self.lower[heavy]))]      # in the order of the model's keys
         self.heavy_keys = before[context[self.heavy]]
 
@@ -321,8 +265,7 @@ def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """All blocks' counts of one bucket, words in order of their keys."""
     a = _Asked(table)
     lower = np.unique(a.lower[a.count > 0])
-    single = np.flatnonzero((a.count > 0) & (a.plain | (a.count == 1)))
-    ones = np.bincount(np.searchsorted(lower, a.lower[single]), a.count[single], len(lower)).astype(np.int64)
+    ones = np.bincount(np.searchsorted(lower, a.lower[a.count == 1]), minlength=len(lower))
     heavies = np.bincount(np.searchsorted(lower, a.lower[a.heavy]), minlength=len(lower))
     uses = np.bincount(a.of, a.rows.flat("uses"), len(a.words)).astype(np.int64)
     n_pairs = np.bincount(lower // CONTEXTS, minlength=len(a.words))
@@ -572,7 +515,7 @@ def _answers(buckets: int, history: list[np.ndarray], burn_in: int):
         known = np.bincount(a.lower // CONTEXTS, a.count, len(a.words)).astype(np.int64)
         kept = [k for k in range(len(history)) if k > burn_in or len(history) == 1]
         own, p2, tables = np.zeros(len(a.count)), [], []
-        own[(a.count == 1) & ~a.plain] = (1 - DISCOUNT[3]) * len(kept)
+        own[a.count == 1] = (1 - DISCOUNT[3]) * len(kept)
         sweep, source = model.column("sweep").to_pylist(), model.column("source").to_pylist()
         for number, r in enumerate(_states(model, buckets, history[:-1])):
             if number in kept:
@@ -611,25 +554,18 @@ def _scores(tokens_all: int, known_all: int, samples: int):
         last, known, uses = (np.empty(n_ids, np.int64) for _ in range(3))
         last[ids], known[ids], uses[ids] = (a.flat(c) for c in ("last", "known", "uses"))
         last[0] = START
-        is_context = np.zeros(n_ids, bool)
-        is_context[d.flat("known")] = True
         word, sizes = d.flat("words"), d.flat("sizes")
-        base = n_ids + CONTEXTS
-        pair, number = np.unique(word * base + _contexts(word, sizes, is_context, last)[1], return_inverse=True)
-        of, context = np.divmod(pair, base)
-        whole = context < n_ids                       # the context is a word, not only its last byte
-        at_word = np.where(whole, context, 0)
-        end = np.where(whole, last[at_word], context - n_ids)
-        customers = np.where(whole, uses[at_word], 0)
+        pair, number = np.unique(word * n_ids + _before(word, sizes), return_inverse=True)
+        of, context = np.divmod(pair, n_ids)
         lower = np.repeat(ids, a.flat("classes")) * CONTEXTS + a.flat("ends")
         order = np.argsort(lower)
-        place = order[np.searchsorted(lower, of * CONTEXTS + end, sorter=order)]
+        place = order[np.searchsorted(lower, of * CONTEXTS + last[context], sorter=order)]
         up = np.zeros(n)
         for s in range(samples):
             tables = np.empty(n_ids, np.int64)
             tables[ids] = a.flat(f"tables{s}")
-            up += (STRENGTH[3] + DISCOUNT[3] * np.where(whole, tables[at_word], 0)) * a.flat(f"lower{s}", np.float32)[place]
-        score = np.log10((own + up / samples) / (STRENGTH[3] + customers))[number]
+            up += (STRENGTH[3] + DISCOUNT[3] * tables[context]) * a.flat(f"lower{s}", np.float32)[place]
+        score = np.log10((own + up / samples) / (STRENGTH[3] + uses[context]))[number]
         base_score = np.log10((known + 1) / (tokens_all + 1 * (known_all + 1)))[word]
         at = np.cumsum(sizes) - sizes
         doc_ids = docs.column("doc_ids").combine_chunks()
@@ -649,8 +585,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    frequent = docs.sparkSession.sparkContext.broadcast(context_words(rows, size, buckets, block_tokens))
-    blocks = materialize(rows.mapInArrow(_cut_blocks(buckets, block_tokens, frequent), BLOCK_SCHEMA.format(kind=kind)))
+    blocks = materialize(rows.mapInArrow(_cut_blocks(buckets, block_tokens), BLOCK_SCHEMA.format(kind=kind)))
     asked = blocks.filter("bucket is not null").select("block", "bucket", "data")
     model = materialize(asked.groupBy("bucket").applyInArrow(_add_up, MODEL_SCHEMA))
     history: list[np.ndarray] = []

@@ -604,6 +604,16 @@ def plain_seat(customers, base, discount, key):
     return min(tables, customers)
 
 
+def test_language_model_contexts_do_not_depend_on_the_size(spark):
+    """A word stays a context however much other text there is."""
+    rows = [(i, "united states " * 5 + "red apple " * 5) for i in range(6) if not hpyp.held_out(i)]
+    rows += [(3000 + i, "lorem ipsum " * 60_000) for i in range(4) if not hpyp.held_out(3000 + i)]
+    asked = next(i for i in range(9000, 9100) if hpyp.held_out(i))
+    got = hpyp.language_scores(spark.createDataFrame(rows + [(asked, t) for t in ("united states", "red states")], "doc_id bigint, text string")).collect()
+    high, low = sorted((r["score"] for r in got if r["doc_id"] == asked), reverse=True)
+    assert high > low + 0.5
+
+
 def plain_scores(rows, burn_in, samples):
     """doc_id -> score, word by word in dictionaries; and P(. | word before) for checking sums."""
     D, S = hpyp.DISCOUNT, hpyp.STRENGTH
