@@ -421,6 +421,28 @@ def test_bm25_pruning_keeps_results():
             assert np.allclose(np.sort(score)[::-1][:5], best[best > 0], atol=1e-8)
 
 
+def test_bm25_index_in_small_row_groups(spark, monkeypatch):
+    """A task that writes or reads the index holds a row group, which does not grow with the task's part of the table."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(bm25, "INDEX_BYTES", 1 << 16)
+    docs = spark.range(5 * bm25.ROW_DOCS).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "id", F.lit("word")).alias("text")).coalesce(1)
+    index = bm25.build_index(docs)
+    sizes = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (p[len("file:"):] if p.startswith("file:") else p for p in index.inputFiles()))
+             for i in range(f.metadata.num_row_groups)]
+    assert sum(sizes) == 5 and max(sizes) == 1
+
+
+def test_bm25_shard_lets_go_of_its_rows():
+    """The index rows are freed before the arrays of the common words are made."""
+    part = {"ids": [1, 2], "lengths": np.array([2, 1]), "terms": np.array([3, 7]), "df": np.array([2, 1]),
+            "docs": np.array([0, 1, 0], np.int32), "tf": np.array([1, 70_000, 1], np.int32)}
+    parts = [part]
+    shard = bm25.Shard(parts, 1.5, np.array([3]))
+    assert parts == [] and shard.tf.tolist() == [[1, 70_000]]
+    assert bm25.Shard([part | {"tf": np.array([1, 9, 1], np.int32)}], 1.5, np.array([3])).tf.dtype == np.uint16
+
+
 def test_bm25_empty(no_docs, odd_docs):
     assert bm25.top_k(no_docs, no_docs).count() == 0
     assert bm25.top_k(odd_docs, no_docs).count() == 0
