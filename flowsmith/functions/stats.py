@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .rank import global_rank, join_null_safe
 
-RANGES = 256                 # value ranges of a running sum
-COARSE = 16                  # a value is first placed among the ends of 16 neighbouring ranges, then within them
+RANGES = 1024                # value ranges of a running sum
+BUCKETS = 256                # value ranges of a global running count; their offsets are literals
+COARSE = 32                  # a value is first placed among the ends of 32 neighbouring ranges, then within them
 
 
 def value_range(df: DataFrame, v_col: str, ranges: int = RANGES) -> Column:
@@ -109,7 +110,7 @@ def r6(c) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 6)
 
 
-def ranked_counts(df: DataFrame, v_col: str, buckets: int = RANGES):
+def ranked_counts(df: DataFrame, v_col: str, buckets: int = BUCKETS):
     """Distinct values of ``v_col`` with their count and global running count.
 
     The running count needs a global order; instead of one window over all
