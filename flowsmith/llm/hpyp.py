@@ -11,8 +11,9 @@ by one, beyond ``EXACT`` customers in steps of a sixteenth of those seated, whos
 so a retried task seats alike.  After ``BURN_IN`` sweeps, predictive probabilities are averaged over ``SAMPLES`` sweeps.
 
 Scale.  One map cuts the corpus into blocks of at most ``BLOCK_TOKENS`` tokens; a block keeps its documents as
-numbers of its different words and asks for each different (word, context) pair once.  Questions go to one of P buckets of the word (P
-follows the corpus, a bucket holds the words of about ``BUCKET_BYTES`` of text); there the blocks' counts are added up.
+numbers of its different words and sends each word's key once, to one of P buckets of the word (P
+follows the corpus, a bucket holds the words of about ``BUCKET_BYTES`` of text).  The bucket numbers its words, often used contexts first, and with these numbers
+the block asks for each different (word, context) pair once, so that a pair costs some two bytes however many buckets there are.  The word's bucket adds up the blocks' counts.
 A very common word is one entry of each block with at most as many pairs as the block has words, never a hot key of token rows.  A dish's seats in all its
 restaurants are in its bucket.  A pair seen once always has one table, so buckets keep only the number of those; for the pairs seen more often each
 sweep sends the customers without a table of their own, added up by context word, to that word's bucket, and takes the sums over all buckets
@@ -38,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from ..session import delete_path, free_shuffles
+from .common import materialize, scratch_path, whole_text
 
 BLOCK_TOKENS = 1_500_000
 BUCKET_BYTES = 8_000_000
@@ -129,11 +131,17 @@ class Packed:
 
 # -- blocks -----------------------------------------------------------------------------
 
-# A row without a bucket holds documents: their ids and, packed, word numbers, sizes and which are held out.  One with a
-# bucket asks that bucket: words (keys, ids in the block, last bytes, uses as a context, number of pairs) and their pairs
-# (place in vocab, count), where vocab are the keys and last bytes of the words before.
+# A row without a bucket holds documents: their ids and, packed, word numbers, sizes and which are held out; the first row of a block also
+# has the last byte of each of its words.  One with a bucket has that bucket's words of the block: keys, ids in the block, uses as a context.
 BLOCK_SCHEMA = "block bigint, bucket int, doc_ids array<{kind}>, data binary"
 
+# Numbers of a block's words in a bucket; the row without a block has all the bucket's words in the order of their numbers, with their uses.
+NUMBER_SCHEMA = "block bigint, bucket int, data binary"
+
+# What a block asks a bucket: words (number in the bucket, id in the block, number of pairs) and their pairs (the context's number in the corpus,
+# which is its number in its bucket x buckets + its bucket, its last byte, and the count).
+ASK_SCHEMA = "block bigint, bucket int, data binary"
+
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -163,29 +171,20 @@ class _Block:
         keys = np.fromiter(map(word_key, self.ids), np.int64, n_ids)
         last = np.fromiter((w[-1] for w in self.ids), np.int64, n_ids)
         last[0] = START
-        before = _before(word, sizes)
-        pair, number_of = np.unique(word * np.int64(n_ids) + before, return_inverse=True)
-        learned = np.repeat(~np.array(self.held), sizes)
-        count = np.bincount(number_of, learned, len(pair)).astype(np.int64)
-        uses = np.bincount(before, learned, n_ids).astype(np.int64)
+        uses = np.bincount(_before(word, sizes), np.repeat(~np.array(self.held), sizes), n_ids).astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         for at in range(0, len(sizes), 2000):
             to = min(at + 2000, len(sizes))
             yield {"block": number, "bucket": None, "doc_ids": self.docs[at:to], "data": pack({
-                "words": word[ends[at]:ends[to]], "sizes": sizes[at:to], "held": np.array(self.held[at:to], np.int8)})}
+                "words": word[ends[at]:ends[to]], "sizes": sizes[at:to], "held": np.array(self.held[at:to], np.int8),
+                "last": last[:0 if at else n_ids]})}
         bucket = _bucket(keys, buckets)
-        n_pairs = np.bincount(pair // n_ids, minlength=n_ids)
-        first = np.cumsum(n_pairs) - n_pairs
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for i in range(buckets):
             of = order[cut[i]:cut[i + 1]]
             if len(of):
-                at = np.repeat(first[of] - (np.cumsum(n_pairs[of]) - n_pairs[of]), n_pairs[of]) + np.arange(n_pairs[of].sum())
-                used, where = np.unique(pair[at] % n_ids, return_inverse=True)
-                yield {"block": number, "bucket": i, "doc_ids": None, "data": pack({
-                    "words": keys[of], "ids": of, "last": last[of], "uses": uses[of], "pairs": n_pairs[of],
-                    "vocab": keys[used], "ends": last[used], "contexts": where, "counts": count[at]})}
+                yield {"block": number, "bucket": i, "doc_ids": None, "data": pack({"words": keys[of], "ids": of, "uses": uses[of]})}
 
 
 def _before(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -218,13 +217,69 @@ def _cut_blocks(buckets: int, block_tokens: int):
     return run
 
 
+# -- numbers and pairs ------------------------------------------------------------------
+
+def _number(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Numbers one bucket's words, those most used as contexts first."""
+    p = Packed(table)
+    words, of = np.unique(p.flat("words"), return_inverse=True)
+    uses = np.bincount(of, p.flat("uses"), len(words)).astype(np.int64)
+    order = np.lexsort((words, -uses))
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    off = np.concatenate(([0], np.cumsum(p.lengths("words"))))
+    data = [pack({"ids": r["ids"], "numbers": number[of[i:j]]}) for r, i, j in zip(p.rows, off, off[1:])]
+    return pa.table({"block": pa.array([*table.column("block").to_pylist(), None], pa.int64()),
+                     "bucket": pa.array([key[0].as_py()] * (len(data) + 1), pa.int32()),
+                     "data": pa.array([*data, pack({"words": words[order], "uses": uses[order]})], pa.binary())})
+
+
+def _block_pairs(d: Packed, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of a block as (word x CONTEXTS + last byte before, number of the word before), in this order, and the pair of each token."""
+    word, last = d.flat("words"), d.flat("last")
+    before = _before(word, d.flat("sizes"))
+    pair, at = np.unique((word * CONTEXTS + last[before]) * n_ids + before, return_inverse=True)
+    return *np.divmod(pair, n_ids), at
+
+
+def _entries(of: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The places of all entries of the words ``of`` in a list that has ``each`` entries of every word, word by word."""
+    n = each[of]
+    return np.repeat((np.cumsum(each) - each)[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _ask(buckets: int):
+    """The different pairs of a block, by the buckets of their words."""
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, numbers: pa.Table) -> pa.Table:
+        d, q = Packed(docs), Packed(numbers)
+        ids = q.flat("ids")
+        bucket, number = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        bucket[ids] = np.repeat(numbers.column("bucket").to_numpy(), q.lengths("ids"))
+        number[ids] = q.flat("numbers")
+        lower, context, at = _block_pairs(d, len(ids))
+        learned = np.repeat(d.flat("held") == 0, d.flat("sizes"))
+        count = np.bincount(at, learned, len(lower)).astype(np.int64)
+        n_pairs = np.bincount(lower // CONTEXTS, minlength=len(ids))
+        end, context = lower % CONTEXTS, (number * buckets + bucket)[context]
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        data = []
+        for i, j in zip(first, [*first[1:], len(order)]):
+            of = order[i:j]
+            p = _entries(of, n_pairs)
+            data.append(pack({"words": number[of], "ids": of, "pairs": n_pairs[of], "contexts": context[p], "ends": end[p], "counts": count[p]}))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(data), pa.int64()), "bucket": pa.array(used, pa.int32()), "data": pa.array(data, pa.binary())})
+    return run
+
+
 # -- counts by bucket -------------------------------------------------------------------
 
-# Rows of sweep USES hold words with their uses as a context.  A row without a sweep holds words with their counts: for each word its pairs with last
-# bytes; for each of those the number of customers that need no seating (of pairs seen once) and of the pairs seen more often (keys, counts).
+# Rows of sweep USES hold all words in the order of their numbers, with their uses as a context.  A row without a sweep holds words with their counts: for each word its pairs with last
+# bytes; for each of those the number of customers that need no seating (of pairs seen once) and of the pairs seen more often (the contexts' numbers
+# in the corpus, counts).
 # A row with a sweep holds sums over
-# all buckets (customers without a table of their own, ``less``): of the bucket's own words (source NULL) or, in the order of their keys, of
-# the contexts that the bucket asked bucket ``source`` for.
+# all buckets (customers without a table of their own, ``less``): of the bucket's own words (source NULL) or, in the order of their numbers, of
+# the contexts that the bucket asked bucket ``source`` for (in the first sweep with their keys and uses).
 USES = -1
 MODEL_SCHEMA = "bucket int, sweep int, source int, data binary"
 PART_SCHEMA = "bucket int, source int, data binary, totals array<double>"
@@ -239,43 +294,37 @@ def _model_table(rows: list[dict]) -> pa.Table:
 
 
 class _Asked:
-    """All blocks' pairs of one bucket.  ``words`` and contexts are sorted keys, ``of`` and ``place`` number the words of the rows and of their
-    pairs; the different (word, context) pairs have their learned ``count``, and ``at`` are their numbers in the rows."""
+    """All blocks' pairs of one bucket.  ``of`` and ``place`` number the words of the rows and the rows of their
+    pairs; the different pairs, by word, last byte and context, have their learned ``count``, and ``at`` are their numbers in the rows."""
 
     def __init__(self, table: pa.Table):
         p = self.rows = Packed(table)
-        self.words, self.of = np.unique(p.flat("words"), return_inverse=True)
+        self.of = p.flat("words")
         self.place = np.repeat(np.arange(len(self.of)), p.flat("pairs"))
-        n_vocab = p.lengths("vocab")
-        before, same = np.unique(p.flat("vocab"), return_inverse=True)
-        end = np.zeros(len(before), np.int64)
-        end[same] = p.flat("ends")
-        context = same[p.flat("contexts") + np.repeat(np.cumsum(n_vocab) - n_vocab, p.lengths("contexts"))]
-        self.end = end[context]
-        pair, self.at = np.unique(self.of[self.place] * len(before) + context, return_inverse=True)
+        self.end, context = p.flat("ends"), p.flat("contexts")
+        width = int(context.max(initial=0)) + 1
+        pair, self.at = np.unique((self.of[self.place] * CONTEXTS + self.end) * width + context, return_inverse=True)
         self.count = np.bincount(self.at, p.flat("counts"), len(pair)).astype(np.int64)
-        word, context = np.divmod(pair, max(len(before), 1))
-        self.lower = word * CONTEXTS + end[context]
-        heavy = np.flatnonzero(self.count > 1)
-        self.heavy = heavy[np.lexsort((context[heavy], self.lower[heavy]))]      # in the order of the model's keys
-        self.heavy_keys = before[context[self.heavy]]
+        self.lower, context = np.divmod(pair, width)
+        self.heavy = np.flatnonzero(self.count > 1)
+        self.heavy_contexts = context[self.heavy]
 
 
-def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All blocks' counts of one bucket, words in order of their keys."""
-    a = _Asked(table)
+def _add_up(key: tuple[pa.Scalar, ...], asked: pa.Table, numbers: pa.Table) -> pa.Table:
+    """All blocks' counts of one bucket, words in order of their numbers."""
+    a, d = _Asked(asked), Packed(numbers)
+    words, uses = d.flat("words"), d.flat("uses")
     lower = np.unique(a.lower[a.count > 0])
     ones = np.bincount(np.searchsorted(lower, a.lower[a.count == 1]), minlength=len(lower))
     heavies = np.bincount(np.searchsorted(lower, a.lower[a.heavy]), minlength=len(lower))
-    uses = np.bincount(a.of, a.rows.flat("uses"), len(a.words)).astype(np.int64)
-    n_pairs = np.bincount(lower // CONTEXTS, minlength=len(a.words))
-    off = np.array([*range(0, len(a.words), ROW_WORDS), len(a.words)])
+    n_pairs = np.bincount(lower // CONTEXTS, minlength=len(words))
+    off = np.array([*range(0, len(words), ROW_WORDS), len(words)])
     by_word = np.concatenate(([0], np.cumsum(n_pairs)))[off]
     by_pair = np.concatenate(([0], np.cumsum(heavies)))[by_word]
-    rows = [_model_row(key[0].as_py(), USES, None, words=a.words, uses=uses)]
+    rows = [_model_row(key[0].as_py(), USES, None, words=words, uses=uses)]
     for w, v, p, q, h, g in zip(off, off[1:], by_word, by_word[1:], by_pair, by_pair[1:]):
-        rows.append(_model_row(key[0].as_py(), None, None, words=a.words[w:v], pairs=n_pairs[w:v], contexts=lower[p:q] % CONTEXTS,
-                               ones=ones[p:q], heavies=heavies[p:q], keys=a.heavy_keys[h:g], counts=a.count[a.heavy][h:g]))
+        rows.append(_model_row(key[0].as_py(), None, None, first=np.array([w]), words=words[w:v], pairs=n_pairs[w:v], contexts=lower[p:q] % CONTEXTS,
+                               ones=ones[p:q], heavies=heavies[p:q], above=a.heavy_contexts[h:g], counts=a.count[a.heavy][h:g]))
     return _model_table(rows)
 
 
@@ -415,12 +464,15 @@ class WordRestaurants:
     """The restaurants of whole words above those of bytes.  Level 3 has the pairs seen more than once; a pair seen once has one table in
     every sweep and is only counted (``ones``) as a customer of its byte."""
 
-    def __init__(self, words, pairs, contexts, ones, heavies, keys, counts):
+    def __init__(self, words, pairs, contexts, ones, heavies, above, counts):
         self.ones, self.c3, self.t3 = ones.astype(np.float64), counts.astype(np.float64), np.ones(len(counts))
         self.at2 = np.repeat(np.arange(len(contexts)), heavies)
         self.low = Restaurants(words, pairs, contexts, ones + heavies)
-        self.contexts, self.at = np.unique(keys, return_inverse=True)
-        self.key3 = _mix(words.view(np.uint64)[self.low.of[self.at2]] + _mix(keys.view(np.uint64) + np.uint64(3001)))
+        self.contexts, self.at = np.unique(above, return_inverse=True)
+
+    def named(self, keys: np.ndarray) -> None:
+        """Takes the keys of the context words."""
+        self.key3 = _mix(self.low.words.view(np.uint64)[self.low.of[self.at2]] + _mix(keys.view(np.uint64) + np.uint64(3001))[self.at])
 
     def totals(self) -> np.ndarray:
         v = self.low.totals()
@@ -446,16 +498,17 @@ def _states(table: pa.Table, buckets: int, history: list[np.ndarray]) -> Iterato
     """The state of a bucket before the first sweep and after each sweep of the history, from its rows of MODEL_SCHEMA."""
     sweep = table.column("sweep").to_pylist()
     model = Packed(table.take([i for i, k in enumerate(sweep) if k is None]))
-    model.rows.sort(key=lambda r: r["words"][:1].tolist())
-    r = WordRestaurants(*(model.flat(c) for c in ("words", "pairs", "contexts", "ones", "heavies", "keys", "counts")))
+    model.rows.sort(key=lambda r: r["first"][0])
+    r = WordRestaurants(*(model.flat(c) for c in ("words", "pairs", "contexts", "ones", "heavies", "above", "counts")))
     yield r
     source = table.column("source").to_pylist()
-    order, uses = np.argsort(_bucket(r.contexts, buckets), kind="stable"), None
+    order, uses = np.argsort(r.contexts % buckets, kind="stable"), None
     for number, v in enumerate(history):
         rows = Packed(table.take(sorted((i for i, k in enumerate(sweep) if k == number and source[i] is not None), key=source.__getitem__)))
         if uses is None:
-            uses = np.zeros(len(order))
-            uses[order] = rows.flat("uses")
+            uses, keys = np.zeros(len(order)), np.empty(len(order), np.int64)
+            uses[order], keys[order] = rows.flat("uses"), rows.flat("keys")
+            r.named(keys)
         less = np.zeros(len(order))
         less[order] = rows.flat("less")
         r.sweep(Totals(v), uses - less, number + 1)
@@ -467,11 +520,11 @@ def _parts(buckets: int, history: list[np.ndarray]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         for r in _states(table, buckets, history):
             pass
-        to = _bucket(r.contexts, buckets)
+        to = r.contexts % buckets
         order = np.argsort(to, kind="stable")
         used, at = np.unique(to[order], return_index=True)
         off, less = [*at.tolist(), len(order)], r.less()
-        parts = [pack({"keys": r.contexts[order[i:j]], "less": less[order[i:j]]}) for i, j in zip(off, off[1:])]
+        parts = [pack({"numbers": r.contexts[order[i:j]] // buckets, "less": less[order[i:j]]}) for i, j in zip(off, off[1:])]
         return pa.table({
             "bucket": pa.array([*used.tolist(), None], pa.int32()), "source": pa.array([key[0].as_py()] * (len(used) + 1), pa.int32()),
             "data": pa.array([*parts, None], pa.binary()),
@@ -485,18 +538,14 @@ def _sums(sweep: int):
         if not parts.num_rows:
             return _model_table([])
         bucket, got = key[0].as_py(), Packed(parts)
-        keys, at = np.unique(got.flat("keys"), return_inverse=True)
-        less = np.bincount(at, got.flat("less"), len(keys)).astype(np.int64)
-        off = np.concatenate(([0], np.cumsum(got.lengths("keys"))))
-        uses = np.empty(0, np.int64)
-        if not sweep:
-            m = Packed(model)                    # the rows of sweep USES
-            words, count = m.flat("words"), m.flat("uses")
-            order = np.argsort(words)
-            uses = count[order][np.searchsorted(words, keys, sorter=order)][at]
-        rows = [_model_row(bucket, sweep, None, keys=keys, less=less)]
+        numbers, at = np.unique(got.flat("numbers"), return_inverse=True)
+        less = np.bincount(at, got.flat("less"), len(numbers)).astype(np.int64)
+        off = np.concatenate(([0], np.cumsum(got.lengths("numbers"))))
+        rows = [_model_row(bucket, sweep, None, numbers=numbers, less=less)]
+        m = Packed(model)                        # in the first sweep the row of sweep USES
+        keys, uses = (m.flat(c)[numbers][at] if not sweep else None for c in ("words", "uses"))
         for i, j, source in zip(off, off[1:], parts.column("source").to_pylist()):
-            rows.append(_model_row(source, sweep, bucket, less=less[at[i:j]], **({} if sweep else {"uses": uses[i:j]})))
+            rows.append(_model_row(source, sweep, bucket, less=less[at[i:j]], **({} if sweep else {"keys": keys[i:j], "uses": uses[i:j]})))
         return _model_table(rows)
     return run
 
@@ -506,36 +555,35 @@ ANSWER_SCHEMA = "block bigint, data binary"
 
 def _answers(buckets: int, history: list[np.ndarray], burn_in: int):
     """For each word its count, its uses as a context and its tables there in each sample; for each of its pairs the mean of c - d t; for each
-    last byte before it P(word | byte) in each sample."""
+    last byte before it the bits of P(word | byte) in the first sample and how far they are off in the others."""
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table, model: pa.Table) -> pa.Table:
         a = _Asked(asked)
-        lower = np.unique(a.place * CONTEXTS + a.end)
-        place, end = lower // CONTEXTS, lower % CONTEXTS
-        uses = np.bincount(a.of, a.rows.flat("uses"), len(a.words)).astype(np.int64)
-        known = np.bincount(a.lower // CONTEXTS, a.count, len(a.words)).astype(np.int64)
+        low = a.place * CONTEXTS + a.end                                     # in this order
+        place, end = np.divmod(low[np.diff(low, prepend=-1) > 0], CONTEXTS)
+        sweep, source = model.column("sweep").to_pylist(), model.column("source").to_pylist()
+        all_uses = Packed(model.take([i for i, k in enumerate(sweep) if k == USES])).flat("uses")
+        known = np.bincount(a.lower // CONTEXTS, a.count, len(all_uses)).astype(np.int64)
         kept = [k for k in range(len(history)) if k > burn_in or len(history) == 1]
         own, p2, tables = np.zeros(len(a.count)), [], []
         own[a.count == 1] = (1 - DISCOUNT[3]) * len(kept)
-        sweep, source = model.column("sweep").to_pylist(), model.column("source").to_pylist()
         for number, r in enumerate(_states(model, buckets, history[:-1])):
             if number in kept:
                 own[a.heavy] += r.c3 - DISCOUNT[3] * r.t3
-                p2.append(r.low.probability(Totals(history[number]), a.of[place], end))
+                p2.append(short(r.low.probability(Totals(history[number]), a.of[place], end)).view(np.uint32).astype(np.int64) >> 8)
                 rows = Packed(model.take([i for i, k in enumerate(sweep) if k == number and source[i] is None]))
-                less = np.zeros(len(a.words), np.int64)
-                less[np.searchsorted(a.words, rows.flat("keys"))] = rows.flat("less")
-                tables.append((uses - less)[a.of])
+                less = np.zeros(len(all_uses), np.int64)
+                less[rows.flat("numbers")] = rows.flat("less")
+                tables.append((all_uses - less)[a.of])
         mean = (own / len(kept))[a.at]
         off = np.concatenate(([0], np.cumsum(a.rows.lengths("words"))))
         by_pair = np.concatenate(([0], np.cumsum(a.rows.lengths("contexts"))))
         by_lower = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(a.of)))))[off]
-        n_lower = np.bincount(place, minlength=len(a.of))
         out = []
         for k, r in enumerate(a.rows.rows):
             w, p, q = slice(off[k], off[k + 1]), slice(by_pair[k], by_pair[k + 1]), slice(by_lower[k], by_lower[k + 1])
-            out.append(pack({c: r[c] for c in ("ids", "last", "pairs")} | {
-                "known": known[a.of[w]], "uses": uses[a.of[w]], "classes": n_lower[w], "ends": end[q], "own": short(mean[p])}
-                | {f"tables{s}": t[w] for s, t in enumerate(tables)} | {f"lower{s}": short(x[q]) for s, x in enumerate(p2)}))
+            out.append(pack({"ids": r["ids"], "known": known[a.of[w]], "uses": all_uses[a.of[w]], "own": short(mean[p])}
+                            | {f"tables{s}": t[w] for s, t in enumerate(tables)}
+                            | {f"lower{s}": x[q] - p2[0][q] if s else x[q] for s, x in enumerate(p2)}))
         return pa.table({"block": asked.column("block"), "data": pa.array(out, pa.binary())})
     return run
 
@@ -543,28 +591,23 @@ def _answers(buckets: int, history: list[np.ndarray], burn_in: int):
 def _scores(tokens_all: int, known_all: int, samples: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         a, d = Packed(answers), Packed(docs)
-        ids, n_pairs = a.flat("ids"), a.flat("pairs")
-        n, n_ids = int(n_pairs.sum()), len(ids)
-        each = np.empty(n_ids, np.int64)
-        each[ids] = n_pairs
-        first = (np.cumsum(each) - each)[ids]         # pairs are numbered word by word
-        to = np.repeat(first - (np.cumsum(n_pairs) - n_pairs), n_pairs) + np.arange(n)
-        own = np.empty(n)
-        own[to] = a.flat("own", np.float32)
-        last, known, uses = (np.empty(n_ids, np.int64) for _ in range(3))
-        last[ids], known[ids], uses[ids] = (a.flat(c) for c in ("last", "known", "uses"))
-        last[0] = START
-        word, sizes = d.flat("words"), d.flat("sizes")
-        pair, number = np.unique(word * n_ids + _before(word, sizes), return_inverse=True)
-        of, context = np.divmod(pair, n_ids)
-        lower = np.repeat(ids, a.flat("classes")) * CONTEXTS + a.flat("ends")
-        order = np.argsort(lower)
-        place = order[np.searchsorted(lower, of * CONTEXTS + last[context], sorter=order)]
-        up = np.zeros(n)
+        ids = a.flat("ids")
+        n_ids = len(ids)
+        lower, context, number = _block_pairs(d, n_ids)
+        own = np.empty(len(lower))
+        own[_entries(ids, np.bincount(lower // CONTEXTS, minlength=n_ids))] = a.flat("own", np.float32)
+        known, uses = (np.empty(n_ids, np.int64) for _ in range(2))
+        known[ids], uses[ids] = a.flat("known"), a.flat("uses")
+        new = np.diff(lower, prepend=-1) > 0
+        place, at_lower = np.cumsum(new) - 1, _entries(ids, np.bincount(lower[new] // CONTEXTS, minlength=n_ids))
+        up, p2 = np.zeros(len(lower)), np.empty(len(at_lower), np.float32)
         for s in range(samples):
             tables = np.empty(n_ids, np.int64)
             tables[ids] = a.flat(f"tables{s}")
-            up += (STRENGTH[3] + DISCOUNT[3] * tables[context]) * a.flat(f"lower{s}", np.float32)[place]
+            bits = a.flat("lower0") + (a.flat(f"lower{s}") if s else 0)
+            p2[at_lower] = (bits << 8).astype(np.uint32).view(np.float32)
+            up += (STRENGTH[3] + DISCOUNT[3] * tables[context]) * p2[place]
+        word, sizes = d.flat("words"), d.flat("sizes")
         score = np.log10((own + up / samples) / (STRENGTH[3] + uses[context]))[number]
         base_score = np.log10((known + 1) / (tokens_all + 1 * (known_all + 1)))[word]
         at = np.cumsum(sizes) - sizes
@@ -585,24 +628,41 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    blocks = materialize(rows.mapInArrow(_cut_blocks(buckets, block_tokens), BLOCK_SCHEMA.format(kind=kind)))
-    asked = blocks.filter("bucket is not null").select("block", "bucket", "data")
-    model = materialize(asked.groupBy("bucket").applyInArrow(_add_up, MODEL_SCHEMA))
+    spark, schema = docs.sparkSession, BLOCK_SCHEMA.format(kind=kind)
+    folder = scratch_path(spark, "scores")
+    kept = lambda df, name: materialize(df, to=f"{folder}/{name}")
+
+    def drop(*names: str) -> None:
+        for name in names:
+            delete_path(spark, f"{folder}/{name}")
+        free_shuffles(spark)
+
+    rows.mapInArrow(_cut_blocks(buckets, block_tokens), schema).withColumn("what", F.when(F.col("bucket").isNull(), "docs").otherwise("words")) \
+        .write.partitionBy("what").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(f"{schema}, what string").parquet(f"{folder}/blocks")
+    own = blocks.filter("what = 'docs'").select("block", "doc_ids", "data")
+    numbers = kept(blocks.filter("what = 'words'").select("block", "bucket", "data").groupBy("bucket").applyInArrow(_number, NUMBER_SCHEMA), "numbers")
+    drop("blocks/what=words")
+    asked = kept(own.select("block", "data").groupBy("block").cogroup(numbers.filter("block is not null").groupBy("block"))
+                 .applyInArrow(_ask(buckets), ASK_SCHEMA), "asked")
+    free_shuffles(spark)
+    known = model = kept(asked.groupBy("bucket").cogroup(numbers.filter("block is null").groupBy("bucket")).applyInArrow(_add_up, MODEL_SCHEMA), "model")
+    drop("numbers")
     history: list[np.ndarray] = []
-    known = model.filter("sweep is null")
     for number in range(burn_in + samples + 1):
-        parts = materialize(known.filter("sweep is null or source is not null").groupBy("bucket").applyInArrow(_parts(buckets, list(history)), PART_SCHEMA))
+        parts = kept(known.filter("sweep is null or source is not null").groupBy("bucket").applyInArrow(_parts(buckets, list(history)), PART_SCHEMA), "parts")
         sums = parts.filter("bucket is null").select(F.posexplode("totals").alias("slot", "value")).groupBy("slot").agg(F.sum("value").alias("value"))
         v = np.zeros(SLOTS)
         for r in sums.collect():           # 264 restaurants
             v[r["slot"]] = r["value"]
         history.append(v)
         words = model.filter(F.col("sweep") == USES) if not number else model.filter("false")
-        known = known.unionByName(materialize(
-            parts.filter("bucket is not null").drop("totals").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_sums(number), MODEL_SCHEMA)))
+        known = known.unionByName(kept(
+            parts.filter("bucket is not null").drop("totals").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_sums(number), MODEL_SCHEMA), f"sums{number}"))
+        drop("parts")
     totals = Totals(history[0])
-    answers = (asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers(buckets, history, burn_in), ANSWER_SCHEMA))
-    own = blocks.filter("bucket is null").select("block", "doc_ids", "data")
+    answers = kept(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers(buckets, history, burn_in), ANSWER_SCHEMA), "answers")
+    drop("asked", "model", *[f"sums{number}" for number in range(len(history))])
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _scores(totals.tokens, totals.known, max(len(history) - 1 - burn_in, 1)),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -636,6 +637,26 @@ def test_language_model_contexts_do_not_depend_on_the_size(spark):
     assert high > low + 0.5
 
 
+def test_language_scores_need_little_disk(spark, monkeypatch):
+    """No table of the scores takes a key for each (word, context) pair however many buckets there are, and what was used is deleted."""
+    rnd, made = random.Random(5), []
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.5))}" for _ in range(400))) for i in range(150)]
+    write = hpyp.materialize
+
+    def measured(df, **options):
+        out = write(df, **options)
+        made.append((out.agg(F.sum(F.length("data"))).first()[0], out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(hpyp, "materialize", measured)
+    monkeypatch.setattr(hpyp, "BUCKET_BYTES", 30_000)
+    got = hpyp.language_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()
+    pairs = len({p for _, t in rows for p in zip(t.split(), t.split()[1:])})
+    left = [os.path.exists(f.removeprefix("file://")) for _, files in made for f in files]
+    print(f"{pairs} pairs, {[n for n, _ in made]} bytes, {sum(left)} of {len(left)} files left")
+    assert len(got) == 150 and max(n for n, _ in made) < 10 * pairs and sum(left) < len(left) / 4
+
+
 def plain_scores(rows, burn_in, samples):
     """doc_id -> score, word by word in dictionaries; and P(. | word before) for checking sums."""
     D, S = hpyp.DISCOUNT, hpyp.STRENGTH
