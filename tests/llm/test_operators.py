@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -444,6 +445,49 @@ def test_bm25_shard_lets_go_of_its_rows():
     assert bm25.Shard([part | {"tf": np.array([1, 9, 1], np.int32)}], 1.5, np.array([3])).tf.dtype == np.uint16
 
 
+def test_bm25_word_keys_of_all_lengths():
+    rnd = random.Random(2)
+    words = [bytes(rnd.randrange(256) for _ in range(n)) for n in [*range(70), *range(1, 40)]]
+    got = bm25.word_keys(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    assert got.tolist() == [bm25.word_key(w) for w in words]
+
+
+def test_bm25_postings_are_those_of_the_single_texts():
+    rnd = random.Random(3)
+    texts = ["", " ", "a", "x" * 40, *("".join(rnd.choice("aB é汉\x1c\x85\xa0\t\n\r\x0b\x0c") for _ in range(rnd.randrange(60))) for _ in range(200)), "\n"]
+    n, held, keys, counts = bm25._batch_postings(texts)
+    ends, cache = np.cumsum(held), bm25._Keys()
+    for i, t in enumerate(texts):
+        own = slice(ends[i] - held[i], ends[i])
+        terms, tf, size = bm25._terms(t, cache)
+        assert n[i] == size and dict(zip(keys[own].tolist(), counts[own].tolist())) == dict(zip(terms.tolist(), tf.tolist())), t
+
+
+def test_bm25_rows_hold_similar_documents_and_few_are_scored_in_full(monkeypatch):
+    """Texts of two vocabularies, mixed in the table, are apart in the index, and of thousands of documents a query scores few in full."""
+    rnd = np.random.default_rng(5)
+    n = 4 * bm25.ROW_DOCS
+    texts = [" ".join(f"{'uv'[i % 2]}{w}" for w in rnd.zipf(1.2, 30) % 300) for i in range(n)]
+    rows = list(bm25._index_rows(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])])))
+    assert sorted(i for r in rows for i in r.column(0)[0].as_py()) == list(range(n))
+    assert [len({i % 2 for i in r.column(0)[0].as_py()}) for r in rows] == [1, 1, 1, 1]
+    held = Counter(t for r in rows for t, df in zip(r.column(2)[0].as_py(), r.column(3)[0].as_py()) for _ in range(df))
+    asked = [(i, *bm25._terms(texts[i], bm25._Keys())) for i in range(0, 640, 10)]
+    asked = [(i, sorted((t, c * math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)), held[t] * bm25.COMMON > n) for t, c in zip(k.tolist(), tf.tolist())))
+             for i, k, tf, _ in asked]
+    block = bm25._block(pa.table({"qid": [q for q, _ in asked], "query_id": [q for q, _ in asked],
+                                  **{c: pa.array([[x[j] for x in w] for _, w in asked]) for j, c in enumerate(("terms", "weights", "common"))}}))
+    scored, whole = [], bm25.Documents.scores
+    monkeypatch.setattr(bm25.Documents, "scores", lambda self, weights, docs: scored.append(len(docs)) or whole(self, weights, docs))
+    got = [x for b in bm25._search(SimpleNamespace(value=block), 10, 30.0)(iter(rows)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(got) == 10 * len(asked) and sum(scored) < 40 * len(asked)
+    bags = [Counter(t.encode().split()) for t in texts]
+    for q, words in asked[:5]:
+        weight, own = {t: w for t, w, _ in words}, [(bm25.word_key(w), w) for w in bags[q]]
+        score = [sum(weight[t] * b[w] * 2.2 / (b[w] + 1.2) for t, w in own if w in b) for b in bags]
+        assert np.allclose(sorted((s for i, _, _, s in got if i == q), reverse=True), sorted(score, reverse=True)[:10], atol=1e-6)
+
+
 def test_bm25_empty(no_docs, odd_docs):
     assert bm25.top_k(no_docs, no_docs).count() == 0
     assert bm25.top_k(odd_docs, no_docs).count() == 0
