@@ -488,6 +488,15 @@ def test_bm25_rows_hold_similar_documents_and_few_are_scored_in_full(monkeypatch
         assert np.allclose(sorted((s for i, _, _, s in got if i == q), reverse=True), sorted(score, reverse=True)[:10], atol=1e-6)
 
 
+def test_bm25_equal_documents_have_equal_scores(spark):
+    """Copies, among them more than k, are ranked by their ids wherever they are."""
+    rows = [(i, f"the same words in {'every' if i % 3 else 'each'} copy") for i in range(90, 0, -1)] + [(100 + i, f"the other {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25.top_k(docs, docs.filter("doc_id in (3, 4)"), k=12).collect()}
+    for q, like in ((3, [i for i in range(1, 91) if i % 3 == 0]), (4, [i for i in range(1, 91) if i % 3])):
+        assert [got[q, r][0] for r in range(1, 13)] == like[:12] and len({got[q, r][1] for r in range(1, 13)}) == 1
+
+
 def test_bm25_empty(no_docs, odd_docs):
     assert bm25.top_k(no_docs, no_docs).count() == 0
     assert bm25.top_k(odd_docs, no_docs).count() == 0
